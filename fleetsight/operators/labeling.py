@@ -82,7 +82,7 @@ def window_cells(padded: DataFrame) -> DataFrame:
         (F.col("e") + 1).alias("t"),  # half open [s, t)
         F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level"),
     )
-    width = F.shiftleft(F.lit(1).cast("bigint"), F.col("level"))
+    width = F.expr("shiftleft(1L, level)")
     # first and past-the-end whole cell of this level inside the window
     ends = spans.select(
         "pos",
@@ -110,11 +110,10 @@ def _by_tree(rows: DataFrame, padded: DataFrame, default: str) -> DataFrame:
     cells = window_cells(padded)
     seconds = rows.select("_epoch").where(F.col("_epoch").isNotNull()).distinct()
     levels = cells.agg(F.sort_array(F.collect_set("level")).alias("_levels"))
-    probes = seconds.crossJoin(F.broadcast(levels)).select(
-        "_epoch", F.explode("_levels").alias("level")
-    ).withColumn(
-        "cell",
-        F.shiftright(F.col("_epoch"), F.col("level")),
+    probes = (
+        seconds.crossJoin(F.broadcast(levels))
+        .select("_epoch", F.explode("_levels").alias("level"))
+        .withColumn("cell", F.expr("shiftright(_epoch, level)"))
     )
     # cells are unique per (level, cell): at most one match per probe
     labels = (

@@ -40,21 +40,27 @@ def _rows(df: DataFrame | OrderedRows, key, order, rows_per_chunk) -> OrderedRow
 
 
 def score_clamp(
-    policy: TrustPolicy, anomaly: str = "is_anomaly", tampered: str | None = None
+    policy: TrustPolicy,
+    anomaly: str = "is_anomaly",
+    tampered: str | None = None,
+    prior: str | None = None,
 ) -> Clamp:
-    """The score step as a clamp; a tampered record sets the score to 0 instead."""
+    """The score step as a clamp; a tampered record sets the score to 0 instead. ``prior`` names
+    a column with the score of each key before its first row (null: the default)."""
     delta = F.when(F.col(anomaly), -policy.decay).otherwise(policy.recovery)
     lo, hi = F.lit(policy.lo), F.lit(policy.hi)
     if tampered is not None:
         bad = F.coalesce(F.col(tampered), F.lit(False))
         delta = F.when(bad, 0.0).otherwise(delta)
         lo, hi = F.when(bad, 0.0).otherwise(lo), F.when(bad, 0.0).otherwise(hi)
-    return Clamp("score", delta, lo, hi, policy.init)
+    init = policy.init if prior is None else F.coalesce(F.col(prior), F.lit(policy.init))
+    return Clamp("score", delta, lo, hi, init)
 
 
-def latch_clamp(tampered: str) -> Clamp:
+def latch_clamp(tampered: str, prior: str | None = None) -> Clamp:
     lo, hi = hold_unless(F.coalesce(F.col(tampered), F.lit(False)))
-    return Clamp("compromised", F.lit(0.0), lo, hi, 0.0)
+    init = 0.0 if prior is None else F.coalesce(F.col(prior).cast("double"), F.lit(0.0))
+    return Clamp("compromised", F.lit(0.0), lo, hi, init)
 
 
 def trust_rows(
@@ -65,10 +71,12 @@ def trust_rows(
     anomaly: str = "is_anomaly",
     tampered: str | None = None,
     rows_per_chunk: int | None = None,
+    prior_score: str | None = None,
+    prior_compromised: str | None = None,
 ) -> OrderedRows:
-    clamps = [score_clamp(policy, anomaly, tampered)]
+    clamps = [score_clamp(policy, anomaly, tampered, prior_score)]
     if tampered is not None:
-        clamps.append(latch_clamp(tampered))
+        clamps.append(latch_clamp(tampered, prior_compromised))
     return _rows(df, key, order, rows_per_chunk).scan(*clamps)
 
 

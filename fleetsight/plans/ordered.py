@@ -143,7 +143,10 @@ class Clamp:
     delta: Column
     lo: Column
     hi: Column
-    init: float
+    init: float | Column  # value before the first row; a column must be constant per key
+
+    def init_column(self) -> Column:
+        return (self.init if isinstance(self.init, Column) else F.lit(self.init)).cast("double")
 
 
 NEG_INF = float("-inf")
@@ -285,14 +288,14 @@ class OrderedRows:
 
     def scan(self, *clamps: Clamp) -> OrderedRows:
         """Add ``name`` (value after the row) and ``prev_name`` (value before it) per clamp."""
-        starts: dict[str, Column] = {c.name: F.lit(float(c.init)) for c in clamps}
+        starts: dict[str, Column] = {c.name: c.init_column() for c in clamps}
         rows = self
         if self.split:
             carry = self._scan_carry(clamps)
             # Nothing promises that a join keeps row order, so the expansion sorts again.
             rows = replace(self, df=self._join_carry(self.df, carry), sorted_in_tasks=False)
             starts = {
-                c.name: F.coalesce(F.col(f"_carry_{c.name}"), F.lit(float(c.init)))
+                c.name: F.coalesce(F.col(f"_carry_{c.name}"), c.init_column())
                 for c in clamps
             }
         keep = self.df.columns
@@ -305,16 +308,21 @@ class OrderedRows:
         is expanded from both ends of the line; the few chunk maps are then scanned in turn.
         """
         hot = replace(self, df=self.df.where(HOT))
-        probes = [replace_clamp(c, f"{side}_{c.name}", init)
-                  for c in clamps for side, init in (("lo", NEG_INF), ("hi", POS_INF))]
+        probes = [
+            replace(c, name=f"{side}_{c.name}", init=init)
+            for c in clamps
+            for side, init in (("lo", NEG_INF), ("hi", POS_INF))
+        ]
         needed = [*self.chunk_key, *self.order]
-        sums = {f"_d_{c.name}": c.delta.cast("double") for c in clamps}
-        probed = hot.with_columns(**sums)._expand(
-            probes, {p.name: F.lit(p.init) for p in probes}, [*dict.fromkeys(needed), *sums]
+        extra = {f"_d_{c.name}": c.delta.cast("double") for c in clamps}
+        extra.update({f"_i_{c.name}": c.init_column() for c in clamps})
+        probed = hot.with_columns(**extra)._expand(
+            probes, {p.name: p.init_column() for p in probes}, [*dict.fromkeys(needed), *extra]
         )
         order = F.struct(*self.order)
         chunks = probed.df.groupBy(*self.chunk_key).agg(
             *[F.sum(f"_d_{c.name}").alias(f"_d_{c.name}") for c in clamps],
+            *[F.max(f"_i_{c.name}").alias(f"_i_{c.name}") for c in clamps],
             *[F.max_by(p.name, order).alias(p.name) for p in probes],
         )
         over_chunks = OrderedRows(
@@ -323,9 +331,17 @@ class OrderedRows:
             ("_chunk_no",),
         )
         folded = over_chunks._expand(
-            [Clamp(c.name, F.col(f"_d_{c.name}"), F.col(f"lo_{c.name}"), F.col(f"hi_{c.name}"),
-                   c.init) for c in clamps],
-            {c.name: F.lit(float(c.init)) for c in clamps},
+            [
+                Clamp(
+                    c.name,
+                    F.col(f"_d_{c.name}"),
+                    F.col(f"lo_{c.name}"),
+                    F.col(f"hi_{c.name}"),
+                    F.col(f"_i_{c.name}"),
+                )
+                for c in clamps
+            ],
+            {c.name: F.col(f"_i_{c.name}") for c in clamps},
             [*self.key, "_chunk_no"],
         ).df
         return folded.select(
@@ -360,10 +376,6 @@ class OrderedRows:
         )
 
 
-def replace_clamp(clamp: Clamp, name: str, init: float) -> Clamp:
-    return Clamp(name, clamp.delta, clamp.lo, clamp.hi, init)
-
-
 def rows_per_chunk_of(df: DataFrame) -> int:
     conf = df.sparkSession.conf.get(ROWS_PER_CHUNK_CONF, None)
     return int(conf) if conf else DEFAULT_ROWS_PER_CHUNK

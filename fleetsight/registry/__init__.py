@@ -1,0 +1,6 @@
+"""All registered queries and their SQL twins."""
+
+from fleetsight.registry import features, models, series  # noqa: F401  (they register themselves)
+from fleetsight.registry.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

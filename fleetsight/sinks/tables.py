@@ -72,6 +72,12 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
+def version_before(spark: SparkSession, path: str, version: int) -> str | None:
+    """Folder of the newest complete version below ``version``."""
+    earlier = [v for v in _versions(spark, path) if v < version]
+    return f"{path}/v{earlier[-1]}" if earlier else None
+
+
 def latest_version_path(spark: SparkSession, path: str) -> str | None:
     versions = _versions(spark, path)
     return f"{path}/v{versions[-1]}" if versions else None
