@@ -57,17 +57,20 @@ def sample_per_tree(
             feats_v,
         )
     else:
-        share = min(1.0, 2.0 * sample / max(n_rows, 1) + 0.05)
-        hashes = [
-            F.struct(
-                F.lit(t).alias("tree"), F.xxhash64(*ident, F.lit(t), F.lit(seed)).alias("_h")
-            )
-            for t in range(trees)
-        ]
+        # wide enough that falling short of ``sample`` is next to impossible
+        share = min(1.0, (2.0 * sample + 64.0) / max(n_rows, 1))
         cut = int(share * _HASH_RANGE)
-        drawn = df.select(feats_v, F.explode(F.array(*hashes)).alias("d")).select(
-            "d.tree", "d._h", "x"
-        ).where(F.pmod("_h", F.lit(_HASH_RANGE)) < cut)
+
+        def draw(tree: Column) -> Column:
+            return F.xxhash64(*ident, tree, F.lit(seed))
+
+        chosen = F.filter(
+            F.sequence(F.lit(0), F.lit(trees - 1)),
+            lambda t: F.pmod(draw(t), F.lit(_HASH_RANGE)) < cut,
+        )
+        drawn = df.select(*id_cols, feats_v, F.explode(chosen).alias("tree")).select(
+            "tree", draw(F.col("tree")).alias("_h"), "x"
+        )
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", "x"))
     return drawn.withColumn("rn", rank).where(F.col("rn") <= sample).drop("_h")
 

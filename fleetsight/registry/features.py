@@ -42,8 +42,8 @@ def _kernel(spark, sf_dir):
 
 @query(
     f"""WITH {E} SELECT event_id, node, us / 1000000 AS timestamp, value AS cpu,
-  k + 0.5 AS mem, event_id * 3 AS net_out, event_id * 7 AS net_in,
-  CASE WHEN event_id % 41 <> 5 THEN k + 0.25 END AS latency,
+  k + 0.5::DOUBLE AS mem, event_id * 3 AS net_out, event_id * 7 AS net_in,
+  CASE WHEN event_id % 41 <> 5 THEN k + 0.25::DOUBLE END AS latency,
   event_id % 23 <> 4 AS signed
 FROM e WHERE event_id % 31 <> 2"""
 )
@@ -114,9 +114,9 @@ def resolve_policy(spark, sf_dir):
 
 
 @query(
-    f"""WITH {E} SELECT node, us / 1000000 AS timestamp, value AS cpu, k + 0.5 AS mem,
+    f"""WITH {E} SELECT node, us / 1000000 AS timestamp, value AS cpu, k + 0.5::DOUBLE AS mem,
   event_id * 3 AS net_out, event_id * 7 AS net_in,
-  CASE WHEN event_id % 41 <> 5 THEN k + 0.25 ELSE 0 END AS latency
+  CASE WHEN event_id % 41 <> 5 THEN k + 0.25::DOUBLE ELSE 0 END AS latency
 FROM e WHERE event_id % 31 <> 2"""
 )
 def project_defaults(spark, sf_dir):
@@ -124,8 +124,8 @@ def project_defaults(spark, sf_dir):
 
 
 @query(
-    f"""WITH {E} SELECT event_id, value AS cpu, k + 0.5 AS mem, event_id * 7 AS net_in,
-  event_id * 3 AS net_out, k + 0.25 AS latency
+    f"""WITH {E} SELECT event_id, value AS cpu, k + 0.5::DOUBLE AS mem, event_id * 7 AS net_in,
+  event_id * 3 AS net_out, k + 0.25::DOUBLE AS latency
 FROM e WHERE event_id % 31 <> 2 AND event_id % 41 <> 5"""
 )
 def select_features(spark, sf_dir):

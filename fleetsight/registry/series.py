@@ -165,13 +165,12 @@ def sequence_mae(spark, sf_dir):
 
 @query(
     f"""WITH {E} SELECT node, row_number() OVER (PARTITION BY node ORDER BY us) - 1 AS time_step,
-  value AS cpu, k AS score, 5.0 AS cpu_line, 0.08 AS score_line FROM e"""
+  value AS cpu, k AS score, 5.0::DOUBLE AS cpu_line,
+  0.08::DOUBLE AS score_line FROM e"""
 )
 def series_for_plot(spark, sf_dir):
     ev = ad.events(spark, sf_dir).withColumnsRenamed({"value": "cpu", "k": "score"})
-    return tser.series_for_plot(ev).withColumns(
-        {c: F.col(c).cast("decimal(5,2)").cast("double") for c in ("cpu_line", "score_line")}
-    )
+    return tser.series_for_plot(ev)
 
 
 @query(
@@ -307,7 +306,7 @@ def _columns(exprs: str) -> str:
     + _columns("avg({f}) AS {f}_m, stddev_pop({f}) AS {f}_s")
     + " FROM lineitem) SELECT l_orderkey, l_linenumber, "
     + _columns("round(({f} - {f}_m) / {f}_s, 6) AS {f}")
-    + ", 0.0 AS l_const FROM lineitem, p"
+    + ", 0.0::DOUBLE AS l_const FROM lineitem, p"
 )
 def standard_scale(spark, sf_dir):
     cols = [*_FEATS, "l_const"]
@@ -320,7 +319,7 @@ def standard_scale(spark, sf_dir):
     + _columns("min({f}) AS {f}_a, max({f}) AS {f}_b")
     + " FROM lineitem) SELECT l_orderkey, l_linenumber, "
     + _columns("round(({f} - {f}_a) / ({f}_b - {f}_a), 6) AS {f}")
-    + ", 0.0 AS l_const FROM lineitem, p"
+    + ", 0.0::DOUBLE AS l_const FROM lineitem, p"
 )
 def minmax_scale(spark, sf_dir):
     cols = [*_FEATS, "l_const"]
