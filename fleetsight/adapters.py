@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.functions.signing import keyed_sha256
 from fleetsight.plans.ordered import ordered, total
+from fleetsight.plans.sizing import spread
 
 FOREST_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 FOREST_ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -20,6 +21,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def forest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = load(spark, sf_dir, "lineitem").select(*FOREST_ID, *FOREST_FEATURES)
+    return spread(items, *FOREST_ID)
+
+
 def shape_events(raw: DataFrame) -> DataFrame:
     """Events with ``node``, a zoned timestamp ``ts``, epoch seconds and the number in props."""
     return raw.select(
@@ -57,6 +63,12 @@ def _every(n: int, rest: int) -> Column:
     return F.col("event_id") % n == rest
 
 
+def _as_lines(ev: DataFrame, line: Column, *keep: str | Column) -> DataFrame:
+    """Text lines as a source would give them. Exploding a one-element array keeps the optimizer
+    from copying the text expression into every filter on ``raw``."""
+    return spread(ev, "event_id").select(*keep, F.explode(F.array(line)).alias("raw"))
+
+
 def kernel_lines(ev: DataFrame) -> DataFrame:
     """Kernel-event JSON lines with the event's ``ts`` as arrival time.
 
@@ -104,7 +116,7 @@ def kernel_lines(ev: DataFrame) -> DataFrame:
         .when(_every(10, 9), F.concat(F.lit("{"), node, F.lit(", "), body, F.lit("}")))
         .otherwise(F.concat(F.lit("{"), body, F.lit(", "), node, F.lit("}")))
     )
-    return ev.select("ts", "event_id", line.alias("raw"))
+    return _as_lines(ev, line, "ts", "event_id")
 
 
 def _canonical_text(ev_cpu: Column) -> tuple[Column, dict[str, Column]]:
@@ -152,9 +164,8 @@ def metric_lines(ev: DataFrame, secret: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" "), line))
     )
     late = F.when(_every(13, 1), 6.0).otherwise(1.0)
-    return ev.select(
-        "event_id", (F.unix_micros("ts") / 1_000_000 + late).alias("arrival"), raw.alias("raw")
-    )
+    arrival = (F.unix_micros("ts") / 1_000_000 + late).alias("arrival")
+    return _as_lines(ev, raw, "event_id", arrival)
 
 
 def metric_samples(ev: DataFrame, window: str) -> DataFrame:
@@ -234,7 +245,9 @@ def instant_payloads(ev: DataFrame) -> DataFrame:
             F.concat(F.lit('{"status": "success", "data": {"result": ['), result, F.lit("]}}"))
         )
     )
-    return ev.select("event_id", "event_type", "ts", payload.alias("payload"))
+    return _as_lines(ev, payload, "event_id", "event_type", "ts").withColumnRenamed(
+        "raw", "payload"
+    )
 
 
 def range_payloads(ev: DataFrame) -> DataFrame:
@@ -253,7 +266,7 @@ def range_payloads(ev: DataFrame) -> DataFrame:
         F.col("k").cast("string"),
         F.lit('"]]}]}}'),
     )
-    return ev.select("event_id", payload.alias("payload"))
+    return _as_lines(ev, payload, "event_id").withColumnRenamed("raw", "payload")
 
 
 def metrics_v2(ev: DataFrame) -> DataFrame:

@@ -37,6 +37,13 @@ def forest_scorer(forest: Forest) -> Scorer:
     return forest.score_column
 
 
+def fresh_records(
+    lines: DataFrame, max_age_s: float = 5.0, now: Column | None = None
+) -> DataFrame:
+    """Parsed records that are recent enough and name a node."""
+    return drop_stale(parse_metric_lines(lines), max_age_s, now).where(F.col("node").isNotNull())
+
+
 def verify_and_score(
     lines: DataFrame,
     secret: str,
@@ -52,8 +59,7 @@ def verify_and_score(
     kept without a score; a good record that lacks a feature is dropped. Rows that are no longer
     needed go before the Python UDFs, not after.
     """
-    records = parse_metric_lines(lines)
-    fresh = drop_stale(records, max_age_s, now).where(F.col("node").isNotNull())
+    fresh = fresh_records(lines, max_age_s, now)
     checked = fresh.withColumn("tampered", ~verify_signature(F.col("raw"), secret))
     complete = F.lit(True)
     for f in feats:
@@ -72,10 +78,17 @@ def trust_trace_v1(
     key: Sequence[str] = ("node",),
     order: Sequence[str] = ("timestamp",),
     rows_per_chunk: int | None = None,
+    plan_from: DataFrame | None = None,
 ) -> DataFrame:
     """Scores, statuses and actions per record."""
     trusted = trust_scores(
-        scored, policy, key=key, order=order, tampered="tampered", rows_per_chunk=rows_per_chunk
+        scored,
+        policy,
+        key=key,
+        order=order,
+        tampered="tampered",
+        rows_per_chunk=rows_per_chunk,
+        plan_from=plan_from,
     )
     return status_transitions(trusted, "tampered")
 
@@ -96,8 +109,14 @@ def detect_v1(
     order: Sequence[str] = ("timestamp",),
     **kw,
 ) -> DataFrame:
-    """Signed metric lines -> per-record trust trace with actions."""
-    return trust_trace_v1(verify_and_score(lines, secret, scorer, threshold, **kw), order=order)
+    """Signed metric lines -> per-record trust trace with actions.
+
+    The cuts of busy nodes are planned from the parsed records, so that signatures are checked
+    and records scored once only.
+    """
+    scored = verify_and_score(lines, secret, scorer, threshold, **kw)
+    recent = fresh_records(lines, kw.get("max_age_s", 5.0), kw.get("now"))
+    return trust_trace_v1(scored, order=order, plan_from=recent)
 
 
 def score_sequences(
@@ -123,10 +142,19 @@ def detect_v2(
     key: str = "instance",
     ts: str = "timestamp",
     auto_remediate: bool | str = True,
+    plan_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Sequence verdicts -> trust score, cordon flag and cordon actions."""
+    """Sequence verdicts -> trust score, cordon flag and cordon actions. ``plan_from``: the
+    metric rows the verdicts came from, which hold every (node, time) of them."""
     flagged = scored.withColumn("is_anomaly", F.col("status") == "Anomaly")
-    return cordon_trace(flagged, policy, key=[key], order=[ts], auto_remediate=auto_remediate)
+    return cordon_trace(
+        flagged,
+        policy,
+        key=[key],
+        order=[ts],
+        plan_from=plan_from,
+        auto_remediate=auto_remediate,
+    )
 
 
 def batch_report(

@@ -33,6 +33,7 @@ from fleetsight.operators.scaling import (
     standard_scale,
 )
 from fleetsight.operators.timeseries import make_sequences
+from fleetsight.plans.kept import kept
 from fleetsight.schemas import FEATURES_V1, FEATURES_V2
 from fleetsight.sinks.tables import save_params
 from fleetsight.sources.tables import load_params, load_threshold
@@ -105,9 +106,11 @@ def train_v2(
         save_params(scaler, f"{path}/scaler")
         scaler = load_params(spark, f"{path}/scaler")
     scaled = minmax_scale(data, feats, scaler)
-    seqs = make_sequences(scaled, feats, length, by=key, order=[ts])
-    model = fit_reconstruction(augment_noise(seqs, [*key, ts]), k)
-    threshold = calibrate(seqs, model)
+    # fitting and calibrating make several passes over the sequences
+    with kept(make_sequences(scaled, feats, length, by=key, order=[ts])) as seqs:
+        model = fit_reconstruction(augment_noise(seqs, [*key, ts]), k)
+        fitted = calibrate(seqs, model).toArrow()  # one row
+    threshold = spark.createDataFrame(fitted)
     if path:
         save_params(reconstruction_table(spark, model), f"{path}/model")
         save_params(threshold, f"{path}/threshold")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetsight.operators.scaling import CONTAMINATION, contamination_offset
+from fleetsight.plans.kept import kept
+from fleetsight.plans.quantiles import BUFFER_ROWS
 
 TREES = 100
 SAMPLE = 256
@@ -114,14 +116,15 @@ def fit_forest_nodes(
     trees: int = TREES,
     sample: int = SAMPLE,
     seed: int = SEED,
-) -> tuple[DataFrame, int]:
-    """Node table of the forest and the rows per tree. The table has at most
+) -> tuple[DataFrame, int, int]:
+    """Node table of the forest, rows per tree and training rows. The table has at most
     trees * (2 * sample - 1) rows, whatever the input."""
     usable = df.select(*dict.fromkeys([*id_cols, *feats])).dropna(subset=list(feats))
     n_rows = usable.count()
     drawn = sample_per_tree(usable, feats, id_cols, n_rows, trees, sample, seed)
     size = min(sample, n_rows)
-    return drawn.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, seed, size), _NODES), size
+    nodes = drawn.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, seed, size), _NODES)
+    return nodes, size, n_rows
 
 
 class Forest:
@@ -139,8 +142,8 @@ class Forest:
         self.feature = np.maximum(nodes["feature"].to_numpy(), 0).astype(np.int32)
         leaf = nodes["feature"].to_numpy() < 0
         self.cut = np.where(leaf, np.inf, nodes["cut"].to_numpy())
-        self.left = (nodes["left"].to_numpy() + base).astype(np.int32)
-        self.right = (nodes["right"].to_numpy() + base).astype(np.int32)
+        sides = nodes[["left", "right"]].to_numpy() + base[:, None]
+        self.child = sides.astype(np.int32).ravel()  # child of n: [2n] left, [2n + 1] right
         self.depth = nodes["depth"].to_numpy(dtype=float)
         self.levels = math.ceil(math.log2(max(sample, 2)))
 
@@ -149,13 +152,14 @@ class Forest:
         out = np.empty(len(x))
         norm = average_path(self.sample) or 1.0
         for a in range(0, len(x), 2048):  # keeps the (rows, trees) index block in cache
-            block = x[a : a + 2048]
-            at = np.broadcast_to(self.roots, (len(block), len(self.roots))).copy()
-            line = np.arange(len(block))[:, None]
+            block = np.ascontiguousarray(x[a : a + 2048])
+            flat = block.ravel()
+            line = (np.arange(len(block), dtype=np.int32) * block.shape[1])[:, None]
+            at = np.broadcast_to(self.roots, (len(block), len(self.roots)))
             for _ in range(self.levels):
-                right = block[line, self.feature[at]] >= self.cut[at]
-                at = np.where(right, self.right[at], self.left[at])
-            depth = self.depth[at].mean(axis=1)
+                value = flat.take(line + self.feature.take(at))
+                at = self.child.take(2 * at + (value >= self.cut.take(at)))
+            depth = self.depth.take(at).mean(axis=1)
             out[a : a + 2048] = -np.exp2(-depth / norm) - self.offset
         return out
 
@@ -186,10 +190,15 @@ def fit_iforest(
 ) -> Forest:
     """Fit on standard-scaled columns; the offset makes ``contamination`` of the training rows
     score below zero."""
-    nodes, size = fit_forest_nodes(df, feats, id_cols, trees, sample, seed)
+    nodes, size, n_rows = fit_forest_nodes(df, feats, id_cols, trees, sample, seed)
     forest = Forest(_collect_nodes(nodes), feats, size)
-    trained = score_iforest(df, forest)
-    forest.offset = contamination_offset(trained, contamination).first()["offset"]
+    scores = score_iforest(df, forest).select("score")
+    if n_rows <= BUFFER_ROWS:  # one pass does
+        found = contamination_offset(scores, contamination, at_most=n_rows).first()
+    else:  # several passes over one kept column, instead of scoring again in each
+        with kept(scores) as saved:
+            found = contamination_offset(saved, contamination).first()
+    forest.offset = found["offset"]
     return forest
 
 
@@ -210,8 +219,8 @@ def forest_tables(spark: SparkSession, forest: Forest) -> tuple[DataFrame, DataF
             "node": np.arange(len(forest.cut)) - base,
             "feature": np.where(leaf, -1, forest.feature),
             "cut": np.where(leaf, 0.0, forest.cut),
-            "left": forest.left - base,
-            "right": forest.right - base,
+            "left": forest.child[0::2] - base,
+            "right": forest.child[1::2] - base,
             "depth": forest.depth,
         }
     )

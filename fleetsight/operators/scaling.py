@@ -81,10 +81,14 @@ def score_summary(df: DataFrame, col: str = "score", margin: float = SUGGESTED_M
 
 
 def contamination_offset(
-    df: DataFrame, contamination: float = CONTAMINATION, col: str = "score"
+    df: DataFrame,
+    contamination: float = CONTAMINATION,
+    col: str = "score",
+    at_most: int | None = None,
 ) -> DataFrame:
     """Score below which the given share of the training rows lies (exact, interpolated)."""
-    return exact_quantile(df, col, contamination).withColumnRenamed("quantile", "offset")
+    found = exact_quantile(df, col, contamination, at_most=at_most)
+    return found.withColumnRenamed("quantile", "offset")
 
 
 def detection_totals(df: DataFrame, status: str = "status") -> DataFrame:

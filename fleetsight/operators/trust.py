@@ -35,8 +35,10 @@ CORDON_BELOW = 40.0
 UNCORDON_ABOVE = 60.0
 
 
-def _rows(df: DataFrame | OrderedRows, key, order, rows_per_chunk) -> OrderedRows:
-    return df if isinstance(df, OrderedRows) else ordered(df, key, order, rows_per_chunk)
+def _rows(df: DataFrame | OrderedRows, key, order, rows_per_chunk, plan_from=None) -> OrderedRows:
+    if isinstance(df, OrderedRows):
+        return df
+    return ordered(df, key, order, rows_per_chunk, plan_from)
 
 
 def score_clamp(
@@ -73,11 +75,12 @@ def trust_rows(
     rows_per_chunk: int | None = None,
     prior_score: str | None = None,
     prior_compromised: str | None = None,
+    plan_from: DataFrame | None = None,
 ) -> OrderedRows:
     clamps = [score_clamp(policy, anomaly, tampered, prior_score)]
     if tampered is not None:
         clamps.append(latch_clamp(tampered, prior_compromised))
-    return _rows(df, key, order, rows_per_chunk).scan(*clamps)
+    return _rows(df, key, order, rows_per_chunk, plan_from).scan(*clamps)
 
 
 def trust_scores(df: DataFrame | OrderedRows, policy: TrustPolicy = V1, **kw) -> DataFrame:
@@ -177,10 +180,13 @@ def cordon_trace(
     order: Sequence[str] = ("ts",),
     anomaly: str = "is_anomaly",
     rows_per_chunk: int | None = None,
+    plan_from: DataFrame | None = None,
     **kw,
 ) -> DataFrame:
     """Score and cordon flag in one layout: both scans run in the same tasks, one shuffle."""
-    rows = trust_rows(df, policy, key, order, anomaly, None, rows_per_chunk)
+    rows = trust_rows(
+        df, policy, key, order, anomaly, None, rows_per_chunk, plan_from=plan_from
+    )
     return hysteresis_rows(rows, **kw).result().drop("_cordon", "prev__cordon")
 
 

@@ -386,16 +386,20 @@ def ordered(
     key: Sequence[str],
     order: Sequence[str],
     rows_per_chunk: int | None = None,
+    plan_from: DataFrame | None = None,
 ) -> OrderedRows:
     """Lay ``df`` out for running values per ``key`` in ``order`` (a total order).
 
     Counts rows per key once (column-pruned, combined map side) and brings back only the keys
-    over the limit: at most rows / rows_per_chunk of them.
+    over the limit: at most rows / rows_per_chunk of them. ``plan_from`` is a cheaper frame to
+    plan the cuts from: it must hold the key and order of every row of ``df``, and may hold more
+    (any cuts give right results; those of a superset are balanced enough).
     """
     limit = rows_per_chunk or rows_per_chunk_of(df)
     key, order = tuple(key), tuple(order)
+    source = plan_from if plan_from is not None else df
     hot = (
-        df.groupBy(*key)
+        source.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > limit)
         .toArrow()
@@ -406,7 +410,7 @@ def ordered(
     spark = df.sparkSession
     hot_keys = broadcast_if_small(spark.createDataFrame(hot).drop("_n"), hot.num_rows)
     cols = list(dict.fromkeys([*key, *order]))
-    sample = _join_null_safe(df.select(*cols), hot_keys, key, "inner").where(
+    sample = _join_null_safe(source.select(*cols), hot_keys, key, "inner").where(
         F.pmod(F.xxhash64(*cols), F.lit(_HASH_RANGE))
         < max(1, _HASH_RANGE * _SAMPLES_PER_CHUNK // limit)
     )

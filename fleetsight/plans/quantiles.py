@@ -12,16 +12,23 @@ _ACCURACY = 20_000
 
 
 def exact_quantile(
-    df: DataFrame, col: str, p: float, buffer_rows: int = BUFFER_ROWS
+    df: DataFrame,
+    col: str,
+    p: float,
+    buffer_rows: int = BUFFER_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """One row ``quantile``: linear interpolation at rank p * (n - 1).
 
     Beyond ``buffer_rows`` rows, a sketch of bounded size and rank error brackets the wanted
     rank. Each further pass sketches the bracket alone and shrinks it some 5000-fold, until
     few rows are left (or only ties); these are counted by value and ranked. All passes combine
-    map side, and two passes serve 10^12 rows.
+    map side, and two rounds serve 10^12 rows. ``at_most``: known upper bound of the row count,
+    which saves counting a small frame.
     """
     values = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    if at_most is not None and at_most <= buffer_rows:
+        return values.agg(F.percentile("x", p).alias("quantile"))
     head = values.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     n, lo, hi = head.first()
     if n <= buffer_rows:

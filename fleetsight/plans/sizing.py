@@ -25,3 +25,17 @@ def count_up_to(df: DataFrame, limit: int) -> int:
 
 def broadcast_if_counted(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     return broadcast_if_small(df, count_up_to(df, limit), limit)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a batch frame with too few input splits over the cores before heavy row work.
+
+    A large table comes in many splits and passes through untouched. Hashing by ``keys`` (which
+    should identify rows) keeps the placement the same when a task is run again.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -15,6 +15,7 @@ from fleetsight.operators import reconstruct as rec
 from fleetsight.operators.forest import fit_iforest, score_iforest
 from fleetsight.operators.scaling import standard_scale
 from fleetsight.operators.timeseries import make_sequences
+from fleetsight.plans.kept import kept
 from fleetsight.registry.base import KERNEL, LATEST, COUNT_NAMES, TRANSITIONS, E, features_sql
 from fleetsight.registry.base import query, r6, trust_sql
 from fleetsight.registry.features import SECRET
@@ -79,7 +80,7 @@ def detect_trust_v2(spark, sf_dir):
     metrics = ad.metrics_v2(ad.events(spark, sf_dir))
     trained = train_v2(metrics)
     scored = score_sequences(metrics, trained.scaler, trained.model, trained.threshold)
-    return detect_v2(scored.drop("seq"))
+    return detect_v2(scored.drop("seq"), plan_from=metrics)
 
 
 # ----------------------------------------------------------------------------------- models
@@ -87,16 +88,14 @@ def detect_trust_v2(spark, sf_dir):
 
 @query()
 def iforest_scores(spark, sf_dir):
-    items = ad.load(spark, sf_dir, "lineitem").select(*ad.FOREST_ID, *ad.FOREST_FEATURES)
-    scaled = standard_scale(items, ad.FOREST_FEATURES)
+    scaled = standard_scale(ad.forest_items(spark, sf_dir), ad.FOREST_FEATURES)
     forest = fit_iforest(scaled, ad.FOREST_FEATURES, ad.FOREST_ID)
     return score_iforest(scaled, forest).select(*ad.FOREST_ID, r6("score"))
 
 
 @query()
 def train_record_detector(spark, sf_dir):
-    items = ad.load(spark, sf_dir, "lineitem")
-    model = train_v1(items, ad.FOREST_ID, ad.FOREST_FEATURES)
+    model = train_v1(ad.forest_items(spark, sf_dir), ad.FOREST_ID, ad.FOREST_FEATURES)
     return model.summary.select(*[r6(c) for c in model.summary.columns])
 
 
@@ -109,8 +108,9 @@ def _sequences(spark, sf_dir):
 @query()
 def reconstruction_scores(spark, sf_dir):
     seqs = _sequences(spark, sf_dir)
-    model = rec.fit_reconstruction(seqs)
-    threshold = rec.calibrate(seqs, model).first()["threshold"]
+    with kept(seqs) as training:
+        model = rec.fit_reconstruction(training)
+        threshold = rec.calibrate(training, model).first()["threshold"]
     scored = rec.score_reconstruction(seqs, model, threshold)
     return scored.select("node", F.unix_micros("ts").alias("ts"), r6("loss"), "status")
 

@@ -10,6 +10,9 @@ from fleetsight import schemas
 from fleetsight.functions.scalars import first_json_key, is_json_object, parse_iso
 
 
+_BLANKS = " \t\r\n\f\v"
+
+
 def _text(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
     return reader.text(path).withColumnRenamed("value", "raw")
@@ -17,11 +20,13 @@ def _text(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
 
 def drop_blank(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Strip lines and drop the empty ones."""
-    return df.withColumn(raw, F.regexp_replace(raw, r"^\s+|\s+$", "")).where(F.col(raw) != "")
+    return df.withColumn(raw, F.trim(F.col(raw), F.lit(_BLANKS))).where(F.col(raw) != "")
 
 
 def _objects(df: DataFrame, raw: str) -> DataFrame:
-    return drop_blank(df, raw).where(is_json_object(F.col(raw)))
+    # blank lines are no objects either, so one condition covers both
+    stripped = F.trim(F.col(raw), F.lit(_BLANKS))
+    return df.withColumn(raw, stripped).where(is_json_object(F.col(raw)))
 
 
 def parse_metric_lines(df: DataFrame, raw: str = "raw") -> DataFrame:

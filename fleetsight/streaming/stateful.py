@@ -113,16 +113,22 @@ class _DensifyProcessor(StatefulProcessor):
         self.handle.registerTimer(start_ms + 2 * self.window_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values("window_start")
+        pdf = pd.concat(list(rows))
         starts = pdf["window_start"].astype("datetime64[ms]").astype("int64").to_numpy()
-        last = self.last.get()[0] if self.last.exists() else int(starts[0]) - self.window_ms
+        first = int(starts.min())
+        last = self.last.get()[0] if self.last.exists() else first - self.window_ms
         fresh = starts > last  # a window already filled with zeros is closed
-        for start, row in zip(starts[fresh], np.flatnonzero(fresh)):
-            if start > last + self.window_ms:
-                yield self._zero_rows(key[0], last + self.window_ms, int(start))
-            yield pdf.iloc[[row]][["node", "window_start", *self.counts]]
-            last = int(start)
-        self.last.update((last,))
+        if fresh.any():
+            end = int(starts.max())
+            out = self._zero_rows(key[0], last + self.window_ms, end + self.window_ms)
+            place = (starts[fresh] - last) // self.window_ms - 1
+            for c in self.counts:
+                values = out[c].to_numpy(copy=True)
+                values[place] = pdf[c].to_numpy()[fresh]
+                out[c] = values
+            yield out
+            last = end
+            self.last.update((last,))
         self._rearm(last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
