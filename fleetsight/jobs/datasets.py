@@ -16,7 +16,7 @@ from fleetsight.operators.labeling import label_dataset, label_totals
 from fleetsight.operators.predicates import project_defaults
 from fleetsight.operators.vectors import align_vectors
 from fleetsight.schemas import EVENT_COUNTS
-from fleetsight.sinks.tables import append_table, write_labeled, write_table
+from fleetsight.sinks.tables import CSV_OPTIONS, append_table, write_labeled, write_table
 from fleetsight.sources.lines import parse_metric_lines
 from fleetsight.sources.payloads import parse_instant_vector
 
@@ -49,8 +49,10 @@ def build_labeled_dataset(
         write_labeled(labeled, path)
     else:
         write_table(labeled, path, fmt=fmt)
-    saved = features.sparkSession.read.schema(labeled.schema).format(fmt)
-    return label_totals((saved.option("header", True) if fmt == "csv" else saved).load(path))
+    reader = features.sparkSession.read
+    if fmt == "csv":  # the label is the second column of the file; header names pick it
+        return label_totals(reader.options(**CSV_OPTIONS).csv(path).select("label"))
+    return label_totals(reader.schema(labeled.schema).parquet(path))
 
 
 def metric_rows_v1(lines: DataFrame) -> DataFrame:

@@ -13,25 +13,32 @@ from fleetsight.functions.scalars import fixed_decimals, fixed_width, map_json
 
 KEEP_VERSIONS = 3
 
+# Quotes inside a cell are doubled, as common CSV readers and writers do.
+CSV_OPTIONS = {"header": "true", "escape": '"'}
+
 
 def _csv_ready(df: DataFrame) -> DataFrame:
     maps = {f.name: map_json(F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.MapType)}
     return df.withColumns(maps) if maps else df
 
 
+def _save(df: DataFrame, path: str, fmt: str, mode: str) -> None:
+    if fmt == "csv":
+        _csv_ready(df).write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    else:
+        df.write.mode(mode).format(fmt).save(path)
+
+
 def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append rows. Every CSV part carries its header, so a reader sees it once per file."""
-    writer = (_csv_ready(df) if fmt == "csv" else df).write.mode("append").format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    _save(df, path, fmt, "append")
 
 
 def write_table(
     df: DataFrame, path: str, columns: Sequence[str] | None = None, fmt: str = "parquet"
 ) -> None:
     """Replace a dataset, columns in a fixed order."""
-    out = df.select(*columns) if columns else df
-    writer = (_csv_ready(out) if fmt == "csv" else out).write.mode("overwrite").format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    _save(df.select(*columns) if columns else df, path, fmt, "overwrite")
 
 
 def write_labeled(df: DataFrame, path: str, partition_by: Sequence[str] = ("label",)) -> None:

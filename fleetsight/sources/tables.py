@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight import schemas
+from fleetsight.sinks.tables import CSV_OPTIONS, latest_version_path
 
 DEFAULT_THRESHOLD = 0.5
 
@@ -22,12 +23,21 @@ POLICY_ACTIONS = ("log", "taint", "cordon", "drain")
 
 
 def read_metrics_csv(spark: SparkSession, path: str, schema: str = schemas.METRICS_V1) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+
+
+def read_node_features_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Feature rows whose last column is JSON text in the file and a map in the frame."""
+    as_text = schemas.NODE_FEATURES.replace("MAP<STRING, BIGINT>", "STRING")
+    rows = read_metrics_csv(spark, path, as_text)
+    return rows.withColumn(
+        "syscall_feature_vector", F.from_json("syscall_feature_vector", "MAP<STRING, BIGINT>")
+    )
 
 
 def read_scenario_windows(spark: SparkSession, path: str) -> DataFrame:
     """Scenario windows with ``pos`` = file order (file name, then offset within the file)."""
-    rows = spark.read.schema(schemas.SCENARIO_WINDOWS).option("header", True).csv(path)
+    rows = read_metrics_csv(spark, path, schemas.SCENARIO_WINDOWS)
     # Assigned while reading, before any shuffle: increases along each file and partition.
     return rows.withColumn("pos", F.monotonically_increasing_id())
 
@@ -71,8 +81,6 @@ def load_threshold(spark: SparkSession, path: str, default: float = DEFAULT_THRE
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """Current-state snapshot; empty where there is none yet."""
-    from fleetsight.sinks.tables import latest_version_path
-
     current = latest_version_path(spark, path)
     found = _read_or_none(spark, current, "parquet", schemas.NODE_STATE) if current else None
     return found if found is not None else spark.createDataFrame([], schemas.NODE_STATE)
