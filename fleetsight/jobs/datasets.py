@@ -9,12 +9,12 @@ from fleetsight.operators.events import (
     WINDOW,
     assemble_features,
     densify,
-    event_features,
-    event_histogram,
+    event_summary,
 )
 from fleetsight.operators.labeling import label_dataset, label_totals
 from fleetsight.operators.predicates import project_defaults
 from fleetsight.operators.vectors import align_vectors
+from fleetsight.plans.kept import settled
 from fleetsight.schemas import EVENT_COUNTS
 from fleetsight.sinks.tables import CSV_OPTIONS, append_table, write_labeled, write_table
 from fleetsight.sources.lines import parse_metric_lines
@@ -27,13 +27,13 @@ def feature_dataset(
     """Kernel events and metric samples -> one row per known node and window.
 
     A node seen in events keeps emitting rows, zero where it was silent, up to the last window
-    of either input. ``metrics`` is long (node, window_start, metric, value).
+    of either input. ``metrics`` is long (node, window_start, metric, value). The events are
+    parsed and counted once; the grid works on the far smaller result.
     """
-    features = event_features(events, window, ts)
+    features = settled(event_summary(events, window, ts))
     ends = features.select("window_start").unionByName(metrics.select("window_start"))
     last = ends.agg(F.max("window_start").alias("last_window"))
-    dense = densify(features, window, fill=EVENT_COUNTS, end=last)
-    return assemble_features(metrics, dense, event_histogram(events, window, ts))
+    return assemble_features(metrics, densify(features, window, fill=EVENT_COUNTS, end=last))
 
 
 def build_feature_dataset(events: DataFrame, metrics: DataFrame, path: str, **kw) -> None:

@@ -64,6 +64,39 @@ def event_histogram(events: DataFrame, window: str = WINDOW, ts: str = "ts") ->
     )
 
 
+def event_summary(events: DataFrame, window: str = WINDOW, ts: str = "ts") -> DataFrame:
+    """Counts and histogram map per (node, window) from one pass over the events.
+
+    Grouping sets count by binary (rows with each distinct binary once) and by kind side by side;
+    the second grouping then sums the former and gathers the latter, one entry per kind.
+    """
+    is_exec = F.col("event_class") == "exec"
+    aggs = feature_aggregates()
+    base = events.select(
+        "node",
+        F.window(ts, window)["start"].alias("window_start"),
+        F.when(is_exec, F.col("binary")).alias("_binary"),
+        "kind",
+        "event_class",
+        "binary",
+        "dports",
+    )
+    by = [F.col(c) for c in ("node", "window_start", "_binary", "kind")]
+    sets = base.groupingSets([by[:3], [by[0], by[1], by[3]]], *by).agg(
+        F.grouping("kind").alias("_by_binary"),
+        F.count_if(F.col("event_class").isNotNull()).alias("_n"),
+        *[a.alias(n) for n, a in aggs.items()],
+    )
+    of_binary, of_kind = F.col("_by_binary") == 1, F.col("_by_binary") == 0
+    entry = F.when(of_kind & (F.col("_n") > 0), F.struct("kind", F.col("_n").alias("n")))
+    sums = {n: F.coalesce(F.sum(F.when(of_binary, F.col(n))), F.lit(0)) for n in aggs}
+    sums["unique_process_count"] = F.count(F.when(of_binary, F.col("_binary")))
+    return sets.groupBy("node", "window_start").agg(
+        *[sums[c].alias(c) for c in EVENT_COUNTS],
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("syscall_feature_vector"),
+    )
+
+
 def known_nodes(*frames: DataFrame, node: str = "node") -> DataFrame:
     """Distinct node names over all inputs."""
     out = frames[0].select(node)
@@ -75,22 +108,20 @@ def known_nodes(*frames: DataFrame, node: str = "node") -> DataFrame:
 def assemble_features(
     metrics: DataFrame,
     features: DataFrame,
-    histogram: DataFrame,
     label: str = "normal",
     gauges: Sequence[str] = NODE_GAUGES,
 ) -> DataFrame:
     """Full outer match of metric samples and event features on (node, window_start).
 
-    ``metrics`` is long: (node, window_start, metric, value). All three inputs are unioned into
-    one sparse frame and grouped once: one shuffle with map-side combine, no outer-join chain.
+    ``metrics`` is long: (node, window_start, metric, value); ``features`` as given by
+    ``event_summary``. Both are unioned into one sparse frame and grouped once: one shuffle with
+    map-side combine, no outer-join chain.
     """
     empty_map = F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<bigint>")
     )
-    sparse = (
-        metrics.select("node", "window_start", "metric", "value")
-        .unionByName(features, allowMissingColumns=True)
-        .unionByName(histogram, allowMissingColumns=True)
+    sparse = metrics.select("node", "window_start", "metric", "value").unionByName(
+        features, allowMissingColumns=True
     )
     return (
         sparse.groupBy("node", "window_start")

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight.functions.scalars import epoch_seconds, parse_iso
-from fleetsight.plans.sizing import BROADCAST_ROW_LIMIT, broadcast_if_counted, count_up_to
+from fleetsight.plans.sizing import count_up_to
 
 START_PAD = 10
 END_PAD = 15
 DEFAULT_LABEL = "normal"
 ARRAY_LIMIT = 64  # windows that are tried one by one per row; more go through the time tree
-_LEVELS = 40  # 2^40 seconds cover any epoch range
+CELL_LIMIT = 100_000  # tree cells that are broadcast; more are joined by a shuffle
 
 
 def label_by_windows(
@@ -75,12 +75,13 @@ def window_cells(padded: DataFrame) -> DataFrame:
     share a cell are reduced to one by a map-side combined minimum. A moment lies in exactly one
     cell per level, hence its first window is the minimum over the levels in use.
     """
+    top = (F.floor(F.log2(F.col("e") + 2 - F.col("s"))) + 1).cast("int")  # no larger cell fits
     spans = padded.select(
         "pos",
         "label",
         "s",
         (F.col("e") + 1).alias("t"),  # half open [s, t)
-        F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level"),
+        F.explode(F.sequence(F.lit(0), top)).alias("level"),
     )
     width = F.expr("shiftleft(1L, level)")
     # first and past-the-end whole cell of this level inside the window
@@ -106,18 +107,43 @@ def window_cells(padded: DataFrame) -> DataFrame:
 
 
 def _by_tree(rows: DataFrame, padded: DataFrame, default: str) -> DataFrame:
-    """Labels depend on the whole second only, so each distinct second is looked up once."""
     cells = window_cells(padded)
+    used = cells.groupBy("level").count().orderBy("level").toArrow().to_pydict()  # <= 41 rows
+    if sum(used["count"]) <= CELL_LIMIT:
+        return _by_cells(rows, cells, used["level"], default)
+    return _by_second(rows, cells, used["level"], default)
+
+
+def _by_cells(rows: DataFrame, cells: DataFrame, levels: list[int], default: str) -> DataFrame:
+    """One broadcast lookup per level, cells being few (counted): the rows stay where they are."""
+    # brought over once, instead of cutting the windows again for every level
+    few = rows.sparkSession.createDataFrame(cells.toArrow())
+    hits = []
+    for level in levels:
+        side = F.broadcast(
+            few.where(F.col("level") == level).select(
+                F.col("cell").alias("_cell"), F.col("hit").alias(f"_hit{level}")
+            )
+        )
+        here = F.shiftright("_epoch", level)
+        rows = rows.join(side, here == F.col("_cell"), "left").drop("_cell")
+        hits.append(F.col(f"_hit{level}"))
+    first = F.array_min(F.array_compact(F.array(*hits)))  # structs order by pos
+    names = [f"_hit{level}" for level in levels]
+    return rows.withColumn("label", F.coalesce(first["label"], F.lit(default))).drop(*names)
+
+
+def _by_second(rows: DataFrame, cells: DataFrame, levels: list[int], default: str) -> DataFrame:
+    """Shuffled lookup for window tables beyond broadcast size. Labels depend on the whole second
+    only, so each distinct second is looked up once and the result joined back; it is unique per
+    second, and a busy second is split by AQE on the row side."""
     seconds = rows.select("_epoch").where(F.col("_epoch").isNotNull()).distinct()
-    levels = cells.agg(F.sort_array(F.collect_set("level")).alias("_levels"))
-    probes = (
-        seconds.crossJoin(F.broadcast(levels))
-        .select("_epoch", F.explode("_levels").alias("level"))
-        .withColumn("cell", F.expr("shiftright(_epoch, level)"))
-    )
+    probes = seconds.select(
+        "_epoch", F.explode(F.array(*[F.lit(x) for x in levels])).alias("level")
+    ).withColumn("cell", F.expr("shiftright(_epoch, level)"))
     # cells are unique per (level, cell): at most one match per probe
     labels = (
-        probes.join(broadcast_if_counted(cells, BROADCAST_ROW_LIMIT), ["level", "cell"])
+        probes.join(cells, ["level", "cell"])
         .groupBy("_epoch")
         .agg(F.min_by("hit.label", "hit.pos").alias("label"))
     )

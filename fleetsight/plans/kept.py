@@ -10,6 +10,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and return a frame that reads the result, for plans that use it in
+    several places. It lives in ``spark.checkpoint.dir`` like a checkpoint (and, like one, is
+    cleared with that folder); where that is unset the frame is persisted."""
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{shared}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """Keep ``df`` for the passes inside the block.

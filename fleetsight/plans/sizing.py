@@ -23,10 +23,6 @@ def count_up_to(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
-def broadcast_if_counted(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    return broadcast_if_small(df, count_up_to(df, limit), limit)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a batch frame with too few input splits over the cores before heavy row work.
 

@@ -223,9 +223,7 @@ def assemble_features(spark, sf_dir):
     kernel = parse_kernel_events(ad.kernel_lines(ev))
     return _feature_text(
         ops.assemble_features(
-            ad.metric_samples(ev, "1 hour"),
-            ops.event_features(kernel, "1 hour"),
-            ops.event_histogram(kernel, "1 hour"),
+            ad.metric_samples(ev, "1 hour"), ops.event_summary(kernel, "1 hour")
         )
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetsight import schemas
-from fleetsight.functions.scalars import first_json_key, is_json_object, parse_iso
+from fleetsight.functions.scalars import is_json_object, parse_iso
 
 
 _BLANKS = " \t\r\n\f\v"
@@ -62,18 +62,18 @@ def parse_kernel_events(df: DataFrame, raw: str = "raw") -> DataFrame:
     ``event_class`` and is counted nowhere.
     """
     schema = T._parse_datatype_string(schemas.KERNEL_EVENT)
-    keys = F.json_object_keys(raw)
-
     def has(name: str) -> Column:
-        return F.array_contains(keys, name)
+        return F.array_contains("_keys", name)
 
-    parsed = _objects(df, raw).withColumn("_e", F.from_json(raw, schema))
+    parsed = _objects(df, raw).withColumns(
+        {"_e": F.from_json(raw, schema), "_keys": F.json_object_keys(raw)}
+    )
     flat = parsed.select(
         *[c for c in df.columns if c != raw],
         raw,
         F.coalesce("_e.node_name", F.lit("unknown")).alias("node"),
         parse_iso(F.col("_e.time")).alias("event_time"),
-        first_json_key(F.col(raw)).alias("kind"),
+        F.coalesce(F.get("_keys", F.lit(0)), F.lit("unknown")).alias("kind"),
         has("process_exec").alias("has_exec"),
         F.col("_e.process_exec.process").isNotNull().alias("has_process"),
         F.coalesce("_e.process_exec.process.binary", F.lit("")).alias("binary"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetsight.functions import scalars as S
+from fleetsight.operators import labeling
 from fleetsight.operators.events import event_features, event_histogram
 from fleetsight.operators.labeling import label_by_windows, window_cells
 from fleetsight.operators.predicates import bad_nodes, classify
@@ -136,6 +137,12 @@ def test_time_tree_equals_loop(spark):
     for e, label in got.items():
         hit = [w[2] for w in wins if w[0] + 10 <= e <= w[1] + 15]
         assert label == (hit[0] if hit else "normal")
+    try:  # the shuffled form must agree as well
+        limit, labeling.CELL_LIMIT = labeling.CELL_LIMIT, 0
+        again = {r.epoch: r.label for r in label_by_windows(rows, windows, array_limit=0).collect()}
+    finally:
+        labeling.CELL_LIMIT = limit
+    assert again == got
     padded = windows.selectExpr("start_time AS s", "end_time AS e", "label", "pos")
     assert window_cells(padded).count() <= 2 * 11 * len(wins)
 
