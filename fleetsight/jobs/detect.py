@@ -12,7 +12,12 @@ from fleetsight.operators.forest import Forest, score_iforest
 from fleetsight.operators.predicates import classify, drop_stale, exclude_nodes
 from fleetsight.operators.reconstruct import Reconstruction, score_reconstruction
 from fleetsight.operators.scaling import detection_totals, minmax_scale
-from fleetsight.operators.timeseries import broadcast_params, make_sequences, series_for_plot
+from fleetsight.operators.timeseries import (
+    align_last_n,
+    make_sequences,
+    series_for_plot,
+    with_params,
+)
 from fleetsight.operators.trust import (
     V1,
     V2,
@@ -132,7 +137,30 @@ def score_sequences(
     nodes = exclude_nodes(metrics, node=key).dropna(subset=list(FEATURES_V2))
     scaled = minmax_scale(nodes, FEATURES_V2, scaler)
     seqs = make_sequences(scaled, FEATURES_V2, length, drop_last=False, by=[key], order=[ts])
-    limited = broadcast_params(seqs, threshold.select("threshold"))
+    limited = with_params(seqs, threshold.select("threshold"))
+    return score_reconstruction(limited, model, F.col("threshold"))
+
+
+def latest_sequence_scores(
+    series: DataFrame,
+    scaler: DataFrame,
+    model: Reconstruction,
+    threshold: DataFrame,
+    key: str = "node",
+    length: int = 10,
+) -> DataFrame:
+    """Metric samples (node, metric, ts, value), e.g. parsed range matrices, -> one verdict per
+    node on its newest ``length`` points of every metric. Nodes with too few points are left out.
+    """
+    samples = with_params(exclude_nodes(series, node=key), scaler)
+    scaled = F.lit(None).cast("double")
+    for m in FEATURES_V2:
+        spread = F.col(f"{m}_max") - F.col(f"{m}_min")
+        unit = (F.col("value") - F.col(f"{m}_min")) / F.when(spread == 0, 1.0).otherwise(spread)
+        scaled = F.when(F.col("metric") == m, unit).otherwise(scaled)
+    samples = samples.withColumn("value", scaled).drop(*scaler.columns)
+    seqs = align_last_n(samples, length, key=[key], metrics=FEATURES_V2)
+    limited = with_params(seqs, threshold.select("threshold"))
     return score_reconstruction(limited, model, F.col("threshold"))
 
 

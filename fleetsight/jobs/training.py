@@ -108,7 +108,8 @@ def train_v2(
     scaled = minmax_scale(data, feats, scaler)
     # fitting and calibrating make several passes over the sequences
     with kept(make_sequences(scaled, feats, length, by=key, order=[ts])) as seqs:
-        model = fit_reconstruction(augment_noise(seqs, [*key, ts]), k)
+        with kept(augment_noise(seqs, [*key, ts])) as noisy:
+            model = fit_reconstruction(noisy, k)
         fitted = calibrate(seqs, model).toArrow()  # one row
     threshold = spark.createDataFrame(fitted)
     if path:

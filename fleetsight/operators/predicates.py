@@ -28,6 +28,12 @@ def select_features(
     return df.select(*keep, *feats).dropna(subset=list(feats))
 
 
+def _age(now: Column | None, ts: str) -> Column:
+    if now is None:
+        now = F.unix_micros(F.current_timestamp()) / 1_000_000
+    return now - F.coalesce(F.col(ts), F.lit(0.0))
+
+
 def drop_stale(
     df: DataFrame,
     max_age_s: float = 5.0,
@@ -39,9 +45,17 @@ def drop_stale(
     ``now`` is an arrival-time column in epoch seconds (wall clock when left out, as in streams).
     Unlike a watermark this compares each record with the clock, not with the newest event.
     """
-    if now is None:
-        now = F.unix_micros(F.current_timestamp()) / 1_000_000
-    return df.where(now - F.coalesce(F.col(ts), F.lit(0.0)) <= max_age_s)
+    return df.where(_age(now, ts) <= max_age_s)
+
+
+def stale_records(
+    df: DataFrame,
+    max_age_s: float = 5.0,
+    now: Column | None = None,
+    ts: str = "timestamp",
+) -> DataFrame:
+    """What ``drop_stale`` drops, for a side table of late records."""
+    return df.where(_age(now, ts) > max_age_s)
 
 
 def exclude_nodes(df: DataFrame, substr: str = "control-plane", node: str = "node") -> DataFrame:

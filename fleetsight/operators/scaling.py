@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.operators.timeseries import broadcast_params
+from fleetsight.operators.timeseries import with_params
 from fleetsight.plans.quantiles import exact_quantile
 
 SUGGESTED_MARGIN = 0.05
@@ -42,7 +42,7 @@ def standard_scale(
         / F.when(F.col(f"{f}_std") == 0, 1.0).otherwise(F.col(f"{f}_std"))
         for f in feats
     }
-    return broadcast_params(df, params).withColumns(scaled).drop(*params.columns)
+    return with_params(df, params).withColumns(scaled).drop(*params.columns)
 
 
 def minmax_scale(
@@ -56,7 +56,7 @@ def minmax_scale(
         return (F.col(f) - F.col(f"{f}_min")) / F.when(spread == 0, 1.0).otherwise(spread)
 
     return (
-        broadcast_params(df, params)
+        with_params(df, params)
         .withColumns({f: scaled(f) for f in feats})
         .drop(*params.columns)
     )

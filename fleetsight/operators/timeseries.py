@@ -358,6 +358,6 @@ def series_for_plot(
     )
 
 
-def broadcast_params(df: DataFrame, params: DataFrame) -> DataFrame:
+def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
     """Attach a one-row parameter frame to every row (``limit(1)`` proves its size)."""
     return df.crossJoin(broadcast_if_small(params.limit(1), 1))

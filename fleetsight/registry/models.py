@@ -17,7 +17,7 @@ from fleetsight.operators.scaling import standard_scale
 from fleetsight.operators.timeseries import make_sequences
 from fleetsight.plans.kept import kept
 from fleetsight.registry.base import KERNEL, LATEST, COUNT_NAMES, TRANSITIONS, E, features_sql
-from fleetsight.registry.base import query, r6, trust_sql
+from fleetsight.registry.base import query, r6
 from fleetsight.registry.features import SECRET
 from fleetsight.session import checkpoint_dir
 from fleetsight.sources.lines import parse_kernel_events, parse_metric_lines
@@ -27,6 +27,7 @@ from fleetsight.streaming.features import stream_kind_counts as kinds_of_stream
 from fleetsight.streaming.run import run_bounded, stream_to_table
 from fleetsight.streaming.stateful import ROCKSDB, STATE_STORE_CONF, stream_sequence_scores
 from fleetsight.streaming.stateful import stream_densify as densify_stream
+from fleetsight.streaming.trust import stream_detect_v1
 from fleetsight.streaming.trust import stream_trust as trust_of_stream
 
 
@@ -39,8 +40,7 @@ def verify_signatures(spark, sf_dir):
     return lines.select("event_id", verify_signature(F.col("raw"), SECRET).alias("verified"))
 
 
-@query(
-    f"""WITH {E}, good AS (
+_DETECT_SQL = f"""WITH {E}, good AS (
   SELECT *, event_id % 50 = 0 OR event_id % 23 = 4 AS tampered,
          value / 1000 - 0.2 <= -0.17 AS low
   FROM e WHERE event_id % 31 <> 2 AND event_id % 13 <> 1),
@@ -61,7 +61,9 @@ SELECT event_id, node, CASE WHEN tampered THEN 'Tampered' WHEN low THEN 'Anomaly
     WHEN status = 'Healthy' AND old = 'Probation' THEN 'UNTAINT'
     WHEN status = 'Healthy' AND old = 'Banned' THEN 'UNCORDON+UNTAINT' END AS action
 FROM p"""
-)
+
+
+@query(_DETECT_SQL)
 def detect_trust_v1(spark, sf_dir):
     lines = ad.metric_lines(ad.events(spark, sf_dir), SECRET)
     trace = detect_v1(
@@ -204,6 +206,25 @@ def _with_rocksdb(spark, run):
             spark.conf.set(STATE_STORE_CONF, before)
 
 
+@query(_DETECT_SQL)
+def stream_detect(spark, sf_dir):
+    work = _workspace(spark)
+    lines = ad.metric_lines(_event_stream(spark, sf_dir), SECRET)
+    run_bounded(
+        stream_detect_v1(
+            lines,
+            SECRET,
+            lambda: F.col("cpu") / 1000 - 0.2,
+            work,
+            f"{work}/checkpoint",
+            threshold=-0.17,
+            now=F.col("arrival"),
+        )
+    )
+    trace = spark.read.parquet(f"{work}/trace")
+    return trace.select("event_id", "node", "raw_status", "score", "status", "action")
+
+
 @query()
 def stream_sequence_losses(spark, sf_dir):
     model = rec.fit_reconstruction(_sequences(spark, sf_dir))
@@ -213,7 +234,20 @@ def stream_sequence_losses(spark, sf_dir):
     return out.select("node", F.unix_micros("ts").alias("ts"), r6("loss"))
 
 
-@query()
+@query(
+    f"""WITH {KERNEL}, {features_sql('day')},
+closed AS (SELECT * FROM features
+  WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 SECOND FROM parsed)),
+last_window AS (SELECT max(generate_series) AS last_w FROM generate_series(
+  (SELECT min(w) FROM closed), (SELECT max(ts) - INTERVAL 10 SECOND - INTERVAL 1 DAY FROM parsed),
+  INTERVAL 1 DAY)),
+first_seen AS (SELECT node, min(w) AS w0 FROM closed GROUP BY node),
+grid AS (SELECT node, unnest(generate_series(w0, last_w, INTERVAL 1 DAY)) AS w
+  FROM first_seen, last_window)
+SELECT node, epoch_us(w) AS window_start,
+  {", ".join(f"coalesce({c.strip()}, 0) AS {c.strip()}" for c in COUNT_NAMES.split(","))}
+FROM grid LEFT JOIN closed USING (node, w)"""
+)
 def stream_densify(spark, sf_dir):
     kernel = parse_kernel_events(ad.kernel_lines(_event_stream(spark, sf_dir)))
     dense = densify_stream(features_of_stream(kernel, "1 day"), 86_400)

@@ -191,19 +191,23 @@ def plot_series(spark, sf_dir):
 ORDER = ("ts", "event_id")
 
 
+# An Arrow stage reads every column it is given, so only the needed ones go in.
+STEP = ("node", *ORDER, "is_anomaly")
+
+
 def _records(spark, sf_dir):
     return ad.records(ad.events(spark, sf_dir))
 
 
 @query(f"WITH {trust_sql(15.0, 2.0)} SELECT node, event_id, score FROM scored")
 def trust_v1(spark, sf_dir):
-    out = tr.trust_scores(_records(spark, sf_dir), tr.V1, order=ORDER)
+    out = tr.trust_scores(_records(spark, sf_dir).select(*STEP), tr.V1, order=ORDER)
     return out.select("node", "event_id", "score")
 
 
 @query(f"WITH {trust_sql(5.0, 1.0)} SELECT node, event_id, score FROM scored")
 def trust_v2(spark, sf_dir):
-    out = tr.trust_scores(_records(spark, sf_dir), tr.V2, order=ORDER)
+    out = tr.trust_scores(_records(spark, sf_dir).select(*STEP), tr.V2, order=ORDER)
     return out.select("node", "event_id", "score")
 
 
@@ -249,7 +253,7 @@ SELECT node, event_id, score, flag = 1 AS cordoned,
 FROM edges"""
 )
 def hysteresis(spark, sf_dir):
-    out = tr.cordon_trace(_records(spark, sf_dir), tr.V1, order=ORDER)
+    out = tr.cordon_trace(_records(spark, sf_dir).select(*STEP), tr.V1, order=ORDER)
     return out.select("node", "event_id", "score", "cordoned", "action")
 
 

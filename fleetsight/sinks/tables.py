@@ -154,15 +154,14 @@ def detection_report(df: DataFrame, order: Sequence[str] = ("pos",)) -> DataFram
     return head.unionByName(rows).unionByName(foot)
 
 
+def ordered_report(df: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """Report lines in arrival order (a range-partitioned sort of short text rows)."""
+    return detection_report(df, order).orderBy("section", *order).select("line")
+
+
 def write_report(df: DataFrame, path: str, order: Sequence[str] = ("pos",)) -> None:
     """Report text in order; part files are numbered in that order."""
-    (
-        detection_report(df, order)
-        .orderBy("section", *order)
-        .select("line")
-        .write.mode("overwrite")
-        .text(path)
-    )
+    ordered_report(df, order).write.mode("overwrite").text(path)
 
 
 def actions_table(df: DataFrame, columns: Sequence[str] = ("node", "ts", "action")) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetsight import schemas
+from fleetsight.jobs.detect import LIVE_THRESHOLD, Scorer, verify_and_score
 from fleetsight.operators.trust import (
     V1,
     TrustPolicy,
@@ -85,3 +86,24 @@ def stream_trust(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def stream_detect_v1(
+    lines: DataFrame,
+    secret: str,
+    scorer: Scorer,
+    root: str,
+    checkpoint: str,
+    threshold: float = LIVE_THRESHOLD,
+    order: Sequence[str] = ("timestamp",),
+    trigger: dict | None = None,
+    policy: TrustPolicy = V1,
+    **kw,
+) -> StreamingQuery:
+    """Signed metric lines as a stream -> trace and current state under ``root``.
+
+    Checks and scores are row-local and run in the stream; trust runs per micro-batch.
+    """
+    scored = verify_and_score(lines, secret, scorer, threshold, **kw)
+    records = scored.withColumn("last_seen", F.col("timestamp"))
+    return stream_trust(records, root, checkpoint, policy, order, trigger)

@@ -9,7 +9,7 @@ from fleetsight.plans.ordered import ROWS_PER_CHUNK_CONF
 SF = "/root/testdata/sf0.001"
 ORDERED = (
     "counter_rate instant_rate eval_grid asof_latest make_sequences sequence_mae series_for_plot "
-    "plot_series trust_v1 status_transitions latch hysteresis detect_trust_v1 stream_trust"
+    "plot_series trust_v1 status_transitions latch hysteresis detect_trust_v1 stream_trust stream_detect"
 ).split()
 
 
@@ -43,7 +43,6 @@ def test_every_exact_query_has_a_twin():
         "reconstruction_scores",
         "augment_noise",
         "stream_sequence_losses",
-        "stream_densify",
     }
 
 
