@@ -44,21 +44,20 @@ def augment_noise(
     Box-Muller over hashes of (row identity, position): a re-run task adds the same noise, which
     ``randn`` (tied to partition and row order) does not promise.
     """
-    scale = float(1 << 53)
-
-    def uniform(i: Column, j: Column, salt: int) -> Column:
-        h = F.xxhash64(*id_cols, i, j, F.lit(seed), F.lit(salt))
-        return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / scale
+    unit = float(1 << 32)
 
     def gauss(i: Column, j: Column) -> Column:
-        radius = F.sqrt(-2.0 * F.log(uniform(i, j, 1)))
-        return radius * F.cos(2.0 * math.pi * uniform(i, j, 2))
+        h = F.xxhash64("_noise", i, j)  # its halves are the two uniform numbers
+        u1 = (F.shiftrightunsigned(h, 32).cast("double") + 0.5) / unit
+        u2 = F.pmod(h, F.lit(1 << 32)).cast("double") / unit
+        return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
     noisy = F.transform(
         col,
         lambda step, i: F.transform(step, lambda x, j: x + sigma * gauss(i, j)),
     )
-    return seqs.withColumn(col, noisy)
+    row_hash = F.xxhash64(*id_cols, F.lit(seed))
+    return seqs.withColumn("_noise", row_hash).withColumn(col, noisy).drop("_noise")
 
 
 @dataclass
