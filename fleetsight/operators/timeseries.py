@@ -25,6 +25,7 @@ from fleetsight.plans.ordered import (
 from fleetsight.plans.sizing import broadcast_if_small
 
 _MICROS = 1_000_000
+FRAME_ROWS = 500  # samples per range up to which a range frame, which rereads them, is used
 
 
 def _micros(ts: str) -> Column:
@@ -69,18 +70,37 @@ def counter_rate(
     rows = _with_growth(samples, key, ts, value, rows_per_chunk)
     span = int(range_s * _MICROS)
     point = F.struct(F.col("_t").alias("t"), F.col("_c").alias("c"))
-    if not rows.split:
+    if not rows.split and _densest(samples, key, ts, span) <= FRAME_ROWS:
         in_range = rows.window.rangeBetween(-span, Window.currentRow)
         df = rows.df.withColumn("_first", F.first(point).over(in_range))
     else:
-        df = _first_in_range(rows.df, key, span, rows_per_chunk)
+        df = _first_in_range(rows.df, samples, key, ts, span, rows_per_chunk)
     return df.withColumn(out, _slope(F.col("_first"), point)).drop(
         "_t", "_c", "_step", "_before", "_first", CHUNK, HOT, "_start"
     )
 
 
+def _densest(samples: DataFrame, key: Sequence[str], ts: str, span: int) -> int:
+    """Most samples of one key in one aligned stretch of the range's length (map-side combined
+    counts; one number comes back)."""
+    stretch = F.floor(_micros(ts) / span).alias("_stretch")
+    counts = samples.groupBy(*key, stretch).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
+def _places(df: DataFrame, key: Sequence[str], ts: str, role: int, shift: int = 0) -> DataFrame:
+    """Key and place in the merged order only, read straight from an input: the cuts of a merged
+    frame are planned from these instead of running the windows below it once more."""
+    return df.select(*key, (_micros(ts) + shift).alias("_at"), F.lit(role).alias("_role"))
+
+
 def _first_in_range(
-    df: DataFrame, key: Sequence[str], span: int, rows_per_chunk: int | None
+    df: DataFrame,
+    samples: DataFrame,
+    key: Sequence[str],
+    ts: str,
+    span: int,
+    rows_per_chunk: int | None,
 ) -> DataFrame:
     """First sample within ``span`` before each row, without a range frame.
 
@@ -94,7 +114,11 @@ def _first_in_range(
         *key, (F.col("_t") + span).alias("_at"), F.lit(1).alias("_role"), point.alias("_leaving")
     )
     merged = ordered(
-        here.unionByName(leave, allowMissingColumns=True), key, ["_at", "_role"], rows_per_chunk
+        here.unionByName(leave, allowMissingColumns=True),
+        key,
+        ["_at", "_role"],
+        rows_per_chunk,
+        plan_from=_places(samples, key, ts, 0).union(_places(samples, key, ts, 1, span)),
     )
     return (
         merged.running(_first=following(F.col("_leaving")))
@@ -203,9 +227,14 @@ def rate_at_ticks(
     merged = arrive.unionByName(asked, allowMissingColumns=True).unionByName(
         leave, allowMissingColumns=True
     )
-    rows = ordered(merged, key, ["_at", "_role"], rows_per_chunk).running(
-        _last=latest(F.col("_arriving")), _first=following(F.col("_leaving"))
+    places = (
+        _places(samples, key, ts, 0)
+        .union(_places(ticks, key, tick, 1))
+        .union(_places(samples, key, ts, 2, span))
     )
+    rows = ordered(
+        merged, key, ["_at", "_role"], rows_per_chunk, plan_from=places
+    ).running(_last=latest(F.col("_arriving")), _first=following(F.col("_leaving")))
     return (
         rows.df.where(F.col("_role") == 1)
         .withColumn(out, _slope(F.col("_first"), F.col("_last")))

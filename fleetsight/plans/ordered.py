@@ -37,7 +37,6 @@ DEFAULT_ROWS_PER_CHUNK = 2_000_000
 
 _SAMPLES_PER_CHUNK = 16
 _HASH_RANGE = 1 << 30
-_SEARCH_STEPS = [1 << b for b in range(20, -1, -1)]
 
 
 def _and(conditions: Sequence[Column]) -> Column:
@@ -424,7 +423,8 @@ def ordered(
         .agg(F.sort_array(F.collect_list("_split")).alias("_splits"))
         .toArrow()
     )
-    n_splits = pc.sum(pc.list_value_length(splits.column("_splits"))).as_py() or 0
+    lengths = pc.list_value_length(splits.column("_splits"))
+    n_splits = pc.sum(lengths).as_py() or 0
     if n_splits == 0:
         return OrderedRows(df.withColumn(CHUNK, F.lit(0)), key, order)
     split_rows = broadcast_if_small(
@@ -433,8 +433,9 @@ def ordered(
     joined = _join_null_safe(df, split_rows, key, "left")
     here = F.struct(*order)
     points = F.col("_splits")
-    chunk = F.aggregate(
-        F.array(*[F.lit(s) for s in _SEARCH_STEPS]),
+    steps = [1 << b for b in reversed(range(pc.max(lengths).as_py().bit_length()))]
+    chunk = F.aggregate(  # binary search: number of split points at or before the row
+        F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda p, s: F.when(
             (p + s <= F.size(points)) & (F.get(points, p + s - 1) <= here), p + s

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetsight.operators import timeseries
 from fleetsight.operators.timeseries import (
     asof_latest,
     counter_rate,
@@ -165,8 +166,9 @@ def loop_rates(samples, span):
     return out
 
 
-@pytest.mark.parametrize("limit", [10_000, SMALL])
-def test_counter_rate(counters, limit):
+@pytest.mark.parametrize("limit,frame", [(10_000, 500), (10_000, 2), (SMALL, 500)])
+def test_counter_rate(counters, limit, frame, monkeypatch):
+    monkeypatch.setattr(timeseries, "FRAME_ROWS", frame)  # 2: too dense for a range frame
     got = counter_rate(counters, 60, key=["node"], rows_per_chunk=limit).collect()
     want = loop_rates(counters.collect(), 60)
     assert len(got) == len(want)
