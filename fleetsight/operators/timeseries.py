@@ -7,10 +7,12 @@ row order goes through ``plans.ordered``, so one busy series never lands in one
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetsight.plans.kept import settled
 from fleetsight.plans.ordered import (
     CHUNK,
     HOT,
@@ -25,7 +27,7 @@ from fleetsight.plans.ordered import (
 from fleetsight.plans.sizing import broadcast_if_small
 
 _MICROS = 1_000_000
-FRAME_ROWS = 500  # samples per range up to which a range frame, which rereads them, is used
+FRAME_ROWS = 50  # samples per range up to which a range frame, which rereads them, is used
 
 
 def _micros(ts: str) -> Column:
@@ -45,6 +47,8 @@ def _with_growth(
     """Add ``_t`` and ``_c``: the counter with its resets taken out, starting from 0."""
     rows = ordered(samples.withColumn("_t", _micros(ts)), key, ["_t"], rows_per_chunk)
     rows = rows.running(_before=previous(F.col(value)))
+    if rows.split:  # the next summary and the rows would each run this window again
+        rows = replace(rows, df=settled(rows.df))
     step = (
         F.when(F.col("_before").isNull(), F.lit(0).cast(samples.schema[value].dataType))
         .when(F.col(value) < F.col("_before"), F.col(value))
@@ -109,12 +113,17 @@ def _first_in_range(
     """
     df = df.drop(CHUNK, HOT, "_start")
     point = F.struct(F.col("_t").alias("t"), F.col("_c").alias("c"))
-    here = df.withColumns({"_at": F.col("_t"), "_role": F.lit(0)})
-    leave = df.select(
-        *key, (F.col("_t") + span).alias("_at"), F.lit(1).alias("_role"), point.alias("_leaving")
+    # both rows come from one pass; a leave event carries nothing but the key and its sample
+    rest = [c for c in df.columns if c not in key]
+    both = df.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_role")).select(
+        *key,
+        *[F.when(F.col("_role") == 0, F.col(c)).alias(c) for c in rest],
+        (F.col("_t") + F.col("_role") * F.lit(span)).alias("_at"),
+        "_role",
+        F.when(F.col("_role") == 1, point).alias("_leaving"),
     )
     merged = ordered(
-        here.unionByName(leave, allowMissingColumns=True),
+        both,
         key,
         ["_at", "_role"],
         rows_per_chunk,
@@ -217,16 +226,18 @@ def rate_at_ticks(
     span = int(range_s * _MICROS)
     growth = _with_growth(samples.select(*key, ts, value), key, ts, value, rows_per_chunk).df
     point = F.struct(F.col("_t").alias("t"), F.col("_c").alias("c"))
-    arrive = growth.select(
-        *key, F.col("_t").alias("_at"), F.lit(0).alias("_role"), point.alias("_arriving")
+    # role 0 arrives, 1 asks, 2 leaves the range
+    moves = growth.select(
+        *key, "_t", point.alias("_p"), F.explode(F.array(F.lit(0), F.lit(2))).alias("_role")
+    ).select(
+        *key,
+        F.when(F.col("_role") == 2, F.col("_t") + span).otherwise(F.col("_t")).alias("_at"),
+        "_role",
+        F.when(F.col("_role") == 0, F.col("_p")).alias("_arriving"),
+        F.when(F.col("_role") == 2, F.col("_p")).alias("_leaving"),
     )
     asked = ticks.withColumns({"_at": _micros(tick), "_role": F.lit(1)})
-    leave = growth.select(
-        *key, (F.col("_t") + span).alias("_at"), F.lit(2).alias("_role"), point.alias("_leaving")
-    )
-    merged = arrive.unionByName(asked, allowMissingColumns=True).unionByName(
-        leave, allowMissingColumns=True
-    )
+    merged = moves.unionByName(asked, allowMissingColumns=True)
     places = (
         _places(samples, key, ts, 0)
         .union(_places(ticks, key, tick, 1))
