@@ -4,7 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetsight.jobs.detect import batch_report, detect_v2, plot_series, score_sequences
+from fleetsight.jobs.detect import (
+    batch_report,
+    detect_v2,
+    latest_sequence_scores,
+    plot_series,
+    score_sequences,
+)
 from fleetsight.jobs.training import load_v1, load_v2, train_v1, train_v2, validate_v2
 from fleetsight.operators.forest import average_path, fit_iforest, sample_per_tree, score_iforest
 from fleetsight.operators.reconstruct import augment_noise, fit_reconstruction, sequence_mae
@@ -150,3 +156,21 @@ def test_mae(spark):
         "a ARRAY<ARRAY<DOUBLE>>, b ARRAY<ARRAY<DOUBLE>>",
     )
     assert sequence_mae(df, "a", "b").first().mae == 1.25
+
+
+def test_newest_points_of_every_metric(spark, rates):
+    """Long samples per node and metric -> a verdict on the ten newest points."""
+    model = train_v2(rates)
+    cols = ", ".join(f"'{f}', {f}" for f in V2_FEATS)
+    series = rates.selectExpr(
+        "instance AS node", "timestamp AS ts", f"stack(4, {cols}) AS (metric, value)"
+    )
+    short = series.where("node = 'w1'").orderBy("ts").limit(12).withColumn("node", F.lit("w3"))
+    parts = series.unionByName(short)  # w3 has three points of each metric: left out
+    got = latest_sequence_scores(parts, model.scaler, model.model, model.threshold).collect()
+    assert {r.node for r in got} == {"w1", "w2"}
+    scored = score_sequences(rates, model.scaler, model.model, model.threshold)
+    newest = scored.groupBy("instance").agg(F.max_by("loss", "timestamp").alias("loss")).collect()
+    want = {r.instance: r.loss for r in newest}
+    for r in got:
+        assert r.loss == pytest.approx(want[r.node])

@@ -181,3 +181,34 @@ def test_metric_line_stream(spark, tmp_path):
 
     out = run(spark, read_metric_lines(spark, str(tmp_path / "in" / "a"), streaming=True), tmp_path)
     assert out.count() == parse_metric_lines(lines).count()
+
+
+def test_params_join_and_staleness_on_a_stream(spark, stream, tmp_path):
+    """One-row parameters join a stream; records of the past are stale by the wall clock."""
+    from fleetsight.operators.predicates import classify, drop_stale, stale_records
+    from fleetsight.operators.timeseries import with_params
+
+    params = spark.createDataFrame([(25.0,)], "threshold DOUBLE")
+    records = stream.withColumn("timestamp", F.unix_micros("ts") / 1_000_000)
+    judged = classify(with_params(records, params), "value", F.col("threshold"), "high")
+    out = run(spark, judged, tmp_path)
+    table = ad.events(spark, SF)
+    assert out.where("status = 'Anomaly'").count() == table.where("value > 25").count()
+    old = run(spark, stale_records(records), tmp_path / "old")
+    assert old.count() == table.count()
+    assert run(spark, drop_stale(records), tmp_path / "new").count() == 0
+
+
+def test_kernel_event_files(spark, tmp_path):
+    from fleetsight.sources.lines import read_kernel_events
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = '{"process_exec": {"process": {"binary": "/tmp/x"}}, "node_name": "n", "time": "%s"}'
+    stamps = ["2024-01-01T00:00:01.5Z", "2024-01-01T00:00:11Z", "2024-01-01T00:01:00Z"]
+    (folder / "a.log").write_text("\n".join(line % s for s in stamps) + "\nnoise\n\n")
+    batch = event_features(read_kernel_events(spark, str(folder)), ts="event_time")
+    assert batch.where("tmp_exec_count = 1").count() == 3
+    events = read_kernel_events(spark, str(folder), streaming=True)
+    out = run(spark, stream_event_features(events, ts="event_time"), tmp_path)
+    assert out.count() == 2  # the last window is still open
