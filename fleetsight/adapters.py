@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from fleetsight.functions.signing import keyed_sha256
 from fleetsight.plans.ordered import ordered, total
 from fleetsight.plans.sizing import spread
+from fleetsight.session import require_utc
 
 FOREST_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 FOREST_ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    require_utc(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

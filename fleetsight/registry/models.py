@@ -135,7 +135,7 @@ def _workspace(spark) -> str:
 
 def _event_stream(spark, sf_dir):
     """The events table as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = ad.load(spark, sf_dir, "events").schema
     # a glob, since a stream path may not be a plain file; it matches a folder of files as well
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return ad.shape_events(raw)

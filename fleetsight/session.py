@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # On a cluster these come from spark-defaults; only the keys whose values change
@@ -20,6 +21,20 @@ _LOCAL_CONF = {
 }
 
 
+def ship_code() -> None:
+    """Send the package's task functions along with each task, so that workers need no copy of it
+    on their path. Not needed where it is installed or passed with ``--py-files``."""
+    import fleetsight
+
+    cloudpickle.register_pickle_by_value(fleetsight)
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Times without a zone are read as UTC, whatever the session was started with."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def get_session(
     app_name: str = "fleetsight",
     master: str | None = None,
