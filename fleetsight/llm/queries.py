@@ -7,10 +7,23 @@ from pyspark.sql import functions as F
 
 from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.registry import query, table
+from fleetsight.llm.token_counts import count_tokens
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+TOKEN_LIMIT = 4096
+
+
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def _lower(col: str) -> str:
     return f"translate(coalesce({col}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
