@@ -8,10 +8,35 @@ from pyspark.sql import functions as F
 from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.registry import query, table
 from fleetsight.llm.token_counts import count_tokens
+from fleetsight.llm.warc import archive_folder, read_archives, write_archives
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low
+  FROM pages
+), q AS (
+  SELECT *, page_id > low OR page_id IS NULL AND low IS NOT NULL AS again FROM p
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(d, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN coalesce(again, false) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN low END AS refers_to
+FROM q
+"""
+
+
+@query(OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_archives(table(spark, sf_dir, "pages"), archive_folder(spark))
+    records = read_archives(manifest)
+    checked = F.when(F.col("verified"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's digest is wrong")))
+    return records.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+
+
 TOKEN_LIMIT = 4096
 
 
