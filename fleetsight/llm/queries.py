@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.llm.decontamination import find_contamination
-from fleetsight.llm.registry import query, table
+from fleetsight.llm.registry import ORACLES, QUERIES, query, table
 from fleetsight.llm.token_counts import count_tokens
 from fleetsight.llm.warc import archive_folder, read_archives, write_archives
 
+__all__ = ["ORACLES", "QUERIES"]
+
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
