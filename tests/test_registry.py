@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from fleetsight.registry import ORACLES, QUERIES
 from check_oracles import compare, connect
 from fleetsight.plans.ordered import ROWS_PER_CHUNK_CONF
 
@@ -18,7 +19,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     ok, message, _ = compare(spark, duck, SF, name)
     assert ok, message
@@ -35,7 +36,7 @@ def test_query_with_split_keys(spark, duck, name):
 
 
 def test_every_exact_query_has_a_twin():
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
+    rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only == {
         "detect_trust_v2",
         "iforest_scores",
