@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.llm.decontamination import find_contamination
+from fleetsight.llm.mixing import mix_sources
 from fleetsight.llm.registry import ORACLES, QUERIES, query, table
+from fleetsight.llm.sharding import SHARD_BYTES, shard_ids
 from fleetsight.llm.token_counts import count_tokens
 from fleetsight.llm.warc import archive_folder, read_archives, write_archives
 
@@ -39,6 +41,72 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix-1'), 1, 15) AS BIGINT) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s
+), r AS (
+  SELECT *, CAST([3, 1, 2][(place - 1) % 3 + 1] AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS cap FROM p
+), n AS (
+  SELECT *, cap / w AS ratio, (SUM(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total,
+         SUM(cap) OVER (ORDER BY cap / w, place) - cap AS given,
+         SUM(w) OVER () - SUM(w) OVER (ORDER BY cap / w, place) + w AS free
+  FROM r
+), l AS (
+  SELECT *, min(CASE WHEN ratio >= (total - given) / free THEN struct_pack(ratio := ratio, place := place, level := (total - given) / free) END) OVER () AS stop
+  FROM n
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN stop IS NULL OR (ratio, place) < (stop.ratio, stop.place) THEN cap ELSE least(cap, stop.level * w) END AS target
+  FROM l
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
+), g AS (
+  SELECT source, key, doc_id, size, count(*) AS c FROM d GROUP BY ALL
+), o AS (
+  SELECT *, CAST(sum(size * c) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size) AS BIGINT) - size * c AS begin FROM g
+)
+SELECT o.doc_id, o.size, b.source_size, b.target,
+       CAST(epochs * size + greatest(0, least(size, floor((CAST(floor(target) AS BIGINT) - epochs * source_size - begin) / c))) AS BIGINT) AS taken
+FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source, LATERAL (SELECT unnest(range(c)))
+"""
+
+
+@query(OP3_SQL)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\N') || chr(31) || coalesce(text, '\N')), 1, 15) AS BIGINT) AS h
+  FROM documents
+), x AS (
+  SELECT r, b, h >> (60 - b) AS p, h, n_bytes FROM d, (SELECT unnest(range(0, 61)) AS b)
+), s AS (
+  SELECT b, p, CAST(sum(n_bytes) AS BIGINT) AS bytes, min(h) AS lo, max(h) AS hi FROM x GROUP BY b, p
+), c AS (
+  SELECT r, min(struct_pack(b := x.b, p := x.p, bytes := bytes)) AS c FROM x JOIN s USING (b, p)
+  WHERE bytes <= {SHARD_BYTES} OR lo = hi GROUP BY r
+)
+SELECT doc_id, n_bytes, CASE WHEN c.b = 0 THEN '' ELSE lpad(CAST(bin(c.p) AS VARCHAR), CAST(c.b AS INTEGER), '0') END AS shard,
+       CAST(0 AS BIGINT) AS part, c.bytes AS shard_bytes
+FROM d JOIN c USING (r)
+"""
+
+
+@query(OP8_SQL)
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 TOKEN_LIMIT = 4096
 
 
