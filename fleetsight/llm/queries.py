@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetsight.llm.chat_pairs import conversations, format_preferences, swap_last_reply
 from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.mixing import mix_sources
 from fleetsight.llm.registry import ORACLES, QUERIES, query, table
@@ -160,3 +161,49 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_RENDER = r"""'<|' || replace(replace(t.role, '<|', '< |'), '|>', '| >') || '|>' || chr(10)
+         || replace(replace(t.text, '<|', '< |'), '|>', '| >') || '<|end|>' || chr(10)"""
+_MASK = r"""repeat('0', length(replace(replace(t.role, '<|', '< |'), '|>', '| >')) + 5)
+         || repeat(CASE WHEN t.role = 'assistant' THEN '1' ELSE '0' END, length(replace(replace(t.text, '<|', '< |'), '|>', '| >')) + 7) || '0'"""
+
+OP10_SQL = f"""
+WITH c AS (
+  SELECT conv_id AS id, list({{'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}}
+           ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), m AS (
+  SELECT *, list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].role = 'assistant' THEN i END)) AS at FROM c
+), p AS (
+  SELECT m.id, CASE WHEN m.at IS NULL THEN m.t ELSE m.t[1:m.at] END AS a,
+         CASE WHEN m.at IS NULL THEN m.t WHEN o.at IS NULL THEN m.t[1:m.at - 1] ELSE list_append(m.t[1:m.at - 1], o.t[o.at]) END AS b
+  FROM m LEFT JOIN m o ON o.id = xor(m.id, 1)
+), n AS (
+  SELECT *, coalesce(list_min(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: CASE WHEN a[i] <> b[i] THEN i END)) - 1,
+                     least(len(a), len(b))) AS n
+  FROM p
+), r AS (
+  SELECT id, n, array_to_string(list_transform(a[1:n], lambda t: {_RENDER}), '') AS prompt,
+         array_to_string(list_transform(a[n + 1:], lambda t: {_RENDER}), '') AS chosen,
+         array_to_string(list_transform(a[n + 1:], lambda t: {_MASK}), '') AS chosen_mask,
+         array_to_string(list_transform(b[n + 1:], lambda t: {_RENDER}), '') AS rejected,
+         array_to_string(list_transform(b[n + 1:], lambda t: {_MASK}), '') AS rejected_mask
+  FROM n
+)
+SELECT id AS conv_id, CAST(n AS INTEGER) AS n_prompt_turns, sha256(prompt) AS prompt_sha256,
+       sha256(chosen) AS chosen_sha256, sha256(chosen_mask) AS chosen_mask_sha256,
+       sha256(rejected) AS rejected_sha256, sha256(rejected_mask) AS rejected_mask_sha256,
+       CAST(length(replace(chosen_mask, '0', '')) AS BIGINT) AS chosen_loss_chars,
+       CAST(length(replace(rejected_mask, '0', '')) AS BIGINT) AS rejected_loss_chars
+FROM r
+"""
+
+
+@query(OP10_SQL)
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = conversations(table(spark, sf_dir, "conversations"), "conv_id")
+    pairs = format_preferences(*swap_last_reply(talks))
+    sha = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")]
+    loss = [F.length(F.replace(f"{c}_mask", F.lit("0"), F.lit(""))).cast("long").alias(f"{c}_loss_chars") for c in ("chosen", "rejected")]
+    return pairs.select(F.col("id").alias("conv_id"), "n_prompt_turns", *sha, *loss)
