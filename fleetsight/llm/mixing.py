@@ -32,7 +32,7 @@ from fleetsight.plans.sizing import broadcast_if_small
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 5_000
 SEED = "mix-1"
 
 _WORD = r"[^\x20\x09-\x0D]+"
