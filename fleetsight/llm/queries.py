@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetsight.llm.chat_pairs import conversations, format_preferences, swap_last_reply
 from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.mixing import mix_sources
+from fleetsight.llm.quality import held_out, score_quality, train_quality
 from fleetsight.llm.registry import ORACLES, QUERIES, query, table
 from fleetsight.llm.sharding import SHARD_BYTES, shard_ids
 from fleetsight.llm.token_counts import count_tokens
@@ -84,6 +85,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = score_quality(docs, train_quality(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 OP8_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
