@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.llm.chat_pairs import conversations, format_preferences, swap_last_reply
 from fleetsight.llm.decontamination import find_contamination
+from fleetsight.llm.jaccard_join import link_documents
 from fleetsight.llm.mixing import mix_sources
 from fleetsight.llm.quality import held_out, score_quality, train_quality
 from fleetsight.llm.registry import ORACLES, QUERIES, query, table
@@ -19,6 +20,11 @@ __all__ = ["ORACLES", "QUERIES"]
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+@query()
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low
