@@ -12,6 +12,7 @@ from fleetsight.llm.mixing import mix_sources
 from fleetsight.llm.quality import held_out, score_quality, train_quality
 from fleetsight.llm.registry import ORACLES, QUERIES, query, table
 from fleetsight.llm.sharding import SHARD_BYTES, shard_ids
+from fleetsight.llm.suffix_dedup import repeated_spans
 from fleetsight.llm.token_counts import count_tokens
 from fleetsight.llm.warc import archive_folder, read_archives, write_archives
 
@@ -123,6 +124,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 TOKEN_LIMIT = 4096
 
 
