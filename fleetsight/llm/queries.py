@@ -9,6 +9,7 @@ from fleetsight.llm.chat_pairs import conversations, format_preferences, swap_la
 from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.jaccard_join import link_documents
 from fleetsight.llm.mixing import mix_sources
+from fleetsight.llm.nearest import nearest_neighbours
 from fleetsight.llm.quality import held_out, score_quality, train_quality
 from fleetsight.llm.registry import ORACLES, QUERIES, query, table
 from fleetsight.llm.sharding import SHARD_BYTES, shard_ids
@@ -92,6 +93,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query()
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
