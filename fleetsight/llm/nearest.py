@@ -200,6 +200,11 @@ def _scan(sent, k: int):
             other = own[row] != ids[at]
             row, at = row[other], at[other]
             score = np.einsum("ij,ij->i", some[row], x[at])
+            # An id on several rows counts once, with its best score.
+            by = np.lexsort((-score, ids[at], row))
+            row, at, score = row[by], at[by], score[by]
+            once = np.append(True, (row[1:] != row[:-1]) | (ids[at[1:]] != ids[at[:-1]])) if len(row) else by > 0
+            row, at, score = row[once], at[once], score[once]
             by = np.lexsort((ids[at], -score, row))
             row, at, score = row[by], at[by], score[by]
             start = np.searchsorted(row, np.arange(len(some)))
