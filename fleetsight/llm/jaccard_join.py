@@ -43,9 +43,9 @@ K = 5
 # The similarity at which documents link, as a fraction.
 NUMERATOR, DENOMINATOR = 80, 100
 # Shingles counted at a time by a task, and how often one must occur there to be reported.
-COUNTED, REPORTED = 2_000_000, 3
+COUNTED, REPORTED = 3_000_000, 2
 # Shingles in at least so many sets are frequent; the list holds at most so many.
-HOT, HOT_LIMIT = 64, 250_000
+HOT, HOT_LIMIT = 8, 250_000
 BLOCK = 2_000
 
 
