@@ -135,7 +135,11 @@ def _canonical_text(ev_cpu: Column) -> tuple[Column, dict[str, Column]]:
         "cpu": F.concat(F.lit('"cpu": '), ev_cpu.cast("string")),
         "mem": F.concat(F.lit('"mem": '), F.col("k").cast("string"), F.lit(".5")),
         "net_out": F.concat(F.lit('"net_out": '), (F.col("event_id") * 3).cast("string")),
-        "net_in": F.concat(F.lit('"net_in": '), (F.col("event_id") * 7).cast("string")),
+        "net_in": F.concat(
+            F.lit('"net_in": '),
+            (F.col("event_id") * 7).cast("string"),
+            F.when(_every(43, 6), ".5").otherwise(""),
+        ),
         "latency": F.concat(F.lit('"latency": '), F.col("k").cast("string"), F.lit(".25")),
     }
     names = sorted(parts)
@@ -148,7 +152,8 @@ def metric_lines(ev: DataFrame, secret: str) -> DataFrame:
     """Signed metric lines in event order, with the arrival time in epoch seconds.
 
     Every 50th line was altered after signing, every 41st lacks the latency, every 23rd the
-    signature, every 31st is blank, cut off or no object; every 13th arrives 6 seconds late.
+    signature, every 31st is blank, cut off or no object; every 13th arrives 6 seconds late. Every
+    43rd has a byte counter that is no whole number.
     """
     text, parts = _canonical_text(F.col("value"))
     altered, _ = _canonical_text(F.col("value") + 1)

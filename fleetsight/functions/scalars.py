@@ -106,10 +106,14 @@ def is_json_object(raw: Column) -> Column:
     """True for text that is exactly one JSON object.
 
     Parsing it as the only element of an array also rejects trailing text after the object.
+    Text in single quotes is no JSON.
     """
-    return raw.startswith("{") & F.coalesce(
-        F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1, F.lit(False)
+    alone = F.from_json(
+        F.concat(F.lit("["), raw, F.lit("]")),
+        "array<map<string, string>>",
+        {"allowSingleQuotes": "false"},
     )
+    return raw.startswith("{") & F.coalesce(F.size(alone) == 1, F.lit(False))
 
 
 def status_tile(status: Column) -> Column:

@@ -13,7 +13,7 @@ from fleetsight.operators.events import (
 )
 from fleetsight.operators.labeling import label_dataset, label_totals
 from fleetsight.operators.predicates import project_defaults
-from fleetsight.operators.vectors import align_vectors
+from fleetsight.operators.vectors import align_long
 from fleetsight.plans.kept import settled
 from fleetsight.schemas import EVENT_COUNTS
 from fleetsight.sinks.tables import CSV_OPTIONS, append_table, write_labeled, write_table
@@ -68,11 +68,7 @@ def collect_v1(lines: DataFrame, path: str, fmt: str = "parquet") -> None:
 def metric_rows_v2(payloads: DataFrame, tick: str = "timestamp") -> DataFrame:
     """Instant-vector payloads (tick, metric, payload) -> aligned rows per tick and instance."""
     values = parse_instant_vector(payloads, "payload", "unknown", by=[tick, "metric"])
-    parts = [
-        values.where(F.col("metric") == m).select(tick, "instance", "value")
-        for m in ("cpu", "mem", "net_in", "net_out")
-    ]
-    return align_vectors(*parts, keys=[tick, "instance"])
+    return align_long(values, keys=[tick, "instance"])
 
 
 def collect_v2(payloads: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -171,15 +171,17 @@ def detect_v2(
     ts: str = "timestamp",
     auto_remediate: bool | str = True,
     plan_from: DataFrame | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Sequence verdicts -> trust score, cordon flag and cordon actions. ``plan_from``: the
-    metric rows the verdicts came from, which hold every (node, time) of them."""
+    metric rows the verdicts came from, which hold every (node, time) of them. ``ties``: columns
+    that order verdicts of one node and time."""
     flagged = scored.withColumn("is_anomaly", F.col("status") == "Anomaly")
     return cordon_trace(
         flagged,
         policy,
         key=[key],
-        order=[ts],
+        order=[ts, *ties],
         plan_from=plan_from,
         auto_remediate=auto_remediate,
     )

@@ -43,36 +43,29 @@ def sample_per_tree(
 ) -> DataFrame:
     """At most ``sample`` rows per tree, chosen by hashes of the row identity.
 
-    A pure function of row content: a re-run task draws the same rows. Hashing keeps about twice
-    the wanted rows in the scan; the exact cut is a per-tree rank, limited map side first.
-    With enough rows one hash per row decides (trees get disjoint samples); a small table
-    instead draws once per tree, so that trees can share rows.
+    A pure function of row content: a re-run task draws the same rows. Each tree takes a row with
+    the same chance, about twice what it needs; the exact cut is a per-tree rank, limited map side
+    first. One hash first tells whether any tree may take the row at all, so a large table costs one
+    hash per row; only rows that pass are asked tree by tree. Trees can share rows at every size.
     """
     ident = [F.col(c) for c in id_cols]
+    # wide enough that falling short of ``sample`` is next to impossible
+    share = min(1.0, (2.0 * sample + 64.0) / max(n_rows, 1))
+    some = min(1.0, share * trees)
+
+    def chance(*salt: Column) -> Column:
+        return F.pmod(F.xxhash64(*ident, *salt), F.lit(_HASH_RANGE)) / F.lit(float(_HASH_RANGE))
+
+    chosen = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: chance(t, F.lit(seed)) < share / some,
+    )
     feats_v = F.array(*[F.col(f).cast("double") for f in feats]).alias("x")
-    if n_rows >= 4 * trees * sample:
-        share = 2.0 * trees * sample / n_rows
-        keep = F.pmod(F.xxhash64(*ident, F.lit(seed)), F.lit(_HASH_RANGE))
-        drawn = df.where(keep < int(share * _HASH_RANGE)).select(
-            F.pmod(F.xxhash64(*ident, F.lit(seed + 1)), F.lit(trees)).cast("int").alias("tree"),
-            F.xxhash64(*ident, F.lit(seed + 2)).alias("_h"),
-            feats_v,
-        )
-    else:
-        # wide enough that falling short of ``sample`` is next to impossible
-        share = min(1.0, (2.0 * sample + 64.0) / max(n_rows, 1))
-        cut = int(share * _HASH_RANGE)
-
-        def draw(tree: Column) -> Column:
-            return F.xxhash64(*ident, tree, F.lit(seed))
-
-        chosen = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.pmod(draw(t), F.lit(_HASH_RANGE)) < cut,
-        )
-        drawn = df.select(*id_cols, feats_v, F.explode(chosen).alias("tree")).select(
-            "tree", draw(F.col("tree")).alias("_h"), "x"
-        )
+    drawn = (
+        df.where(chance(F.lit(seed + 1)) < some)
+        .select(*id_cols, feats_v, F.explode(chosen).alias("tree"))
+        .select("tree", F.xxhash64(*ident, F.col("tree"), F.lit(seed + 2)).alias("_h"), "x")
+    )
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", "x"))
     return drawn.withColumn("rn", rank).where(F.col("rn") <= sample).drop("_h")
 

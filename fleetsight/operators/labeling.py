@@ -24,7 +24,7 @@ def label_by_windows(
     default: str = DEFAULT_LABEL,
     array_limit: int = ARRAY_LIMIT,
 ) -> DataFrame:
-    """Set ``label`` to that of the first window (lowest ``pos``) with
+    """Set ``label`` to that of the first window (lowest ``pos``, of any type with an order) with
     start + start_pad <= epoch <= end + end_pad, else to ``default``.
 
     Few windows: one broadcast array, first hit taken per row; no shuffle. Many windows: the time
@@ -34,7 +34,7 @@ def label_by_windows(
         (F.col("start_time") + start_pad).alias("s"),
         (F.col("end_time") + end_pad).alias("e"),
         "label",
-        F.col("pos").cast("bigint").alias("pos"),
+        "pos",
     ).where(F.col("s") <= F.col("e"))
     moment = F.col(epoch) if isinstance(epoch, str) else epoch
     rows = df.drop("label") if "label" in df.columns else df

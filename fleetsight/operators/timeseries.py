@@ -45,7 +45,9 @@ def _with_growth(
     samples: DataFrame, key: Sequence[str], ts: str, value: str, rows_per_chunk: int | None
 ) -> OrderedRows:
     """Add ``_t`` and ``_c``: the counter with its resets taken out, starting from 0."""
-    rows = ordered(samples.withColumn("_t", _micros(ts)), key, ["_t"], rows_per_chunk)
+    rows = ordered(
+        samples.withColumn("_t", _micros(ts)), key, ["_t"], rows_per_chunk, ties=[value]
+    )
     rows = rows.running(_before=previous(F.col(value)))
     if rows.split:  # the next summary and the rows would each run this window again
         rows = replace(rows, df=settled(rows.df))
@@ -69,14 +71,17 @@ def counter_rate(
     """Per-second growth of a counter over the trailing range at each sample.
 
     Growth is measured from the first to the last sample in the range; after a reset (a smaller
-    value) counting goes on from the new value. Null with fewer than two samples in range.
+    value) counting goes on from the new value. Null with fewer than two samples in range. Samples
+    of one time count in the order of their values.
     """
     rows = _with_growth(samples, key, ts, value, rows_per_chunk)
     span = int(range_s * _MICROS)
     point = F.struct(F.col("_t").alias("t"), F.col("_c").alias("c"))
     if not rows.split and _densest(samples, key, ts, span) <= FRAME_ROWS:
-        in_range = rows.window.rangeBetween(-span, Window.currentRow)
-        df = rows.df.withColumn("_first", F.first(point).over(in_range))
+        by_time = Window.partitionBy(*rows.chunk_key).orderBy("_t")
+        in_range = by_time.rangeBetween(-span, Window.currentRow)
+        # the counter only grows, so the smallest point is the first, also among equal times
+        df = rows.df.withColumn("_first", F.min(point).over(in_range))
     else:
         df = _first_in_range(rows.df, samples, key, ts, span, rows_per_chunk)
     return df.withColumn(out, _slope(F.col("_first"), point)).drop(
@@ -121,18 +126,20 @@ def _first_in_range(
         (F.col("_t") + F.col("_role") * F.lit(span)).alias("_at"),
         "_role",
         F.when(F.col("_role") == 1, point).alias("_leaving"),
+        F.col("_c").alias("_tie"),
     )
     merged = ordered(
         both,
         key,
         ["_at", "_role"],
         rows_per_chunk,
+        ties=["_tie"],
         plan_from=_places(samples, key, ts, 0).union(_places(samples, key, ts, 1, span)),
     )
     return (
         merged.running(_first=following(F.col("_leaving")))
         .df.where(F.col("_role") == 0)
-        .drop("_at", "_role", "_leaving", CHUNK, HOT)
+        .drop("_at", "_role", "_leaving", "_tie", CHUNK, HOT)
     )
 
 
@@ -145,8 +152,11 @@ def instant_rate(
     out: str = "rate",
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
-    """Rate from the last two samples; null when they are further apart than the range."""
-    rows = ordered(samples.withColumn("_t", _micros(ts)), key, ["_t"], rows_per_chunk)
+    """Rate from the last two samples; null when they are further apart than the range. Samples of
+    one time count in the order of their values and have no rate between them."""
+    rows = ordered(
+        samples.withColumn("_t", _micros(ts)), key, ["_t"], rows_per_chunk, ties=[value]
+    )
     rows = rows.running(
         _p=previous(F.struct(F.col("_t").alias("t"), F.col(value).alias("v")))
     )
@@ -184,7 +194,8 @@ def asof_latest(
     """Latest sample at or before each tick, unless older than the lookback.
 
     Samples and ticks are merged in time order and the last sample is carried forward: linear,
-    and no pair of a tick and a sample is ever formed. Adds ``value`` and ``sample_ts``.
+    and no pair of a tick and a sample is ever formed. Adds ``value`` and ``sample_ts``. Of samples
+    of one time the largest counts.
     """
     seen = samples.select(
         *key,
@@ -193,10 +204,15 @@ def asof_latest(
         F.struct(F.col(ts).alias("ts"), F.col(value).alias("v"), _micros(ts).alias("t")).alias(
             "_s"
         ),
+        F.col(value).alias("_tie"),
     )
     asked = ticks.withColumns({"_at": _micros(tick), "_role": F.lit(1)})
     rows = ordered(
-        seen.unionByName(asked, allowMissingColumns=True), key, ["_at", "_role"], rows_per_chunk
+        seen.unionByName(asked, allowMissingColumns=True),
+        key,
+        ["_at", "_role"],
+        rows_per_chunk,
+        ties=["_tie"],
     ).running(_last=latest(F.col("_s")))
     fresh = F.col("_at") - F.col("_last.t") <= int(lookback_s * _MICROS)
     return (
@@ -235,6 +251,7 @@ def rate_at_ticks(
         "_role",
         F.when(F.col("_role") == 0, F.col("_p")).alias("_arriving"),
         F.when(F.col("_role") == 2, F.col("_p")).alias("_leaving"),
+        F.col("_p.c").alias("_tie"),
     )
     asked = ticks.withColumns({"_at": _micros(tick), "_role": F.lit(1)})
     merged = moves.unionByName(asked, allowMissingColumns=True)
@@ -244,7 +261,7 @@ def rate_at_ticks(
         .union(_places(samples, key, ts, 2, span))
     )
     rows = ordered(
-        merged, key, ["_at", "_role"], rows_per_chunk, plan_from=places
+        merged, key, ["_at", "_role"], rows_per_chunk, plan_from=places, ties=["_tie"]
     ).running(_last=latest(F.col("_arriving")), _first=following(F.col("_leaving")))
     return (
         rows.df.where(F.col("_role") == 1)
@@ -398,6 +415,21 @@ def series_for_plot(
     )
 
 
-def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
-    """Attach a one-row parameter frame to every row (``limit(1)`` proves its size)."""
-    return df.crossJoin(broadcast_if_small(params.limit(1), 1))
+def with_params(df: DataFrame, params: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Attach fitted parameters to every row.
+
+    Without ``on`` the frame must have one row, which goes to all rows. With ``on`` it must have one
+    row per key (node, policy); rows whose key has none are left out. More rows fail the job.
+    """
+    rest = [c for c in params.columns if c not in on]
+    rows = params.groupBy(*on).agg(
+        F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_p")
+    )
+    where = f" for one of {', '.join(on)}" if on else ""
+    only = F.when(F.col("_n") == 1, F.col("_p")).otherwise(
+        F.raise_error(F.lit(f"more than one row of parameters{where}"))
+    )
+    rows = rows.where("_n > 0").select(*on, only.alias("_p")).select(*on, "_p.*")
+    if on:
+        return df.join(rows, list(on))
+    return df.crossJoin(F.broadcast(rows))  # an aggregate without keys: one row

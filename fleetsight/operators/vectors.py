@@ -11,11 +11,17 @@ from fleetsight.functions.scalars import utilization
 
 
 def by_instance(
-    df: DataFrame, fn: str = "avg", keys: Sequence[str] = ("instance", "tick"), value: str = "value"
+    df: DataFrame,
+    fn: str | Sequence[str] = "avg",
+    keys: Sequence[str] = ("instance", "tick"),
+    value: str = "value",
 ) -> DataFrame:
-    """``avg by`` / ``sum by`` over sub-series such as cores or devices."""
-    agg = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[fn]
-    return df.groupBy(*keys).agg(agg(value).alias("value"))
+    """``avg by`` / ``sum by`` over sub-series such as cores or devices. Several functions come from
+    one pass, as ``avg_value``, ``sum_value``."""
+    known = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
+    if isinstance(fn, str):
+        return df.groupBy(*keys).agg(known[fn](value).alias("value"))
+    return df.groupBy(*keys).agg(*[known[f](value).alias(f"{f}_value") for f in fn])
 
 
 def align_vectors(
@@ -30,16 +36,20 @@ def align_vectors(
     Each input is (keys, value), unique per key. Equal to the join chain, but grouped once over
     the union: one shuffle. A key present only in a network vector is dropped.
     """
-    parts = {"cpu": cpu, "mem": mem, "net_in": net_in, "net_out": net_out}
     long = None
-    for name, df in parts.items():
-        part = df.select(*keys, F.lit(name).alias("_m"), "value")
+    for name, df in {"cpu": cpu, "mem": mem, "net_in": net_in, "net_out": net_out}.items():
+        part = df.select(*keys, F.lit(name).alias("metric"), "value")
         long = part if long is None else long.unionByName(part)
-    wide = long.groupBy(*keys).agg(
-        F.count_if(F.col("_m").isin("cpu", "mem")).alias("_n"),
+    return align_long(long, keys)
+
+
+def align_long(samples: DataFrame, keys: Sequence[str] = ("instance",)) -> DataFrame:
+    """As align_vectors, from one frame (keys, metric, value): read once, grouped once."""
+    wide = samples.groupBy(*keys).agg(
+        F.count_if(F.col("metric").isin("cpu", "mem")).alias("_n"),
         *[
-            F.coalesce(F.max(F.when(F.col("_m") == m, F.col("value"))), F.lit(0.0)).alias(m)
-            for m in parts
+            F.coalesce(F.max(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0)).alias(m)
+            for m in ("cpu", "mem", "net_in", "net_out")
         ],
     )
     return wide.where(F.col("_n") > 0).drop("_n")

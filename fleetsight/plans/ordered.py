@@ -386,8 +386,10 @@ def ordered(
     order: Sequence[str],
     rows_per_chunk: int | None = None,
     plan_from: DataFrame | None = None,
+    ties: Sequence[str] = (),
 ) -> OrderedRows:
-    """Lay ``df`` out for running values per ``key`` in ``order`` (a total order).
+    """Lay ``df`` out for running values per ``key`` in ``order``, rows equal in it by ``ties``
+    (together a total order). Keys are cut by ``order`` alone, so equal rows stay together.
 
     Counts rows per key once (column-pruned, combined map side) and brings back only the keys
     over the limit: at most rows / rows_per_chunk of them. ``plan_from`` is a cheaper frame to
@@ -403,8 +405,9 @@ def ordered(
         .where(F.col("_n") > limit)
         .toArrow()
     )
+    full = (*order, *ties)
     if hot.num_rows == 0:
-        return OrderedRows(df.withColumn(CHUNK, F.lit(0)), key, order)
+        return OrderedRows(df.withColumn(CHUNK, F.lit(0)), key, full)
 
     spark = df.sparkSession
     hot_keys = broadcast_if_small(spark.createDataFrame(hot).drop("_n"), hot.num_rows)
@@ -426,7 +429,7 @@ def ordered(
     lengths = pc.list_value_length(splits.column("_splits"))
     n_splits = pc.sum(lengths).as_py() or 0
     if n_splits == 0:
-        return OrderedRows(df.withColumn(CHUNK, F.lit(0)), key, order)
+        return OrderedRows(df.withColumn(CHUNK, F.lit(0)), key, full)
     split_rows = broadcast_if_small(
         spark.createDataFrame(splits), n_splits, BROADCAST_ROW_LIMIT
     )
@@ -447,4 +450,4 @@ def ordered(
             CHUNK: F.when(points.isNotNull(), chunk).otherwise(F.lit(0)),
         }
     ).drop("_splits")
-    return OrderedRows(chunked, key, order, n_chunks=n_splits + splits.num_rows)
+    return OrderedRows(chunked, key, full, n_chunks=n_splits + splits.num_rows)

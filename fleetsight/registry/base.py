@@ -45,6 +45,10 @@ def steps_text(seq: Column | str) -> Column:
     )
 
 
+# Byte counters of the metric lines.
+NET = """CAST(event_id * 3 AS DOUBLE) AS net_out,
+  event_id * 7 + CASE WHEN event_id % 43 = 6 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS net_in"""
+
 # Events in telemetry shape, as the adapters build them.
 E = """e AS (
   SELECT event_id, ts, epoch_us(ts) AS us, 'node-' || user_id AS node, event_type, value,

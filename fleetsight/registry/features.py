@@ -15,6 +15,7 @@ from fleetsight.operators.labeling import label_by_windows as label_rows
 from fleetsight.operators.labeling import label_dataset
 from fleetsight.operators.labeling import label_totals as totals_of_labels
 from fleetsight.registry.base import (
+    NET,
     COUNT_NAMES,
     KERNEL,
     E,
@@ -42,7 +43,7 @@ def _kernel(spark, sf_dir):
 
 @query(
     f"""WITH {E} SELECT event_id, node, us / 1000000 AS timestamp, value AS cpu,
-  k + 0.5::DOUBLE AS mem, event_id * 3 AS net_out, event_id * 7 AS net_in,
+  k + 0.5::DOUBLE AS mem, {NET},
   CASE WHEN event_id % 41 <> 5 THEN k + 0.25::DOUBLE END AS latency,
   event_id % 23 <> 4 AS signed
 FROM e WHERE event_id % 31 <> 2"""
@@ -115,7 +116,7 @@ def resolve_policy(spark, sf_dir):
 
 @query(
     f"""WITH {E} SELECT node, us / 1000000 AS timestamp, value AS cpu, k + 0.5::DOUBLE AS mem,
-  event_id * 3 AS net_out, event_id * 7 AS net_in,
+  {NET},
   CASE WHEN event_id % 41 <> 5 THEN k + 0.25::DOUBLE ELSE 0 END AS latency
 FROM e WHERE event_id % 31 <> 2"""
 )
@@ -124,8 +125,7 @@ def project_defaults(spark, sf_dir):
 
 
 @query(
-    f"""WITH {E} SELECT event_id, value AS cpu, k + 0.5::DOUBLE AS mem, event_id * 7 AS net_in,
-  event_id * 3 AS net_out, k + 0.25::DOUBLE AS latency
+    f"""WITH {E} SELECT event_id, value AS cpu, k + 0.5::DOUBLE AS mem, {NET}, k + 0.25::DOUBLE AS latency
 FROM e WHERE event_id % 31 <> 2 AND event_id % 41 <> 5"""
 )
 def select_features(spark, sf_dir):
@@ -322,12 +322,8 @@ def by_instance(spark, sf_dir):
         .groupBy("node", F.date_trunc("day", "ts").alias("window_start"), (F.col("k") % 8).alias("core"))
         .agg(F.max("value").alias("value"))
     )
-    keys = ["node", "window_start"]
-    mean = vec.by_instance(sub, "avg", keys).withColumnRenamed("value", "avg_value")
-    added = vec.by_instance(sub, "sum", keys).withColumnRenamed("value", "sum_value")
-    return mean.join(added, keys).select(
-        "node", micros("window_start"), r6("avg_value"), r6("sum_value")
-    )
+    both = vec.by_instance(sub, ("avg", "sum"), ["node", "window_start"])
+    return both.select("node", micros("window_start"), r6("avg_value"), r6("sum_value"))
 
 
 @query(

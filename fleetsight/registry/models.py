@@ -128,8 +128,11 @@ def augment_noise(spark, sf_dir):
 
 
 def _workspace(spark) -> str:
-    """Fresh folder under the cluster's checkpoint folder (a local one only where unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetsight-")
+    """Fresh folder under the cluster's checkpoint folder. A local one only where that is unset and
+    the executors live in this process: elsewhere each would write to a disk of its own."""
+    base = None
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetsight-")
     return f"{checkpoint_dir(spark, base)}/run-{uuid.uuid4().hex}"
 
 

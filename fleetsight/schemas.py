@@ -7,7 +7,8 @@ METRICS_V1 = (
     "net_out BIGINT, net_in BIGINT, latency DOUBLE"
 )
 
-SIGNED_RECORD = METRICS_V1 + ", signature STRING"
+# JSON lines may hold any number as a byte counter; the CSV layout holds whole ones.
+SIGNED_RECORD = METRICS_V1.replace("BIGINT", "DOUBLE") + ", signature STRING"
 
 METRICS_V2 = (
     "timestamp TIMESTAMP, instance STRING, cpu DOUBLE, mem DOUBLE, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight import schemas
@@ -19,20 +19,29 @@ def parse_instant_vector(
     """Instant-vector JSON -> one (instance, value) row per payload.
 
     ``by`` names the columns that identify a payload (tick, metric). Values are text in the
-    payload. A repeated instance keeps its last value; failed or empty payloads give no rows.
+    payload. A repeated instance keeps its last value; failed or empty payloads give no rows, and one
+    value that is no number voids its payload. Row-local: no shuffle.
     """
+
+    def sample(s: Column, pos: Column) -> Column:
+        return F.struct(
+            F.coalesce(s["metric"]["instance"], F.lit(default_instance)).alias("instance"),
+            pos.alias("pos"),
+            F.get(s["value"], F.lit(1)).try_cast("double").alias("value"),
+        )
+
+    # In order of instance and position: a sample is the last of its instance if the next differs.
     samples = (
         df.select(*by, F.from_json(payload_col, schemas.INSTANT_VECTOR).alias("_p"))
         .where(F.coalesce(F.col("_p.status"), F.lit("success")) == "success")
-        .select(*by, F.posexplode("_p.data.result").alias("_pos", "_s"))
-        .select(
-            *by,
-            "_pos",
-            F.coalesce(F.col("_s.metric")["instance"], F.lit(default_instance)).alias("instance"),
-            F.get("_s.value", F.lit(1)).try_cast("double").alias("value"),
-        )
+        .select(*by, F.array_sort(F.transform("_p.data.result", sample)).alias("_s"))
+        .where(~F.exists("_s", lambda s: s["value"].isNull()))
+    )
+    last = F.filter(
+        "_s",
+        lambda s, i: ~F.coalesce(F.get(F.col("_s"), i + 1)["instance"] == s["instance"], F.lit(False)),
     )
-    return samples.groupBy(*by, "instance").agg(F.max_by("value", "_pos").alias("value"))
+    return samples.select(*by, F.explode(last).alias("_s")).select(*by, "_s.instance", "_s.value")
 
 
 def parse_range_matrix(

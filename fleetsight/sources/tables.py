@@ -38,8 +38,14 @@ def read_node_features_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_scenario_windows(spark: SparkSession, path: str) -> DataFrame:
     """Scenario windows with ``pos`` = file order (file name, then offset within the file)."""
     rows = read_metrics_csv(spark, path, schemas.SCENARIO_WINDOWS)
-    # Assigned while reading, before any shuffle: increases along each file and partition.
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    # Splits are read in order of size, so the row number alone is not the file order; it only
+    # increases along one split.
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return rows.withColumn("pos", place)
 
 
 def resolve_policy(df: DataFrame, on_invalid: str = "drop") -> DataFrame:
