@@ -116,8 +116,8 @@ def detect_v1(
 ) -> DataFrame:
     """Signed metric lines -> per-record trust trace with actions.
 
-    The cuts of busy nodes are planned from the parsed records, so that signatures are checked
-    and records scored once only.
+    The cuts of busy nodes are planned from the parsed records alone. Where nodes are split, the
+    carry over their chunks checks and scores those nodes' records a second time.
     """
     scored = verify_and_score(lines, secret, scorer, threshold, **kw)
     recent = fresh_records(lines, kw.get("max_age_s", 5.0), kw.get("now"))

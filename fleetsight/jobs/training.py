@@ -28,6 +28,7 @@ from fleetsight.operators.scaling import (
     evaluate_verdicts,
     fit_minmax,
     fit_standard,
+    fitted,
     minmax_scale,
     score_summary,
     standard_scale,
@@ -56,7 +57,7 @@ def train_v1(
     """Scaler, forest with its contamination offset, and the score summary that suggests a
     threshold."""
     data = select_features(metrics, feats, keep=id_cols)
-    scaler = fit_standard(data, feats)
+    scaler = fitted(fit_standard(data, feats))
     spark = metrics.sparkSession
     if path:  # later steps read the saved row instead of refitting
         save_params(scaler, f"{path}/scaler")
@@ -101,17 +102,16 @@ def train_v2(
     """Scaler, bottleneck fitted on noisy sequences, threshold from the clean ones."""
     spark = metrics.sparkSession
     data = metrics.dropna(subset=list(feats))
-    scaler = fit_minmax(data, feats)
+    scaler = fitted(fit_minmax(data, feats))
     if path:
         save_params(scaler, f"{path}/scaler")
         scaler = load_params(spark, f"{path}/scaler")
     scaled = minmax_scale(data, feats, scaler)
-    # fitting and calibrating make several passes over the sequences
-    with kept(make_sequences(scaled, feats, length, by=key, order=[ts])) as seqs:
-        with kept(augment_noise(seqs, [*key, ts])) as noisy:
-            model = fit_reconstruction(noisy, k)
-        fitted = calibrate(seqs, model).toArrow()  # one row
-    threshold = spark.createDataFrame(fitted)
+    # One pass fits, one calibrates. The rows are kept, not the sequences, which are ten times as many.
+    with kept(scaled.select(*key, ts, *feats)) as rows:
+        seqs = make_sequences(rows, feats, length, by=key, order=[ts])
+        model = fit_reconstruction(augment_noise(seqs, [*key, ts]), k)
+        threshold = fitted(calibrate(seqs, model))
     if path:
         save_params(reconstruction_table(spark, model), f"{path}/model")
         save_params(threshold, f"{path}/threshold")

@@ -1,15 +1,14 @@
-"""Sequence reconstruction detector: a linear bottleneck fitted by distributed PCA."""
+"""Sequence reconstruction detector: a linear bottleneck fitted by principal directions."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,15 +83,52 @@ class Reconstruction:
         return loss(flat)
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(count, sums, sums of products) of a task's vectors, in one row."""
+    n, sums, products = 0, 0.0, 0.0
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
+    if n:
+        yield _moment_row(n, sums, products)
+
+
+def _moment_row(n: int, sums: np.ndarray, products: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([n], pa.int64()), pa.array([sums.tolist()]), pa.array([products.ravel().tolist()])],
+        names=["n", "s", "p"],
+    )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if rows:
+        yield _moment_row(
+            sum(r["n"] for r in rows),
+            np.sum([r["s"] for r in rows], axis=0),
+            np.sum([r["p"] for r in rows], axis=0),
+        )
+
+
+# Tasks whose sums the driver adds up; those of more tasks are added in this many tasks first.
+_SUMMED = 64
+
+
 def fit_reconstruction(seqs: DataFrame, k: int = BOTTLENECK, col: str = "seq") -> Reconstruction:
-    """Top-k principal directions of the flattened sequences. The covariance is summed up in the
-    executors; only width x width numbers reach the driver."""
-    flat = seqs.select(F.flatten(col).alias("x"))
-    width = len(flat.first()["x"])
-    mean = np.array(flat.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(width)]).first())
-    vectors = flat.select(array_to_vector("x").alias("v"))
-    fitted = PCA(k=min(k, width), inputCol="v", outputCol="p").fit(vectors)
-    return Reconstruction(mean.astype(float), fitted.pc.toArray())
+    """Top-k principal directions of the flattened sequences, from one pass: each task adds up counts,
+    sums and products, and only width x width numbers reach the driver. No sequence is stored."""
+    schema = "n LONG, s ARRAY<DOUBLE>, p ARRAY<DOUBLE>"
+    parts = seqs.select(F.flatten(col).alias("x")).mapInArrow(_moments, schema)
+    rows = parts.repartition(_SUMMED).mapInArrow(_added, schema).collect()
+    if not rows:
+        raise ValueError("no sequences to fit")
+    n = sum(r["n"] for r in rows)
+    mean = np.sum([r["s"] for r in rows], axis=0) / n
+    width = len(mean)
+    products = np.sum([r["p"] for r in rows], axis=0).reshape(width, width)
+    values, vectors = np.linalg.eigh(products / n - np.outer(mean, mean))
+    return Reconstruction(mean, vectors[:, np.argsort(-values, kind="stable")[:k]])
 
 
 def score_reconstruction(

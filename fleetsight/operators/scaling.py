@@ -32,11 +32,17 @@ def fit_standard(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     )
 
 
+def fitted(params: DataFrame) -> DataFrame:
+    """The few rows of ``params`` (one per fit or key) computed now, so that no later pass fits
+    again."""
+    return params.sparkSession.createDataFrame(params.collect(), params.schema)
+
+
 def standard_scale(
     df: DataFrame, feats: Sequence[str], params: DataFrame | None = None
 ) -> DataFrame:
-    """(x - mean) / std; a constant feature is divided by 1."""
-    params = params if params is not None else fit_standard(df, feats)
+    """(x - mean) / std; a constant feature is divided by 1. Without ``params`` it fits once, now."""
+    params = params if params is not None else fitted(fit_standard(df, feats))
     scaled = {
         f: (F.col(f) - F.col(f"{f}_mean"))
         / F.when(F.col(f"{f}_std") == 0, 1.0).otherwise(F.col(f"{f}_std"))
@@ -48,8 +54,9 @@ def standard_scale(
 def minmax_scale(
     df: DataFrame, feats: Sequence[str], params: DataFrame | None = None
 ) -> DataFrame:
-    """(x - min) / (max - min), not clipped; a constant feature becomes 0."""
-    params = params if params is not None else fit_minmax(df, feats)
+    """(x - min) / (max - min), not clipped; a constant feature becomes 0. Without ``params`` it fits
+    once, now."""
+    params = params if params is not None else fitted(fit_minmax(df, feats))
 
     def scaled(f: str) -> Column:
         spread = F.col(f"{f}_max") - F.col(f"{f}_min")

@@ -310,6 +310,39 @@ def combine_vectors(spark, sf_dir):
     return out.select("node", micros("window_start"), r6("value"))
 
 
+@query(
+    f"""WITH {E}, {samples_sql('day')}, wide AS (
+  SELECT node, w, max(value) FILTER (metric = 'avg_cpu') AS a,
+    max(value) FILTER (metric = 'avg_mem') AS t FROM samples GROUP BY ALL)
+SELECT node, epoch_us(w) AS window_start, round(1 - a / t, 6) AS value FROM wide
+WHERE a / t IS NOT NULL"""
+)
+def memory_used_share(spark, sf_dir):
+    samples = ad.metric_samples(ad.events(spark, sf_dir), "1 day")
+    named = samples.replace(
+        {"avg_cpu": "mem_available", "avg_mem": "mem_total"}, subset=["metric"]
+    )
+    names = ("mem_available", "mem_total")
+    out = vec.combine_vectors(named, names, vec.memory_used_share(), keys=["node", "window_start"])
+    return out.select("node", micros("window_start"), r6("value"))
+
+
+@query(
+    f"""WITH {E}, sub AS (SELECT node, date_trunc('day', ts) AS w, k % 8 AS core,
+  max(value) / 1000 AS value FROM e GROUP BY ALL)
+SELECT node, epoch_us(w) AS window_start, round(100 - 100 * avg(value), 6) AS value
+FROM sub GROUP BY ALL"""
+)
+def cpu_used(spark, sf_dir):
+    idle = (
+        ad.events(spark, sf_dir)
+        .groupBy("node", F.date_trunc("day", "ts").alias("window_start"), (F.col("k") % 8).alias("core"))
+        .agg((F.max("value") / 1000).alias("value"))
+    )
+    used = vec.cpu_used(idle, 100.0, keys=["node", "window_start"])
+    return used.select("node", micros("window_start"), r6("value"))
+
+
 @query(
     f"""WITH {E}, sub AS (SELECT node, date_trunc('day', ts) AS w, k % 8 AS core,
   max(value) AS value FROM e GROUP BY ALL)

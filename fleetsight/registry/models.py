@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fleetsight import adapters as ad
@@ -12,8 +14,9 @@ from fleetsight.functions.signing import verify_signature
 from fleetsight.jobs.detect import detect_v1, detect_v2, score_sequences
 from fleetsight.jobs.training import train_v1, train_v2
 from fleetsight.operators import reconstruct as rec
-from fleetsight.operators.forest import fit_iforest, score_iforest
-from fleetsight.operators.scaling import standard_scale
+from fleetsight.operators.forest import Forest, average_path, fit_iforest, score_iforest
+from fleetsight.operators.predicates import classify
+from fleetsight.operators.scaling import detection_totals, standard_scale
 from fleetsight.operators.timeseries import make_sequences
 from fleetsight.plans.kept import kept
 from fleetsight.registry.base import KERNEL, LATEST, COUNT_NAMES, TRANSITIONS, E, features_sql
@@ -101,6 +104,49 @@ def train_record_detector(spark, sf_dir):
     return model.summary.select(*[r6(c) for c in model.summary.columns])
 
 
+_CUTS = (25.0, 40000.0, 0.05)
+
+
+def _given_forest() -> Forest:
+    """Two small trees, written down."""
+    q, price, discount = _CUTS
+    nodes = [
+        (0, 0, 0, q, 1, 2, 0.0), (0, 1, -1, 0.0, 1, 1, 1.0), (0, 2, 1, price, 3, 4, 0.0),
+        (0, 3, -1, 0.0, 3, 3, 2.0), (0, 4, -1, 0.0, 4, 4, 2.5),
+        (1, 0, 2, discount, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 1.5), (1, 2, -1, 0.0, 2, 2, 3.0),
+    ]
+    cols = ["tree", "node", "feature", "cut", "left", "right", "depth"]
+    return Forest(pd.DataFrame(nodes, columns=cols), ad.FOREST_FEATURES, 4, -0.5)
+
+
+_GIVEN_FOREST = f"""given AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    -pow(2::DOUBLE, -((CASE WHEN l_quantity < {_CUTS[0]} THEN 1.0::DOUBLE
+      WHEN l_extendedprice < {_CUTS[1]} THEN 2.0 ELSE 2.5 END
+      + CASE WHEN l_discount < {_CUTS[2]} THEN 1.5::DOUBLE ELSE 3.0 END) / 2) / {average_path(4)!r}::DOUBLE)
+      + 0.5::DOUBLE AS score
+  FROM lineitem)"""
+
+
+@query(f"""WITH {_GIVEN_FOREST} SELECT * REPLACE (round(score, 6) AS score) FROM given""")
+def iforest_given_scores(spark, sf_dir):
+    """Scoring with a given forest is plain arithmetic."""
+    scored = score_iforest(ad.forest_items(spark, sf_dir), _given_forest())
+    return scored.select(*ad.FOREST_ID, r6("score"))
+
+
+@query(
+    f"""WITH {_GIVEN_FOREST} SELECT count(*) AS total_rows,
+  count(*) FILTER (score <= -0.01) AS anomalies FROM given"""
+)
+def iforest_given_totals(spark, sf_dir):
+    """Verdicts and totals of a report (Q7) from forest scores."""
+    items = ad.forest_items(spark, sf_dir)
+    scored = classify(score_iforest(items, _given_forest()), "score", -0.01, "low")
+    totals = detection_totals(scored)
+    return totals.select(F.col(totals.columns[0]).alias("total_rows"), F.col(totals.columns[1]).alias("anomalies"))
+
+
 def _sequences(spark, sf_dir):
     ev = ad.events(spark, sf_dir)
     points = ev.select("node", "ts", "value", F.col("k").cast("double").alias("k"))
@@ -117,6 +163,28 @@ def reconstruction_scores(spark, sf_dir):
     return scored.select("node", F.unix_micros("ts").alias("ts"), r6("loss"), "status")
 
 
+# The first eight of twenty numbers pass; each other one is replaced by the mean 0.5.
+_KEPT = 8
+
+
+@query(
+    f"""WITH {E}, r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY node) AS n,
+    list(value) OVER ten AS v, list(k::DOUBLE) OVER ten AS ks, first_value(us) OVER ten AS first_us FROM e
+  WINDOW w AS (PARTITION BY node ORDER BY us),
+    ten AS (PARTITION BY node ORDER BY us ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+q AS (SELECT node, first_us, list_transform(range(20), lambda j:
+    CASE WHEN j % 2 = 0 THEN v[j // 2 + 1] ELSE ks[j // 2 + 1] END) AS x FROM r WHERE i >= 10 AND i < n)
+SELECT node, first_us AS ts, round(list_sum(list_transform(range({_KEPT}, 20), lambda j: abs(x[j + 1] - 0.5))) / 20, 6) AS loss,
+  CASE WHEN list_sum(list_transform(range({_KEPT}, 20), lambda j: abs(x[j + 1] - 0.5))) / 20 > 40
+    THEN 'Anomaly' ELSE 'Normal' END AS status FROM q"""
+)
+def reconstruction_given_scores(spark, sf_dir):
+    """Scoring with a given bottleneck is plain arithmetic."""
+    model = rec.Reconstruction(np.full(20, 0.5), np.eye(20)[:, :_KEPT])
+    scored = rec.score_reconstruction(_sequences(spark, sf_dir), model, 40.0)
+    return scored.select("node", F.unix_micros("ts").alias("ts"), r6("loss"), "status")
+
+
 @query()
 def augment_noise(spark, sf_dir):
     noisy = rec.augment_noise(_sequences(spark, sf_dir), ["node", "ts"])
@@ -254,5 +322,5 @@ FROM grid LEFT JOIN closed USING (node, w)"""
 def stream_densify(spark, sf_dir):
     kernel = parse_kernel_events(ad.kernel_lines(_event_stream(spark, sf_dir)))
     dense = densify_stream(features_of_stream(kernel, "1 day"), 86_400)
-    out = _with_rocksdb(spark, lambda: _run_to_frame(spark, dense))
+    out = _with_rocksdb(spark, lambda: _run_to_frame(spark, dense)).where("NOT late").drop("late")
     return out.withColumn("window_start", F.unix_micros("window_start"))

@@ -290,6 +290,15 @@ def node_health(spark, sf_dir):
     return tr.node_health(_state(spark, sf_dir))
 
 
+@query(
+    f"""WITH {LATEST} SELECT node, status, CASE status WHEN 'Banned' THEN 'BANNED (Cordoned/Drained)'
+    WHEN 'Probation' THEN 'PROBATION (Tainted)' END AS alert FROM latest
+  WHERE status IN ('Banned', 'Probation')"""
+)
+def node_alerts(spark, sf_dir):
+    return tr.node_alerts(_state(spark, sf_dir))
+
+
 # ------------------------------------------------------------------- scaling and calibration
 
 _FEATS = ad.FOREST_FEATURES

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+# Byte counters may come as any number, also with a fraction; a whole-number type would lose those.
 METRICS_V1 = (
     "node STRING, timestamp DOUBLE, cpu DOUBLE, mem DOUBLE, "
-    "net_out BIGINT, net_in BIGINT, latency DOUBLE"
+    "net_out DOUBLE, net_in DOUBLE, latency DOUBLE"
 )
 
-# JSON lines may hold any number as a byte counter; the CSV layout holds whole ones.
-SIGNED_RECORD = METRICS_V1.replace("BIGINT", "DOUBLE") + ", signature STRING"
+SIGNED_RECORD = METRICS_V1 + ", signature STRING"
 
 METRICS_V2 = (
     "timestamp TIMESTAMP, instance STRING, cpu DOUBLE, mem DOUBLE, "

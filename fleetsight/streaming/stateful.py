@@ -104,6 +104,7 @@ class _DensifyProcessor(StatefulProcessor):
         out = pd.DataFrame({"node": node, "window_start": pd.to_datetime(starts, unit="ms")})
         for c in self.counts:
             out[c] = 0
+        out["late"] = False
         return out
 
     def _rearm(self, start_ms: int) -> None:
@@ -118,6 +119,10 @@ class _DensifyProcessor(StatefulProcessor):
         first = int(starts.min())
         last = self.last.get()[0] if self.last.exists() else first - self.window_ms
         fresh = starts > last  # a window already filled with zeros is closed
+        if not fresh.all():
+            late = pdf[~fresh][["node", "window_start", *self.counts]].copy()
+            late["late"] = True
+            yield late
         if fresh.any():
             end = int(starts.max())
             out = self._zero_rows(key[0], last + self.window_ms, end + self.window_ms)
@@ -148,8 +153,13 @@ def stream_densify(
     features: DataFrame, window_seconds: int, counts: Sequence[str] = EVENT_COUNTS
 ) -> DataFrame:
     """Zero rows for silent nodes. ``features`` needs a watermark on ``window_start`` and one row
-    per node and window (closed windows of ``stream_event_features``)."""
-    schema = "node STRING, window_start TIMESTAMP, " + ", ".join(f"{c} BIGINT" for c in counts)
+    per node and window (closed windows of ``stream_event_features``).
+
+    A row whose window already went out as zeros comes out with ``late`` set: it corrects that zero
+    row, and nothing is lost. All other rows have ``late`` false.
+    """
+    counted = ", ".join(f"{c} BIGINT" for c in counts)
+    schema = f"node STRING, window_start TIMESTAMP, {counted}, late BOOLEAN"
     return (
         features.select("node", "window_start", *counts)
         .groupBy("node")

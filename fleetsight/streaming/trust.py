@@ -22,6 +22,7 @@ from fleetsight.operators.trust import (
     status_transitions,
     trust_scores,
 )
+from fleetsight.plans.kept import kept
 from fleetsight.sinks.tables import publish_state, version_before
 
 
@@ -71,8 +72,10 @@ def stream_trust(
         earlier = version_before(spark, f"{root}/state", batch_id)
         prior = spark.read.schema(schemas.NODE_STATE).parquet(earlier) if earlier else None
         target = f"{root}/trace/batch={batch_id}"
-        traced = trust_batch(rows, prior, policy, order, rows_per_chunk)
-        traced.write.mode("overwrite").parquet(target)
+        # Several actions work on the batch; without this each would check and score it again.
+        with kept(rows) as once:
+            traced = trust_batch(once, prior, policy, order, rows_per_chunk)
+            traced.write.mode("overwrite").parquet(target)
         # read back what was saved instead of computing the trace a second time
         saved = spark.read.schema(traced.schema).parquet(target)
         state = latest_state(
