@@ -43,7 +43,7 @@ LENGTH = 50
 GRAM = 19
 WIDTH = LENGTH - GRAM + 1
 # Text whose phrases a task combines before it sends them, and at most so many documents.
-COMBINED_BYTES, COMBINED_DOCS = 8_000_000, 60_000
+COMBINED_BYTES, COMBINED_DOCS = 6_000_000, 60_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _LAST = (1 << 63) - 1
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text that one numpy pass handles; a longer single text is handled alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
