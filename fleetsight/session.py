@@ -11,6 +11,13 @@ _SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Stream state beyond the heap of an executor.
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
 _LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -42,7 +49,7 @@ def get_session(
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
-    conf = dict(_SEMANTIC_CONF)
+    conf = {**_SEMANTIC_CONF, **_STATE_CONF}
     if master is not None:
         builder = builder.master(master)
         conf.update(_LOCAL_CONF)
