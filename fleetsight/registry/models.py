@@ -25,6 +25,7 @@ from fleetsight.registry.features import SECRET
 from fleetsight.session import checkpoint_dir
 from fleetsight.sources.lines import parse_kernel_events, parse_metric_lines
 from fleetsight.sources.tables import read_state
+from fleetsight.streaming.features import in_open_windows
 from fleetsight.streaming.features import stream_event_features as features_of_stream
 from fleetsight.streaming.features import stream_kind_counts as kinds_of_stream
 from fleetsight.streaming.run import run_bounded, stream_to_table
@@ -218,27 +219,28 @@ def _run_to_frame(spark, stream):
     return spark.read.schema(stream.schema).parquet(f"{work}/out")
 
 
-_CLOSED = "epoch_us(w) + 3600000000 <= (SELECT max(epoch_us(ts)) - 10000000 FROM parsed)"
-
-
 @query(
     f"""WITH {KERNEL}, {features_sql('hour')}
-SELECT node, epoch_us(w) AS window_start, {COUNT_NAMES} FROM features WHERE {_CLOSED}"""
+SELECT node, epoch_us(w) AS window_start, {COUNT_NAMES} FROM features"""
 )
 def stream_event_features(spark, sf_dir):
     kernel = parse_kernel_events(ad.kernel_lines(_event_stream(spark, sf_dir)))
-    out = _run_to_frame(spark, features_of_stream(kernel, "1 hour"))
+    closed = _run_to_frame(spark, features_of_stream(kernel, "1 hour"))
+    stored = parse_kernel_events(ad.kernel_lines(ad.events(spark, sf_dir)))
+    out = closed.unionByName(features_of_stream(in_open_windows(stored, "1 hour"), "1 hour"))
     return out.withColumn("window_start", F.unix_micros("window_start"))
 
 
 @query(
     f"""WITH {KERNEL}, kinds AS (SELECT node, date_trunc('hour', ts) AS w, kind, count(*) AS n
   FROM parsed WHERE event_class IS NOT NULL GROUP BY ALL)
-SELECT node, epoch_us(w) AS window_start, kind, n FROM kinds WHERE {_CLOSED}"""
+SELECT node, epoch_us(w) AS window_start, kind, n FROM kinds"""
 )
 def stream_kind_counts(spark, sf_dir):
     kernel = parse_kernel_events(ad.kernel_lines(_event_stream(spark, sf_dir)))
-    out = _run_to_frame(spark, kinds_of_stream(kernel, "1 hour"))
+    closed = _run_to_frame(spark, kinds_of_stream(kernel, "1 hour"))
+    stored = parse_kernel_events(ad.kernel_lines(ad.events(spark, sf_dir)))
+    out = closed.unionByName(kinds_of_stream(in_open_windows(stored, "1 hour"), "1 hour"))
     return out.withColumn("window_start", F.unix_micros("window_start"))
 
 

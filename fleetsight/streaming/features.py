@@ -9,6 +9,19 @@ from fleetsight.operators.events import WINDOW, feature_aggregates
 from fleetsight.schemas import EVENT_COUNTS
 
 
+def in_open_windows(
+    events: DataFrame, window: str = WINDOW, watermark: str = "10 seconds", ts: str = "ts"
+) -> DataFrame:
+    """Of a stored table of events, those in windows that a stream over it leaves open at its end.
+
+    A stream emits a window once the watermark has passed it, so a bounded run keeps back its last
+    ones. The functions below, applied to these events in batch, give the missing rows.
+    """
+    last = events.agg(F.max(ts)).first()[0]
+    closed = F.lit(last) - F.expr(f"INTERVAL '{watermark}'")
+    return events.where(F.window(ts, window)["end"] > closed)
+
+
 def stream_event_features(
     events: DataFrame, window: str = WINDOW, watermark: str = "10 seconds", ts: str = "ts"
 ) -> DataFrame:
