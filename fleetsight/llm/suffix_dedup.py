@@ -48,6 +48,22 @@ _LOW48 = np.uint64((1 << 48) - 1)
 _LAST = (1 << 63) - 1
 
 
+# Bits of a key that hold a gram's place. Their number is fixed, so that equal strings choose equal
+# triggers wherever they stand; longer texts are looked at in overlapping stretches.
+_PLACE_BITS = 20
+
+
+def _triggers(grams: np.ndarray) -> np.ndarray:
+    """For every ``WIDTH`` consecutive grams the place of the smallest, the first of equal ones."""
+    place = np.uint64((1 << _PLACE_BITS) - 1)
+    out = [np.zeros(0, dtype=np.int64)]
+    for a in range(0, len(grams) - WIDTH + 1, (1 << _PLACE_BITS) - WIDTH + 1):
+        some = grams[a : a + (1 << _PLACE_BITS)]
+        keys = (some & ~place) | np.arange(len(some), dtype=np.uint64)
+        out.append((sliding_min(keys, WIDTH) & place).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 class Phrases:
     """The phrases of a slice of texts: ``doc`` (row in the slice), ``start`` and ``end`` (bytes in the
     slice), ``trigger`` and ``content`` hashes. ``first`` is where the first of its strings starts,
@@ -63,10 +79,7 @@ class Phrases:
         prefix = prefix_hashes(data)
         n = len(data) - GRAM + 1
         grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix), inverse=True)[:n])
-        bits = max(1, int(n).bit_length())
-        low = np.uint64((1 << bits) - 1)
-        keys = (grams & ~low) | np.arange(n, dtype=np.uint64)
-        at = (sliding_min(keys, WIDTH) & low).astype(np.int64)
+        at = _triggers(grams)
         # Starts of strings inside one text.
         owner = np.repeat(np.arange(len(lengths)), lengths)
         edge = np.zeros(len(data) + 1, dtype=np.int32)

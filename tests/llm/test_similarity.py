@@ -104,6 +104,16 @@ def test_repeated_spans(spark, monkeypatch, combined):
     assert sorted(got) == cut(rows)
 
 
+def test_triggers_of_long_texts(monkeypatch):
+    grams = np.random.default_rng(1).integers(0, 50, 700).astype(np.uint64) << np.uint64(40)
+    width = suffix_dedup.WIDTH
+    want = [i + int(np.argmin(grams[i : i + width])) for i in range(len(grams) - width + 1)]
+    for bits in (20, 7):
+        monkeypatch.setattr(suffix_dedup, "_PLACE_BITS", bits)
+        assert suffix_dedup._triggers(grams).tolist() == want
+    assert suffix_dedup._triggers(grams[: width - 1]).tolist() == []
+
+
 def test_repeated_spans_of_odd_rows(spark):
     long = "abcdefghij" * 8
     rows = [(4, long), (4, long), (None, long), (2, None), (1, "")]
