@@ -226,3 +226,12 @@ def test_exact_quantile(spark, p):
     df = spark.createDataFrame([(float(v),) for v in x], "x DOUBLE")
     got = exact_quantile(df, "x", p, buffer_rows=500).first()["quantile"]
     assert got == pytest.approx(np.quantile(x, p), abs=1e-12)
+
+
+def test_exact_quantile_between_two_heavy_values(spark):
+    few = [0.1 + i / 1000 for i in range(300)]
+    x = np.array([0.0] * 20_000 + few + [1.0] * 20_000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x DOUBLE").repartition(8)
+    for p in (0.3, 20_000 / 40_299, 0.4999, 0.5, 0.501, 20_299.5 / 40_299, 0.7, 0.0, 1.0):
+        got = exact_quantile(df, "x", p, buffer_rows=100).first()["quantile"]
+        assert got == pytest.approx(np.quantile(x, p), abs=1e-12), p
