@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight.functions.scalars import is_mining_port, is_tmp_exec, map_json
+from fleetsight.plans.grids import explode_steps, width_micros
 from fleetsight.schemas import EVENT_COUNTS, NODE_GAUGES
 
 WINDOW = "10 seconds"
@@ -162,9 +163,8 @@ def densify(
     """
     first = df.groupBy(key).agg(F.min(ts).alias("_from"))
     last = end if end is not None else df.agg(F.max(ts).alias("last_window"))
-    grid = first.crossJoin(F.broadcast(last)).select(
-        key, F.explode(F.sequence("_from", "last_window", F.expr(f"INTERVAL {window}"))).alias(ts)
-    )
+    bounds = first.crossJoin(F.broadcast(last)).select(key, "_from", "last_window")
+    grid = explode_steps(bounds, "_from", "last_window", width_micros(window), ts).select(key, ts)
     return grid.join(df, [key, ts], "left").select(
         *[
             F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)

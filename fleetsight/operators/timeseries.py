@@ -24,7 +24,7 @@ from fleetsight.plans.ordered import (
     previous,
     total,
 )
-from fleetsight.plans.sizing import broadcast_if_small
+from fleetsight.plans.grids import explode_steps
 
 _MICROS = 1_000_000
 FRAME_ROWS = 50  # samples per range up to which a range frame, which rereads them, is used
@@ -173,12 +173,8 @@ def instant_rate(
 def eval_grid(bounds: DataFrame, step_s: int, start: str = "start", end: str = "end") -> DataFrame:
     """One row per evaluation tick from start to end (inclusive) of each row of ``bounds``."""
     rest = [c for c in bounds.columns if c not in (start, end)]
-    return bounds.select(
-        *rest,
-        F.explode(
-            F.sequence(start, end, F.expr(f"INTERVAL {int(step_s)} SECONDS"))
-        ).alias("tick"),
-    )
+    step = F.lit(int(step_s) * _MICROS)
+    return explode_steps(bounds, start, end, step, "tick").select(*rest, "tick")
 
 
 def asof_latest(

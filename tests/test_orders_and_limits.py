@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from fleetsight.operators import timeseries as ts
+from fleetsight.operators.events import densify
 from fleetsight.operators.forest import sample_per_tree
 from fleetsight.operators.labeling import label_by_windows
 from fleetsight.plans.ordered import ROWS_PER_CHUNK_CONF
@@ -100,3 +101,15 @@ def test_instant_vectors_row_by_row(spark):
     got = parse_instant_vector(spark.createDataFrame(rows, "id INT, p STRING"), "p", by=["id"])
     assert sorted(tuple(r) for r in got.collect()) == [(1, "a", 3.0), (1, "b", 2.0), (1, "unknown", 4.0)]
     assert "Exchange" not in got._jdf.queryExecution().toString().replace("AdaptiveSparkPlan", "")
+
+
+def test_grids_reach_back_to_a_stray_time(spark):
+    bounds = spark.createDataFrame([("a", 0, 1_700_000_000), ("b", 95, 90), ("c", 5, 5), ("d", None, 9)], "k STRING, s LONG, e LONG")
+    bounds = bounds.select("k", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds("e").alias("end"))
+    grid = ts.eval_grid(bounds, 1_000)
+    got = grid.groupBy("k").agg(F.count("*"), F.countDistinct("tick"), F.unix_seconds(F.max("tick")))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1_700_001, 1_700_001, 1_700_000_000), ("c", 1, 1, 5)]
+    rows = [("x", 0, 3), ("x", 1_700_000_000, 4), ("y", 1_699_999_990, 5)]
+    feats = spark.createDataFrame(rows, "node STRING, s LONG, n LONG").select("node", F.timestamp_seconds("s").alias("window_start"), "n")
+    dense = densify(feats, "1000 seconds", fill=["n"])
+    assert dense.count() == 1_700_001 + 1 and dense.agg(F.sum("n")).first()[0] == 12
