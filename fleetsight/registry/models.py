@@ -25,7 +25,7 @@ from fleetsight.registry.features import SECRET
 from fleetsight.session import checkpoint_dir
 from fleetsight.sources.lines import parse_kernel_events, parse_metric_lines
 from fleetsight.sources.tables import read_state
-from fleetsight.streaming.features import in_open_windows
+from fleetsight.streaming.features import complete_dense, in_open_windows
 from fleetsight.streaming.features import stream_event_features as features_of_stream
 from fleetsight.streaming.features import stream_kind_counts as kinds_of_stream
 from fleetsight.streaming.run import run_bounded, stream_to_table
@@ -324,5 +324,8 @@ FROM grid LEFT JOIN closed USING (node, w)"""
 def stream_densify(spark, sf_dir):
     kernel = parse_kernel_events(ad.kernel_lines(_event_stream(spark, sf_dir)))
     dense = densify_stream(features_of_stream(kernel, "1 day"), 86_400)
-    out = _with_rocksdb(spark, lambda: _run_to_frame(spark, dense)).where("NOT late").drop("late")
+    closed = _with_rocksdb(spark, lambda: _run_to_frame(spark, dense))
+    stored = parse_kernel_events(ad.kernel_lines(ad.events(spark, sf_dir)))
+    still_open = features_of_stream(in_open_windows(stored, "1 day"), "1 day")
+    out = complete_dense(closed, still_open, "1 day")
     return out.withColumn("window_start", F.unix_micros("window_start"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsight.operators.events import WINDOW, feature_aggregates
+from fleetsight.operators.events import WINDOW, densify, feature_aggregates
 from fleetsight.schemas import EVENT_COUNTS
 
 
@@ -22,6 +22,17 @@ def in_open_windows(
     return events.where(F.window(ts, window)["end"] > closed)
 
 
+def complete_dense(dense: DataFrame, still_open: DataFrame, window: str = WINDOW) -> DataFrame:
+    """Zero-filled features of a bounded run: the output of ``stream_densify`` with each late row in
+    place of the zero row of its window, the features of the windows left open (``still_open``), and
+    the zero rows of silent nodes up to the last window of all.
+    """
+    counts = F.max_by(F.struct(*EVENT_COUNTS), "late").alias("_counts")
+    settled = dense.groupBy("node", "window_start").agg(counts)
+    settled = settled.select("node", "window_start", "_counts.*")
+    return densify(settled.unionByName(still_open), window)
+
+
 def stream_event_features(
     events: DataFrame, window: str = WINDOW, watermark: str = "10 seconds", ts: str = "ts"
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from fleetsight.operators.timeseries import make_sequences
 from fleetsight.operators.trust import status_transitions, trust_scores
 from fleetsight.sources.lines import parse_kernel_events, parse_metric_lines
 from fleetsight.sources.tables import read_state
-from fleetsight.streaming.features import stream_event_features
+from fleetsight.streaming.features import complete_dense, stream_event_features
 from fleetsight.streaming.run import run_bounded, stream_actions, stream_to_table
 from fleetsight.streaming.stateful import (
     ROCKSDB,
@@ -153,6 +153,30 @@ def test_zero_fill(spark, stream, tmp_path, rocksdb):
     assert zero
 
 
+def test_zero_fill_query_is_whole(spark):
+    """The open windows and the nodes first seen in them are there: the same rows as in batch."""
+    from fleetsight.registry import QUERIES
+
+    got, want = (QUERIES[n](spark, SF) for n in ("stream_densify", "densify"))
+    assert rows(got, *FEATURES) == rows(want, *FEATURES)
+
+
+def test_late_row_replaces_zero_row(spark):
+    def frame(days, late=""):
+        made = ", ".join(
+            f"('{n}', timestamp'2024-01-0{d}', {c}L, {c}L, 0L, 0L, 0L{x})" for n, d, c, x in days
+        )
+        return spark.sql(f"SELECT * FROM VALUES {made} AS t({', '.join(FEATURES)}{late})")
+
+    no, yes = ", false", ", true"
+    dense = frame([("a", 1, 4, no), ("a", 2, 0, no), ("a", 3, 0, no), ("a", 2, 7, yes)], ", late")
+    out = complete_dense(dense, frame([("b", 4, 2, ""), ("c", 5, 1, "")]), "1 day")
+    got = [(r.node, r.window_start.day, r.exec_count) for r in out.collect()]
+    assert sorted(got) == [
+        ("a", 1, 4), ("a", 2, 7), ("a", 3, 0), ("a", 4, 0), ("a", 5, 0), ("b", 4, 2), ("b", 5, 0), ("c", 5, 1),
+    ]
+
+
 def test_sequence_scores(spark, stream, tmp_path, rocksdb):
     points = ad.events(spark, SF).withColumn("k", F.col("k").cast("double"))
     seqs = make_sequences(points, ["value", "k"], 10, by=["node"], drop_last=False)
