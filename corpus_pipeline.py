@@ -11,7 +11,8 @@ writes each stage's rows once, in the shared folder, so that a lost executor rep
 4. mixture: rows are repeated or left out so that the sources reach their target weights.
 5. shards: every row gets its shard.
 
-Defined cases are those of the operators; in addition, documents without an id are all kept by
+Defined cases are those of the operators; in addition, other columns may have any name and come out as
+given (but those named like the ones shards adds, which it replaces), documents without an id are all kept by
 near_copies, as they link with nothing, and of repeated rows of one id one row stays.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetsight.llm.columns import set_aside
 from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.jaccard_join import link_documents
 from fleetsight.llm.mixing import mix_sources, repeat_taken
@@ -30,6 +32,9 @@ from fleetsight.session import ship_code
 
 ship_code()
 
+# The columns that stages look at. All others are carried along under working names.
+USED = ("doc_id", "text", "source")
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
@@ -53,12 +58,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_contamination(docs, benchmark, keep_text=True)
-    return found.where("n_hit = 0").select(docs.columns)
+    given, own = set_aside(docs, *USED)
+    return find_contamination(given, benchmark, keep_text=True).where("n_hit = 0").select(own)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeat_taken(mix_sources(docs)).select(docs.columns)
+    given, own = set_aside(docs, *USED)
+    return repeat_taken(mix_sources(given)).select(own)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

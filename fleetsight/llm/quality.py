@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetsight.llm.columns import set_aside
+
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, MIN_LEAF, RATE = 40, 3, 48, 20, 0.3
 # The strong penalty chooses the rules, the weak one sets the weights of those chosen.
@@ -228,9 +230,9 @@ def keep_good(docs: DataFrame, model: Ensemble, text_col: str = "text") -> DataF
     """The rows of ``docs`` that are predicted good, with their own columns."""
     # The row number keeps the filter above the score; pushed down, it would count each statistic anew
     # for every rule.
-    scored = score_quality(docs, model, text_col).withColumn("__row", F.monotonically_increasing_id())
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    return scored.where((F.col("predicted") == 1) & (F.col("__row") >= 0)).select(*(F.col(f"`{c}`") for c in kept))
+    given, own = set_aside(docs, text_col)
+    scored = score_quality(given, model, text_col).withColumn("__row", F.monotonically_increasing_id())
+    return scored.where((F.col("predicted") == 1) & (F.col("__row") >= 0)).select(own)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetsight.llm.columns import set_aside
 from fleetsight.llm.store import stored
 from fleetsight.plans.sizing import broadcast_if_small
 
@@ -91,10 +92,12 @@ def shard_rows(docs: DataFrame, text_col: str = "text", limit: int = SHARD_BYTES
     if limit < 1:
         raise ValueError("the limit must be at least one byte")
     base = docs.drop(*(c for c in _ADDED if c in docs.columns))
-    own = [F.col(f"`{c}`") for c in base.columns]
+    given, named = set_aside(base, text_col)
+    own = [F.col(f"`{c}`") for c in given.columns]
     n_bytes = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
-    hashed = base.select(*own, n_bytes.alias("n_bytes"), row_hash(own).alias("h"))
-    return _assigned(hashed, stored(hashed.select("h", "n_bytes"), "hashes"), base.columns, limit)
+    hashed = given.select(*own, n_bytes.alias("n_bytes"), row_hash(own).alias("h"))
+    found = _assigned(hashed, stored(hashed.select("h", "n_bytes"), "hashes"), given.columns, limit)
+    return found.select(*named, *_ADDED)
 
 
 def shard_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:

@@ -1,6 +1,8 @@
 """The registered queries against their SQL twins, and the pipeline against a brute-force version."""
 
 import pytest
+from helpers import documents
+from pyspark.sql import functions as F
 from test_layout import shards as split_shards
 from test_layout import targets
 from test_similarity import components
@@ -75,3 +77,23 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
             if name != "shards":
                 assert out.columns == docs.columns, name
             assert out.count() <= 2 * some.count(), name
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named like what a stage works with come out with the values given."""
+    clashing = "target taken source_size cut_part epochs hit items item_ids n_words predicted __chars h shard_x".split()
+    docs = documents(spark).withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id"), F.lit(0))) for c in clashing})
+    given = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "shards":  # replaces the given ``part``
+            assert out.columns == [c for c in docs.columns if c != "part"] + ["n_bytes", "shard", "part", "shard_bytes"]
+            out, all_of = out.select(*clashing, "score"), {tuple(r) for r in docs.select(*clashing, "score").collect()}
+        else:
+            assert out.columns == docs.columns, name
+            all_of = given
+        rows = [tuple(r) for r in out.collect()]
+        assert rows or name == "quality", name
+        assert set(rows) <= all_of, name
+    model = quality.Ensemble(10.0)  # everything is good
+    assert {tuple(r) for r in quality.keep_good(docs, model).collect()} == given
