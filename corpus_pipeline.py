@@ -13,12 +13,13 @@ writes each stage's rows once, in the shared folder, so that a lost executor rep
 
 Defined cases are those of the operators; in addition, other columns may have any name and come out as
 given (but those named like the ones shards adds, which it replaces), documents without an id are all kept by
-near_copies, as they link with nothing, and of repeated rows of one id one row stays.
+near_copies, as they link with nothing; of rows with one id and equal or linked sets one stays, and
+unlike rows under one id are documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.llm.columns import set_aside
@@ -42,18 +43,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = link_documents(docs)
-    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    # Repeated ids: few, and only those pass through a window.
-    repeated = stored(linked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
-    if not repeated.head(1):
-        return left.select(docs.columns)
-    once = left.join(repeated.select("doc_id"), "doc_id", "left_anti")
-    again = left.join(repeated.select("doc_id"), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
-    one = again.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return once.select(docs.columns).unionByName(one.select(docs.columns))
+    given, own = set_aside(docs, *USED)
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1").head(1):
+        return _apart(given).select(own)
+    gone = link_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return given.join(gone, "doc_id", "left_anti").select(own)
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """near_copies where ids repeat: every (doc_id, text) links under a number of its own, so that a row
+    goes only for a set equal or linked to its own."""
+    rows = docs.withColumn("__text", F.md5(F.coalesce("text", F.lit(""))))
+    names = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "__text").agg(F.count(F.lit(1)).alias("__rows"))
+    names = stored(names.withColumn("__id", F.monotonically_increasing_id()), "names")
+    named = rows.join(names, ["doc_id", "__text"])
+    texts = stored(named.select("__id", "text"), "named")
+    linked = link_documents(texts, "__id").distinct().withColumnRenamed("doc_id", "__id")
+    # Empty sets link with nothing; under one id they are equal.
+    empty = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    first = F.min(F.struct("doc_id", "__text", "__id"))
+    heads = names.join(linked, "__id").groupBy(empty.alias("empty"), group.alias("group")).agg(first.alias("first"))
+    left = named.join(stored(heads.select("first.__id"), "heads"), "__id", "left_semi")
+    one = left.where("__rows > 1").dropDuplicates(["__id"])
+    parts = (left.where("__rows = 1"), one, rows.where("doc_id IS NULL"))
+    once, one, without = (p.select(docs.columns) for p in parts)
+    return once.unionByName(one).unionByName(without)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,14 @@ def test_stages_keep_clashing_columns(spark):
         assert set(rows) <= all_of, name
     model = quality.Ensemble(10.0)  # everything is good
     assert {tuple(r) for r in quality.keep_good(docs, model).collect()} == given
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Unlike texts under one id are judged apart; equal ones leave one row."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, b.upper()), (4, None), (4, ""), (5, ""), (None, a), (None, a)]
+    got = corpus_pipeline.near_copies(spark, documents(spark, rows), SF)
+    assert got.columns == documents(spark, rows).columns
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == [
+        ("1", a), ("2", b), ("3", c), ("4", ""), ("5", ""), ("None", a), ("None", a),
+    ]
