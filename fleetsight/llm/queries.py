@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.llm.chat_pairs import conversations, format_preferences, swap_last_reply
+from fleetsight.llm.chat_repair import damage, repair_conversations, with_digests
 from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.jaccard_join import link_documents
 from fleetsight.llm.mixing import mix_sources
@@ -236,3 +237,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")]
     loss = [F.length(F.replace(f"{c}_mask", F.lit("0"), F.lit(""))).cast("long").alias(f"{c}_loss_chars") for c in ("chosen", "rejected")]
     return pairs.select(F.col("id").alias("conv_id"), "n_prompt_turns", *sha, *loss)
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return with_digests(*repair_conversations(turns, damage(turns)))
