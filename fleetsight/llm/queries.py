@@ -11,6 +11,7 @@ from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.jaccard_join import link_documents
 from fleetsight.llm.mixing import mix_sources
 from fleetsight.llm.nearest import nearest_neighbours
+from fleetsight.llm.phrases import mine_phrases
 from fleetsight.llm.quality import held_out, score_quality, train_quality
 from fleetsight.llm.registry import ORACLES, QUERIES, query, table
 from fleetsight.llm.sharding import SHARD_BYTES, shard_ids
@@ -239,6 +240,42 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id").alias("conv_id"), "n_prompt_turns", *sha, *loss)
 
 
+OP12_SQL = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 100
+), c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), inner_ AS (
+  SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT lang, w, f, j, unnest(range(1, k - j + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS j) WHERE j < k) GROUP BY ALL
+), s AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, t.n, cut,
+         CAST(1000::HUGEINT * c.f * t.n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+  JOIN t ON t.lang = c.lang
+  LEFT JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase
+  WHERE i.most IS NULL OR 100 * i.most < 100 * c.f
+), weakest AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query(OP12_SQL)
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 @query()
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
