@@ -11,6 +11,7 @@ from fleetsight.llm.decontamination import find_contamination
 from fleetsight.llm.jaccard_join import link_documents
 from fleetsight.llm.mixing import mix_sources
 from fleetsight.llm.nearest import nearest_neighbours
+from fleetsight.llm.packing import pack_documents
 from fleetsight.llm.phrases import mine_phrases
 from fleetsight.llm.quality import held_out, score_quality, train_quality
 from fleetsight.llm.registry import ORACLES, QUERIES, query, table
@@ -240,6 +241,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id").alias("conv_id"), "n_prompt_turns", *sha, *loss)
 
 
+@query()
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP12_SQL = rf"""
 WITH p AS (
   SELECT row_number() OVER () AS r, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
