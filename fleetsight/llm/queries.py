@@ -246,7 +246,8 @@ def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks)
 
 
 OP12_SQL = rf"""

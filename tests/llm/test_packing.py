@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from fleetsight.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +33,11 @@ def odd_texts():
     return ["".join(rng.choice(marks) + rng.choice(spaces if rng.random() < 0.5 else [" "]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
 
 
-def test_ids_equal_the_library(library, monkeypatch):
-    some = [t or "" for t in texts(3)] + odd_texts()
-    model = packing.ByteBPE(PATH)
+@pytest.mark.parametrize("ranks", [None, RANKS])
+def test_ids_equal_the_library(library, monkeypatch, ranks):
+    latin = [" ".join(chr(a) + chr(b) for b in range(32, 256, 3)) for a in range(1, 256)]
+    some = [t or "" for t in texts(3)] + odd_texts() + latin
+    model = packing.ByteBPE(PATH, ranks)
     assert model.separable
     data = np.frombuffer("".join(some).encode(), dtype=np.uint8)
     offsets = np.cumsum([0] + [len(t.encode()) for t in some])
@@ -49,7 +52,7 @@ def test_ids_equal_the_library(library, monkeypatch):
 
 
 def packed(spark, rows):
-    got = packing.pack_documents(documents(spark, rows), PATH)
+    got = packing.pack_documents(documents(spark, rows), PATH, RANKS)
     assert got.columns == "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()
     return got.collect()
 
