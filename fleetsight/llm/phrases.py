@@ -14,10 +14,10 @@ Method:
    relation becomes R(k), which is written; R1 keeps only what R(k) can still be extended by.
 3. Counts of all frequent phrases meet by their words for the scores. Products are exact decimals.
 
-A row of a relation table is a block: the sorted occurrences of whole pieces of one group, packed in
-arrays, so that both relations of a block are joined where they lie. Piece and position are one
-number (place): words side by side in a piece have consecutive ones, other words never. Pairs are told
-apart by their numbers, not by hashes.
+A row of a relation table is a block: the sorted occurrences of whole pieces of one group, packed, so
+that both relations of a block are joined where they lie. Piece and position are one number
+(place): words side by side in a piece have consecutive ones, other words never. Pairs are told apart
+by their numbers, not by hashes.
 
 The frequent groups of a step are broadcast where they are counted to be at most ``BROADCAST``; beyond
 that the semi-join is a shuffled join of the single occurrences, and blocks are put together again.
@@ -44,9 +44,11 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2_000
 # Frequent groups that are sent to every task at once: some 30 bytes each.
 BROADCAST = 2_000_000
 # Bytes of text in a block.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 # Pairs or words that a task combines before it sends counts.
-COMBINED = 3_000_000
+COMBINED = 300_000
+# A task reads the blocks of one row group at a time.
+ROW_GROUP_BYTES = 8_000_000
 
 # Products of counts may pass 64 bits.
 SCORE = (
@@ -117,6 +119,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if waiting:
             total = pa.concat_tables(waiting).group_by(["grp", "word"]).aggregate([("n", "sum")])
             waiting.clear()
+            pa.default_memory_pool().release_unused()
             total = total.select(["grp", "word", "n_sum"]).rename_columns(["grp", "word", "n"])
             yield from total.cast(pa.schema([("grp", pa.string()), ("word", pa.string()), ("n", pa.int64())])).to_batches(200_000)
 
@@ -125,32 +128,33 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(encoded.indices.to_numpy(zero_copy_only=False), minlength=len(encoded.dictionary))
         names = pa.array([group] * len(n), pa.large_string())
         waiting.append(pa.table({"grp": names, "word": encoded.dictionary, "n": n}))
-        if sum(map(len, waiting)) > COMBINED // 3:
+        if sum(map(len, waiting)) > COMBINED:
             yield from combined()
     yield from combined()
 
 
-# One block: R1 as gaps between places and word numbers; R(k) likewise (none: R1 itself).
-_RELATION = "grp STRING, places ARRAY<INT>, words ARRAY<LONG>, at ARRAY<INT>, items ARRAY<LONG>"
+# One block: R1 as gaps between places and word numbers; R(k) likewise (none: R1 itself). All are packed
+# integers: of 4 bytes, or of 8 where a number needs them.
+_RELATION = "grp STRING, places BINARY, words BINARY, at BINARY, items BINARY"
 _NAMES = ["grp", "places", "words", "at", "items"]
 
 
-def _gaps(places: np.ndarray) -> np.ndarray:
-    return np.diff(places, prepend=0).astype(np.int32)
+def _gaps(places: np.ndarray) -> bytes:
+    return np.diff(places, prepend=0).astype("<i4").tobytes()
 
 
-def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
-    sizes = [0 if v is None else len(v) for v in values]
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    flat = [v for v in values if v is not None and len(v)]
-    held = pa.array(np.concatenate(flat) if flat else np.zeros(0), kind)
-    return pa.ListArray.from_arrays(pa.array(offsets), held, mask=pa.array([v is None for v in values]))
+def _ids(numbers: np.ndarray) -> bytes:
+    return numbers.astype("<i4" if not len(numbers) or numbers.max() < 1 << 31 else "<i8").tobytes()
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), pa.int64()))
 
 
 def _relation(rows: list[tuple]) -> pa.RecordBatch:
-    group, places, words, at, items = zip(*rows)
-    columns = [pa.array(group, pa.string()), _lists(places, pa.int32()), _lists(words, pa.int64()), _lists(at, pa.int32()), _lists(items, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+    group, *packed = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.string()), *(pa.array(c, pa.binary()) for c in packed)], names=_NAMES)
 
 
 def _numbers(cell) -> np.ndarray:
@@ -159,13 +163,16 @@ def _numbers(cell) -> np.ndarray:
 
 def _read(batch: pa.RecordBatch, first: int) -> Iterator[tuple]:
     """(places, words, at, items) of each block, decoded."""
+
+    def pair(i: int, column: int) -> tuple[np.ndarray, np.ndarray]:
+        places = np.cumsum(np.frombuffer(batch.column(column)[i].as_buffer(), dtype="<i4"), dtype=np.int64)
+        numbers = batch.column(column + 1)[i].as_buffer()
+        wide = numbers.size > 4 * len(places)
+        return places, np.frombuffer(numbers, dtype="<i8" if wide else "<i4").astype(np.int64)
+
     for i in range(batch.num_rows):
-        places = np.cumsum(_numbers(batch.column(first)[i]), dtype=np.int64)
-        words = _numbers(batch.column(first + 1)[i])
-        if batch.column(first + 2)[i].is_valid:
-            yield places, words, np.cumsum(_numbers(batch.column(first + 2)[i]), dtype=np.int64), _numbers(batch.column(first + 3)[i])
-        else:
-            yield places, words, places, words
+        known = pair(i, first)
+        yield *known, *(pair(i, first + 2) if batch.column(first + 2)[i].is_valid else known)
 
 
 def adjacent(places: np.ndarray, words: np.ndarray, at: np.ndarray, items: np.ndarray, k: int) -> tuple:
@@ -253,7 +260,7 @@ def _semi_join(k: int, sent):
                 at, ids = at[ids >= 0], ids[ids >= 0]
                 places, words = _pruned(places, words, at, k)
                 if len(places):
-                    rows.append((group, _gaps(places), words, _gaps(at), ids))
+                    rows.append((group, _gaps(places), _ids(words), _gaps(at), _ids(ids)))
             if rows:
                 yield _relation(rows)
 
@@ -265,8 +272,10 @@ def _pairs(k: int):
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             found = [adjacent(*block, k) for block in _read(batch, 1)]
-            columns = [_lists([f[i] for f in found], pa.int64()) for i in range(3)]
+            columns = [_lists([f[i] for f in found]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["block", "at", "prefix", "word"])
 
     return pairs
@@ -282,7 +291,7 @@ def _settled(k: int):
                 at, ids = _numbers(batch.column(5)[i]), _numbers(batch.column(6)[i])
                 places, words = _pruned(places, words, at, k)
                 if len(places):
-                    rows.append((batch.column(4)[i].as_py(), _gaps(places), words, _gaps(at), ids))
+                    rows.append((batch.column(4)[i].as_py(), _gaps(places), _ids(words), _gaps(at), _ids(ids)))
             if rows:
                 yield _relation(rows)
 
@@ -303,7 +312,7 @@ def _first_relation(sent):
             found = np.where(at >= 0, ids[at], -1)[encoded.indices.to_numpy(zero_copy_only=False)]
             places, found = places[found >= 0], found[found >= 0]
             if len(places):
-                yield _relation([(group, _gaps(places), found, None, None)])
+                yield _relation([(group, _gaps(places), _ids(found), None, None)])
 
     return relate
 
@@ -312,13 +321,13 @@ def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, text) -> (group, places, words as text), for the shuffled semi-join."""
     for group, words, places in _blocks(batches):
         said = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array([group], pa.string()), _lists([places], pa.int64()), said], names=["grp", "places", "said"])
+        yield pa.RecordBatch.from_arrays([pa.array([group], pa.string()), _lists([places]), said], names=["grp", "places", "said"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, places, numbers) -> R1."""
     for batch in batches:
-        rows = [(batch.column(0)[i].as_py(), _gaps(_numbers(batch.column(1)[i])), _numbers(batch.column(2)[i]), None, None) for i in range(batch.num_rows)]
+        rows = [(batch.column(0)[i].as_py(), _gaps(_numbers(batch.column(1)[i])), _ids(_numbers(batch.column(2)[i])), None, None) for i in range(batch.num_rows)]
         if rows:
             yield _relation(rows)
 
@@ -326,7 +335,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """A relation table, written once. Its numbers pack well."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
