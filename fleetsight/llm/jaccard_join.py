@@ -11,13 +11,16 @@ Method:
 2. Tiles. Linked sets share one of their ``size - ceil(0.8 size) + 1`` first shingles in any fixed
    order. The order puts frequent shingles last: those counted often are listed (at most ``HOT_LIMIT``
    of them, a bounded broadcast). The order only decides how much work there is, never the result.
-   The representatives that share a first shingle are its tile.
+   Sizes are cut into bands. The representatives of one band that share a first shingle are a tile.
 3. Candidates within a tile are compared by size, then by bitmaps of hashed shingles, whose bit counts
    bound the overlap from above, then by exact intersection of the sorted arrays.
 4. First every member is compared with its tile's pivot (the smallest id): linear in the tile. The
-   links are joined into components. Then only members of different components of a tile are compared,
-   banded by size: within a group of near copies nearly nothing is left. Large tiles are cut into
-   blocks of ``BLOCK`` members; the members outside the tile's largest component visit every block.
+   links are joined into components. Then members of different components of a tile are compared by
+   size and bitmap; a tile reports only as many pairs of components as connect those that may link.
+   The clusters of components so connected get their members' sets, and members of different components
+   are compared exactly; as soon as two components link they count as one, so again only as many links
+   are reported as connect them. Large tiles and clusters are cut into blocks; the members outside the
+   largest component visit every block.
 
 Defined cases: null and empty texts have an empty set and link with nothing; equal texts always link;
 rows without an id link with nothing and get a null component; rows with the same id count as one
@@ -31,12 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsight.llm.components import connected_components
 from fleetsight.llm.store import stored
-from fleetsight.llm.text import Words, gram_hashes, text_slices
+from fleetsight.llm.text import Words, distinct, gram_hashes, text_slices
 from fleetsight.plans.sizing import broadcast_if_small
 
 K = 5
@@ -47,6 +50,8 @@ COUNTED, REPORTED = 3_000_000, 2
 # Shingles in at least so many sets are frequent; the list holds at most so many.
 HOT, HOT_LIMIT = 8, 250_000
 BLOCK = 2_000
+# Shingles that a block of a cluster holds at once.
+BLOCK_SHINGLES = 3_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -56,7 +61,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     out = []
     for a, b in zip(words.firsts[:-1].tolist(), words.firsts[1:].tolist()):
         if b - a >= K:
-            out.append(np.unique(grams[a : b - K + 1]))
+            out.append(distinct(grams[a : b - K + 1]))
         else:
             out.append(gram_hashes(words.hashes[a:b], b - a) if b > a else grams[:0])
     return out
@@ -246,83 +251,237 @@ def _exact_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(_intersecting, "a LONG, b LONG"), "links")
 
 
+def _bands(n: str) -> Column:
+    """Bands of sizes by powers of two: a set's own, and the one that larger sets it may link with are in.
+    So sets of linking sizes have a band in common, that of the larger one."""
+    own, next_ = F.length(F.bin(n)), F.length(F.bin(F.expr(f"{n} * {DENOMINATOR} div {NUMERATOR}")))
+    return F.array_distinct(F.array(own, next_))
+
+
+def _banded(features: DataFrame, shingles: str) -> DataFrame:
+    """(tile, node): a tile has the sets of one band with one shingle among their first ones."""
+    rows = features.select("doc_id", F.explode(_bands("n")).alias("band"), shingles)
+    rows = rows.select(F.col("doc_id").alias("node"), "band", F.explode(shingles).alias("shingle"))
+    return rows.select(F.xxhash64("shingle", "band").alias("tile"), "node")
+
+
 def _tiles(features: DataFrame) -> DataFrame:
     """(tile, node, members, pivot) of the tiles with two members or more."""
-    rare = features.select(F.explode("rare").alias("tile"), F.col("doc_id").alias("node"))
+    rare = _banded(features, "rare")
     own = Window.partitionBy("tile")
     rare = rare.withColumn("members", F.count(F.lit(1)).over(own)).withColumn("pivot", F.min("node").over(own))
     # Tiles of frequent shingles may be large: their pivots come from a combined aggregation of bounded
     # size, so that their members stay where they are.
-    frequent = features.select(F.explode("frequent").alias("tile"), F.col("doc_id").alias("node"))
+    frequent = _banded(features, "frequent")
     pivots = frequent.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot"))
-    frequent = frequent.join(F.broadcast(pivots), "tile").select(*rare.columns)
+    # At most HOT_LIMIT shingles in the bands there are.
+    frequent = frequent.join(F.broadcast(pivots.where("members > 1")), "tile").select(*rare.columns)
     return stored(rare.unionByName(frequent).where("members > 1"), "tiles")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by their first two columns -> tables of whole groups, with the bounds of the groups."""
+    rest: list[pa.RecordBatch] = []
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        group, block = table.column(0).to_numpy(), table.column(1).to_numpy()
+        return np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = rest[-1].slice(rest[-1].num_rows - 1) if rest else None
+        if last is not None and all(last.column(i)[0] == batch.column(i)[batch.num_rows - 1] for i in range(2)):
+            rest.append(batch)
+            continue
+        table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+        cuts = bounds(table)
+        end = int(cuts[-1]) if len(cuts) else 0
+        if end:
+            yield table.slice(0, end), [0, *cuts.tolist()]
+        rest = [b for b in table.slice(end).to_batches() if b.num_rows]
+    if rest:
+        table = pa.Table.from_batches(rest).combine_chunks()
+        yield table, [0, *bounds(table).tolist(), table.num_rows]
+
+
+class Classes:
+    """Components of the members of a group. Joining two is reported once, so what a group reports has
+    fewer rows than it has components."""
+
+    def __init__(self, component: np.ndarray):
+        self.of = np.unique(component, return_inverse=True)[1]
+
+    def others(self, p: int, near: np.ndarray) -> np.ndarray:
+        """Those of ``near`` that are not in the class of ``p``."""
+        return near[self.of[near] != self.of[p]]
+
+    def join(self, p: int, found: np.ndarray) -> np.ndarray:
+        """Joins the classes of ``found`` with that of ``p``; returns one of ``found`` for each."""
+        classes, at = np.unique(self.of[found], return_index=True)
+        self.of[np.isin(self.of, classes)] = self.of[p]
+        return found[at]
+
+
+def _near(sizes: np.ndarray, n: int) -> slice:
+    """Places, in sorted sizes, of those that may link with a set of ``n``."""
+    low = np.searchsorted(sizes, -(-NUMERATOR * n // DENOMINATOR))
+    return slice(int(low), int(np.searchsorted(sizes, DENOMINATOR * n // NUMERATOR, side="right")))
+
+
+def _needed(n: int, sizes: np.ndarray) -> np.ndarray:
+    return -(-NUMERATOR * (n + sizes) // (NUMERATOR + DENOMINATOR))
+
+
+def _matrix(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to the shortest."""
+    size = min(map(len, bitmaps))
+    rows = [np.bitwise_or.reduce(np.frombuffer(b, dtype=np.uint64).reshape(-1, size // 8), axis=0) for b in bitmaps]
+    return np.stack(rows)
+
+
+def _room(matrix: np.ndarray, ones: np.ndarray, n: np.ndarray, p: int, near: np.ndarray) -> np.ndarray:
+    """Those of ``near`` whose bitmaps leave room for a link with ``p`` (see ``overlap_bound``)."""
+    both = np.bitwise_count(matrix[near] & matrix[p]).sum(axis=1, dtype=np.int64)
+    bound = np.minimum(n[p] - (ones[p] - both), n[near] - (ones[near] - both))
+    return near[bound >= _needed(int(n[p]), n[near])]
+
+
 _GROUP = "tile block node n component bits probe".split()
 
 
 def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (tile, block) -> candidate pairs of each block: probes with all of its members of
-    other components, in a band of sizes, where the bitmaps leave room."""
-    rest: pa.Table | None = None
-
-    def pairs(table: pa.Table) -> tuple[list[int], list[int]]:
+    """Rows sorted by (tile, block) -> pairs of components (a, b) that may link by what their members'
+    sizes and bitmaps tell, as few as connect them."""
+    for table, cuts in _runs(batches):
+        node, n, component = (table.column(c).to_numpy() for c in ("node", "n", "component"))
+        probe = table.column("probe").to_numpy(zero_copy_only=False)
+        bits = table.column("bits").to_pylist()
         out_a: list[int] = []
         out_b: list[int] = []
-        if not table.num_rows:
-            return out_a, out_b
-        tile, block, node, n, component = (table.column(c).to_numpy() for c in _GROUP[:5])
-        bits, probe = table.column("bits").to_pylist(), table.column("probe").to_numpy(zero_copy_only=False)
-        change = np.flatnonzero((tile[1:] != tile[:-1]) | (block[1:] != block[:-1])) + 1
-        for a, b in zip(np.append(0, change).tolist(), np.append(change, len(tile)).tolist()):
-            members = np.flatnonzero(~probe[a:b]) + a
-            members = members[np.argsort(n[members], kind="stable")]
-            sizes = n[members]
-            for p in (np.flatnonzero(probe[a:b]) + a).tolist():
-                low = np.searchsorted(sizes, -(-NUMERATOR * n[p] // DENOMINATOR))
-                high = np.searchsorted(sizes, DENOMINATOR * n[p] // NUMERATOR, side="right")
-                near = members[low:high]
-                near = near[(component[near] != component[p]) & (node[near] != node[p])]
-                for q in near.tolist():
-                    if overlap_bound(int(n[p]), bits[p], int(n[q]), bits[q]) >= required(int(n[p]), int(n[q])):
-                        x, y = int(node[p]), int(node[q])
-                        out_a.append(min(x, y))
-                        out_b.append(max(x, y))
-        return out_a, out_b
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table]).combine_chunks()
-        tile, block = table.column("tile").to_numpy(), table.column("block").to_numpy()
-        if not len(tile):
-            continue
-        begin = int(np.flatnonzero((tile != tile[-1]) | (block != block[-1]))[-1]) + 1 if (tile[0], block[0]) != (tile[-1], block[-1]) else 0
-        found = pairs(table.slice(0, begin))
-        rest = table.slice(begin)
-        yield _batch("a b", pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()))
-    if rest is not None:
-        found = pairs(rest)
-        yield _batch("a b", pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = component[a:b]
+            if (own == own[0]).all():
+                continue
+            classes, size = Classes(own), n[a:b]
+            members = np.flatnonzero(~probe[a:b])
+            members = members[np.argsort(size[members], kind="stable")]
+            sizes = size[members]
+            matrix = ones = None
+            for p in np.flatnonzero(probe[a:b]).tolist():
+                near = classes.others(p, members[_near(sizes, int(size[p]))])
+                if not len(near):
+                    continue
+                if len(near) <= 8:
+                    m = int(size[p])
+                    good = [q for q in near.tolist() if overlap_bound(m, bits[a + p], int(size[q]), bits[a + q]) >= required(m, int(size[q]))]
+                    near = np.array(good, dtype=np.int64)
+                else:
+                    if matrix is None:
+                        matrix = _matrix(bits[a:b])
+                        ones = np.bitwise_count(matrix).sum(axis=1, dtype=np.int64)
+                    near = _room(matrix, ones, size, p, near)
+                if len(near):
+                    for q in classes.join(p, near).tolist():
+                        out_a.append(int(own[p]))
+                        out_b.append(int(own[q]))
+        if out_a:
+            yield _batch("a b", pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()))
+
+
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of all sets with at least two bits per shingle of the largest."""
+    size = max(128, 1 << (2 * max(map(len, sets)) - 1).bit_length())
+    out = np.zeros((len(sets), size), dtype=np.uint8)
+    for row, s in zip(out, sets):
+        row[(s >> np.uint64(20)) % np.uint64(size)] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _verify_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (cluster, block) -> links (a, b), exact, as few as connect the components."""
+    for table, cuts in _runs(batches):
+        node, component = (table.column(c).to_numpy() for c in ("node", "component"))
+        probe = table.column("probe").to_numpy(zero_copy_only=False)
+        held = table.column("shingles")
+        out_a: list[int] = []
+        out_b: list[int] = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = component[a:b]
+            if (own == own[0]).all():
+                continue
+            sets = [np.frombuffer(held[i].as_buffer(), dtype=np.uint64) for i in range(a, b)]
+            classes, size = Classes(own), np.array([len(s) for s in sets])
+            members = np.flatnonzero(~probe[a:b])
+            members = members[np.argsort(size[members], kind="stable")]
+            sizes = size[members]
+            matrix = _bitmaps(sets)
+            ones = np.bitwise_count(matrix).sum(axis=1, dtype=np.int64)
+            for p in np.flatnonzero(probe[a:b]).tolist():
+                near = classes.others(p, members[_near(sizes, int(size[p]))])
+                near = _room(matrix, ones, size, p, near) if len(near) else near
+                if not len(near):
+                    continue
+                # All candidates' sorted arrays against that of the probe.
+                others = np.concatenate([sets[q] for q in near.tolist()])
+                at = np.minimum(np.searchsorted(sets[p], others), size[p] - 1)
+                begin = np.cumsum(size[near]) - size[near]
+                common = np.add.reduceat(sets[p][at] == others, begin, dtype=np.int64)
+                near = near[common >= _needed(int(size[p]), size[near])]
+                if len(near):
+                    for q in classes.join(p, near).tolist():
+                        out_a.append(int(node[a + p]))
+                        out_b.append(int(node[a + q]))
+        if out_a:
+            yield _batch("a b", pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()))
+
+
+def _dealt(members: DataFrame, group: str, blocks: Column, columns: list[str]) -> DataFrame:
+    """Members of a group in blocks by hash; those outside its largest component visit every block."""
+    members = members.withColumn("blocks", blocks.cast("int"))
+    build = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
+    probes = members.where("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = build.select(*columns).unionByName(probes.withColumn("probe", F.lit(True)).select(*columns))
+    return rows.repartition(group, "block").sortWithinPartitions(group, "block")
+
+
+def _open_groups(named: DataFrame, group: str, *more: Column) -> DataFrame:
+    """(group, largest, ...) of the groups with several components."""
+    shares = named.groupBy(group, "component").agg(F.count(F.lit(1)).alias("c"), *more)
+    sums = [F.sum(c).alias(c) for c in shares.columns[3:]]
+    tops = shares.groupBy(group).agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("components"), F.sum("c").alias("held"), *sums)
+    return tops.where("components > 1").select(group, F.col("top.component").alias("largest"), "held", *[s for s in shares.columns[3:]])
 
 
 def _unsettled(tiles: DataFrame, features: DataFrame, components: DataFrame) -> DataFrame:
-    """Candidate pairs of members of different components. A tile of two is settled by its pivot."""
+    """Pairs of components (a, b) with members in one tile that may link. A tile of two is settled by its
+    pivot."""
     named = tiles.where("members > 2").join(components, "node", "left")
-    named = stored(named.select("tile", "node", "members", F.coalesce("component", "node").alias("component")), "named")
-    shares = named.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("c"))
-    tops = shares.groupBy("tile").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
-    open_tiles = tops.where("components > 1").select("tile", F.col("top.component").alias("largest"))
-    members = named.join(open_tiles, "tile")
+    named = stored(named.select("tile", "node", F.coalesce("component", "node").alias("component")), "named")
+    open_tiles = _open_groups(named, "tile")
     size = features.select(F.col("doc_id").alias("node"), "n", "bits")
-    members = members.join(size, "node")
-    blocks = F.expr(f"cast(ceil(members / {BLOCK}) as int)")
-    build = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("probe", F.lit(False))
-    probes = members.where("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = build.select(*_GROUP).unionByName(probes.withColumn("probe", F.lit(True)).select(*_GROUP))
-    dealt = rows.repartition("tile", "block").sortWithinPartitions("tile", "block")
-    return dealt.mapInArrow(_compare_groups, "a LONG, b LONG")
+    members = named.join(open_tiles, "tile").join(size, "node")
+    dealt = _dealt(members, "tile", F.ceil(F.col("held") / BLOCK), _GROUP)
+    return stored(dealt.mapInArrow(_compare_groups, "a LONG, b LONG"), "unsettled")
+
+
+def _settle(pairs: DataFrame, features: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that ``pairs`` connect. Each connected cluster of components is looked at
+    as a whole, band by band, with the sets of its members at hand."""
+    clusters = stored(connected_components(pairs), "clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    named = features.select(F.col("doc_id").alias("node"), "n").join(components, "node", "left")
+    named = named.select("node", "n", F.coalesce("component", "node").alias("component")).join(clusters, "component")
+    banded = named.select("node", "n", "component", "cluster", F.explode(_bands("n")).alias("band"))
+    named = stored(banded.select("node", "n", "component", F.xxhash64("cluster", "band").alias("cluster")), "clustered")
+    members = named.join(_open_groups(named, "cluster", F.sum("n").alias("shingles_held")), "cluster")
+    ids = stored(members.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    texts = docs.join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(_sets, "doc_id LONG, shingles BINARY").where("octet_length(shingles) > 0")
+    sets = stored(sets.withColumnRenamed("doc_id", "node").distinct(), "sets")
+    blocks = F.ceil(F.greatest(F.col("held") / BLOCK, F.col("shingles_held") / BLOCK_SHINGLES))
+    columns = ["cluster", "block", "node", "component", "shingles", "probe"]
+    dealt = _dealt(members.join(sets, "node"), "cluster", blocks, columns)
+    return stored(dealt.mapInArrow(_verify_groups, "a LONG, b LONG"), "more-links")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,7 +505,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = _exact_links(pairs.mapInArrow(_bounded, "a LONG, b LONG"), docs)
     components = stored(connected_components(links), "components")
 
-    more = _exact_links(_unsettled(tiles, light, components), docs)
+    unsettled = _unsettled(tiles, light, components)
+    more = _settle(unsettled, light, components, docs) if unsettled.head(1) else unsettled
     if more.head(1):
         components = stored(connected_components(links.unionByName(more)), "components")
     named = classes.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")

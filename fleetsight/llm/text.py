@@ -1,11 +1,13 @@
 """Words, hashes and byte slices of text columns, vectorized over Arrow batches.
 
 Texts are handled as UTF-8 bytes. A null text counts as an empty one. Hashes have 64 bits and are
-the same on every machine.
+the same on every machine. Those of words and of word sequences are mixed at every step, so that no
+pattern of letters makes unlike words meet; words of up to 8 bytes and one length never do.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +89,37 @@ def text_slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) ->
         first = last
 
 
+# Words beyond this are hashed one by one.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every word, eight bytes at a time."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _GOLDEN)
+    if not len(sizes):
+        return out
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    for k in range(0, min(int(sizes.max()), LONG_WORD), 8):
+        at = np.flatnonzero(sizes > k) if k else slice(None)
+        left = np.minimum(sizes[at] - k, 8).astype(np.uint64)
+        value = eights[starts[at] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+        out[at] = mix((out[at] ^ value) * np.uint64(_BASE))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        whole = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(whole, "little")
+    return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    if not len(values):
+        return values
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])]
+
+
 class Words:
     """The words of a slice of texts: ``hashes`` in order, ``counts`` per text, ``firsts`` (index of
     each text's first word, one more at the end)."""
@@ -104,7 +137,7 @@ class Words:
         after[offsets[1:][full] - 1] = False
         starts = np.flatnonzero(mask & ~before)
         ends = np.flatnonzero(mask & ~after) + 1
-        self.hashes = span_hashes(prefix_hashes(folded), starts, ends)
+        self.hashes = word_hashes(folded, starts, ends)
         self.firsts = np.searchsorted(starts, offsets)
         self.counts = np.diff(self.firsts)
         self.n = n
@@ -119,8 +152,9 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(len(hashes) - k + 1, dtype=np.uint64)
     for j in range(k):
+        out ^= hashes[j : len(hashes) - k + 1 + j]
         out *= np.uint64(_BASE)
-        out += hashes[j : len(hashes) - k + 1 + j]
+        out ^= out >> np.uint64(32)
     return mix(out + np.uint64(k))
 
 

@@ -1,16 +1,19 @@
 """Jaccard join, repeated strings and nearest neighbours against brute force."""
 
 import hashlib
+import random
 import re
 import string
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents, texts
 
 from fleetsight.llm import jaccard_join, nearest, suffix_dedup
 from fleetsight.llm.components import connected_components
+from fleetsight.llm.text import word_hashes
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -57,6 +60,95 @@ def test_jaccard_join_of_odd_rows(spark):
     assert jaccard_join.link_documents(documents(spark, [])).count() == 0
 
 
+def near_copies(count, seed=11):
+    """Copies of one text of 60 words with a few words changed in each: most pairs are near 0.8."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(count):
+        words = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 2)):
+            words[at] = f"x{rng.randint(0, 30)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_near_copies_are_not_listed_in_pairs(spark, monkeypatch):
+    made = {}
+    stored = jaccard_join.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    found = []
+    for count in (200, 400, 800):
+        made.clear()
+        rows = near_copies(count)
+        got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(documents(spark, rows)).collect()}
+        if count == 200:
+            assert got == components(rows)
+        found.append(made.get("unsettled", 0) + made.get("more-links", 0))
+        assert made.get("more-links", 0) < count
+    assert all(n <= 60 * c for n, c in zip(found, (200, 400, 800)))  # a row per tile and member at most
+
+
+def test_verification_reports_what_connects():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    rows = []
+    for i in range(60):
+        s = base.copy()
+        s[rng.choice(100, rng.integers(0, 14), replace=False)] = rng.integers(0, 2**63, 1, dtype=np.uint64)
+        rows.append((i, jaccard_join.distinct(s)))
+    want = {i: i for i, _ in rows}
+    for (i, a), (j, b) in combinations(rows, 2):
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            low, high = sorted((want[i], want[j]))
+            want = {k: low if v == high else v for k, v in want.items()}
+    columns = {
+        "cluster": [0] * 60, "block": [0] * 60, "node": [i for i, _ in rows], "component": [i for i, _ in rows],
+        "shingles": [s.tobytes() for _, s in rows], "probe": [True] * 60,
+    }
+    table = pa.table({**columns, "shingles": pa.array(columns["shingles"], pa.binary())})
+    # Probes are members as well.
+    table = pa.concat_tables([table, table.set_column(5, "probe", pa.array([False] * 60))])
+    links = [x for b in jaccard_join._verify_groups(iter(table.to_batches())) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(links) == 60 - len(set(want.values()))
+    got = {i: i for i, _ in rows}
+    for i, j in links:
+        low, high = sorted((got[i], got[j]))
+        got = {k: low if v == high else v for k, v in got.items()}
+    assert got == want
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n)), "".join("ba"[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_unlike_long_words_stay_apart(spark, n):
+    a, b = thue_morse(n)
+    rows = [(1, f"{a} x y z v"), (2, f"{b} x y z v"), (3, f"{a} x y z v w")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(documents(spark, rows)).collect()}
+    assert got == components(rows) and got[2] == 2
+
+
+def test_word_hashes_differ():
+    words = [bytes(w) for n in range(1, 4) for w in combinations(range(97, 123), n)] + [b"a" * n for n in range(1, 300)]
+    words += [t.encode() for n in (64, 65, 1024) for t in thue_morse(n)]
+    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    hashes = word_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(words))
+    for i in (0, 5, len(words) - 1):  # the same wherever the word stands
+        own = np.frombuffer(words[i], dtype=np.uint8)
+        assert word_hashes(own, np.array([0]), np.array([len(own)]))[0] == hashes[i]
+
+
 def test_bitmap_bounds_the_overlap():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
