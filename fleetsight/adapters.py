@@ -288,6 +288,18 @@ def metrics_v2(ev: DataFrame) -> DataFrame:
     )
 
 
+def chain_samples(ev: DataFrame) -> DataFrame:
+    """Samples (node, metric, ts, value) as they arrive: two gauges and two counters per event."""
+    of = {"cpu": F.col("value"), "mem": F.col("k"), "net_in": F.col("event_id") * 7, "net_out": F.col("event_id") * 3}
+    samples = F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in of.items()])
+    return ev.select("node", "ts", F.inline(samples))
+
+
+def busy_node(ev: DataFrame) -> DataFrame:
+    """Nine tenths of all events come from one node."""
+    return ev.withColumn("node", F.when(F.col("event_id") % 10 != 0, "node-busy").otherwise(F.col("node")))
+
+
 def policies(ev: DataFrame) -> DataFrame:
     """A policy per event with gaps and invalid settings."""
     k = F.col("k")

@@ -141,6 +141,20 @@ def score_sequences(
     return score_reconstruction(limited, model, F.col("threshold"))
 
 
+def scaled_samples(
+    samples: DataFrame, scaler: DataFrame, metrics: Sequence[str] = FEATURES_V2
+) -> DataFrame:
+    """Metric samples (metric, value) scaled by one row of ``<metric>_min`` and ``<metric>_max``, in
+    batch and in streams."""
+    known = with_params(samples, scaler)
+    scaled = F.lit(None).cast("double")
+    for m in metrics:
+        spread = F.col(f"{m}_max") - F.col(f"{m}_min")
+        unit = (F.col("value") - F.col(f"{m}_min")) / F.when(spread == 0, 1.0).otherwise(spread)
+        scaled = F.when(F.col("metric") == m, unit).otherwise(scaled)
+    return known.withColumn("value", scaled).drop(*scaler.columns)
+
+
 def latest_sequence_scores(
     series: DataFrame,
     scaler: DataFrame,
@@ -152,13 +166,7 @@ def latest_sequence_scores(
     """Metric samples (node, metric, ts, value), e.g. parsed range matrices, -> one verdict per
     node on its newest ``length`` points of every metric. Nodes with too few points are left out.
     """
-    samples = with_params(exclude_nodes(series, node=key), scaler)
-    scaled = F.lit(None).cast("double")
-    for m in FEATURES_V2:
-        spread = F.col(f"{m}_max") - F.col(f"{m}_min")
-        unit = (F.col("value") - F.col(f"{m}_min")) / F.when(spread == 0, 1.0).otherwise(spread)
-        scaled = F.when(F.col("metric") == m, unit).otherwise(scaled)
-    samples = samples.withColumn("value", scaled).drop(*scaler.columns)
+    samples = scaled_samples(exclude_nodes(series, node=key), scaler)
     seqs = align_last_n(samples, length, key=[key], metrics=FEATURES_V2)
     limited = with_params(seqs, threshold.select("threshold"))
     return score_reconstruction(limited, model, F.col("threshold"))

@@ -228,7 +228,7 @@ def assemble_features(spark, sf_dir):
     )
 
 
-_DENSE_SQL = f"""first_seen AS (SELECT node, min(w) AS w0 FROM features GROUP BY node),
+DENSE_SQL = f"""first_seen AS (SELECT node, min(w) AS w0 FROM features GROUP BY node),
 grid AS (SELECT node, unnest(generate_series(w0, last_w, INTERVAL 1 DAY)) AS w
   FROM first_seen, last_window),
 dense AS (SELECT node, w, {_COUNTS_SQL} FROM grid LEFT JOIN features USING (node, w))"""
@@ -236,7 +236,7 @@ dense AS (SELECT node, w, {_COUNTS_SQL} FROM grid LEFT JOIN features USING (node
 
 @query(
     f"""WITH {KERNEL}, {features_sql('day')},
-last_window AS (SELECT max(w) AS last_w FROM features), {_DENSE_SQL}
+last_window AS (SELECT max(w) AS last_w FROM features), {DENSE_SQL}
 SELECT node, epoch_us(w) AS window_start, {COUNT_NAMES} FROM dense"""
 )
 def densify(spark, sf_dir):
@@ -246,7 +246,7 @@ def densify(spark, sf_dir):
 
 _DATASET_SQL = f"""{KERNEL}, {features_sql('day')}, {histogram_sql('day')}, {samples_sql('day')},
 last_window AS (SELECT max(w) AS last_w FROM (SELECT w FROM features UNION ALL SELECT w FROM samples)),
-{_DENSE_SQL},
+{DENSE_SQL},
 wide AS (SELECT node, w, {_GAUGES_SQL} FROM samples GROUP BY ALL),
 ids AS (SELECT node, w FROM dense UNION SELECT node, w FROM wide),
 dataset AS (SELECT w, node,

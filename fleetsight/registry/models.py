@@ -21,7 +21,7 @@ from fleetsight.operators.timeseries import make_sequences
 from fleetsight.plans.kept import kept
 from fleetsight.registry.base import KERNEL, LATEST, COUNT_NAMES, TRANSITIONS, E, features_sql
 from fleetsight.registry.base import query, r6
-from fleetsight.registry.features import SECRET
+from fleetsight.registry.features import DENSE_SQL, SECRET
 from fleetsight.session import checkpoint_dir
 from fleetsight.sources.lines import parse_kernel_events, parse_metric_lines
 from fleetsight.sources.tables import read_state
@@ -309,17 +309,8 @@ def stream_sequence_losses(spark, sf_dir):
 
 @query(
     f"""WITH {KERNEL}, {features_sql('day')},
-closed AS (SELECT * FROM features
-  WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 SECOND FROM parsed)),
-last_window AS (SELECT max(generate_series) AS last_w FROM generate_series(
-  (SELECT min(w) FROM closed), (SELECT max(ts) - INTERVAL 10 SECOND - INTERVAL 1 DAY FROM parsed),
-  INTERVAL 1 DAY)),
-first_seen AS (SELECT node, min(w) AS w0 FROM closed GROUP BY node),
-grid AS (SELECT node, unnest(generate_series(w0, last_w, INTERVAL 1 DAY)) AS w
-  FROM first_seen, last_window)
-SELECT node, epoch_us(w) AS window_start,
-  {", ".join(f"coalesce({c.strip()}, 0) AS {c.strip()}" for c in COUNT_NAMES.split(","))}
-FROM grid LEFT JOIN closed USING (node, w)"""
+last_window AS (SELECT max(w) AS last_w FROM features), {DENSE_SQL}
+SELECT node, epoch_us(w) AS window_start, {COUNT_NAMES} FROM dense"""
 )
 def stream_densify(spark, sf_dir):
     kernel = parse_kernel_events(ad.kernel_lines(_event_stream(spark, sf_dir)))
