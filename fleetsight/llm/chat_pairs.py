@@ -85,14 +85,13 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def swap_last_reply(talks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides made from plain ``conversations``: the chosen side ends with the last
-    assistant turn; on the rejected side that turn's text is the last reply of the conversation whose id
-    differs in the lowest bit (no turn, where there is none). Without an assistant turn both sides are
-    the conversation as it is."""
+    """Chosen and rejected sides made from plain ``conversations``: the chosen side is the conversation as
+    it is; on the rejected side its last assistant turn is replaced by the last reply of the conversation
+    whose id differs in the lowest bit (by nothing, where there is none). Turns behind the reply, of which
+    none is an assistant's, stay on both sides. Without an assistant turn both sides are the same."""
     at = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant") + 1
     marked = talks.withColumn("at", F.when(F.array_contains(F.transform("turns", lambda t: t["role"]), "assistant"), at.cast("int")))
-    chosen = marked.select("id", F.expr("if(at IS NULL, turns, slice(turns, 1, at))").alias("turns"))
     other = marked.where("at IS NOT NULL").select(F.expr("id ^ 1").alias("id"), F.expr("slice(turns, at, 1)").alias("reply"))
     both = marked.join(other, "id", "left")
-    swapped = F.expr("concat(slice(turns, 1, at - 1), coalesce(reply, slice(turns, 1, 0)))")
-    return chosen, both.select("id", F.when(F.col("at").isNull(), F.col("turns")).otherwise(swapped).alias("turns"))
+    swapped = F.expr("concat(slice(turns, 1, at - 1), coalesce(reply, slice(turns, 1, 0)), slice(turns, at + 1, size(turns)))")
+    return talks, both.select("id", F.when(F.col("at").isNull(), F.col("turns")).otherwise(swapped).alias("turns"))

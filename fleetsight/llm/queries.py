@@ -208,8 +208,8 @@ WITH c AS (
 ), m AS (
   SELECT *, list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].role = 'assistant' THEN i END)) AS at FROM c
 ), p AS (
-  SELECT m.id, CASE WHEN m.at IS NULL THEN m.t ELSE m.t[1:m.at] END AS a,
-         CASE WHEN m.at IS NULL THEN m.t WHEN o.at IS NULL THEN m.t[1:m.at - 1] ELSE list_append(m.t[1:m.at - 1], o.t[o.at]) END AS b
+  SELECT m.id, m.t AS a, CASE WHEN m.at IS NULL THEN m.t
+           ELSE list_concat(m.t[1:m.at - 1], CASE WHEN o.at IS NULL THEN m.t[1:0] ELSE o.t[o.at:o.at] END, m.t[m.at + 1:]) END AS b
   FROM m LEFT JOIN m o ON o.id = xor(m.id, 1)
 ), n AS (
   SELECT *, coalesce(list_min(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: CASE WHEN a[i] <> b[i] THEN i END)) - 1,
