@@ -28,6 +28,8 @@ def test_token_counts(spark, monkeypatch):
     import sentencepiece
 
     monkeypatch.setattr(token_counts, "CACHE", 50)
+    monkeypatch.setattr(token_counts, "COUNTED", 300)
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", 400)  # long texts in stretches
     monkeypatch.setattr(token_counts, "CALL_CHARS", 500)
     path = public_tokenizers.path(MODEL)
     rng = random.Random(4)
@@ -60,9 +62,9 @@ def contamination(rows, items, window=decontamination.WINDOW):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8_000_000, 300])
-def test_contamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("rows_sent", [decontamination.BROADCAST_ROWS, 0])
+def test_contamination(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows_sent)
     rng = random.Random(6)
     items = [(i, prose(rng, rng.choice([1, 3, 9, 10, 11, 30, 60]))) for i in range(20)]
     items += [(50, items[5][1]), (51, None), (52, ""), (53, "one two three"), (7, prose(rng, 20))]
@@ -77,6 +79,17 @@ def test_contamination(spark, monkeypatch, block):
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids) for r in got) == contamination(rows, items)
 
 
+@pytest.mark.parametrize("rows_sent", [decontamination.BROADCAST_ROWS, 0])
+def test_contamination_by_nameless_items_and_long_words(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows_sent)
+    unlike = {n: ["".join(x[i.bit_count() % 2] for i in range(n)) for x in ("ab", "ba")] for n in (1024, 4096)}
+    items = [(None, "one two three four"), (1, f"x {unlike[1024][0]} y z"), (2, f"x {unlike[4096][0]} y z")]
+    rows = [(1, "0 one two three four 5"), (2, f"x {unlike[1024][1]} y z"), (3, f"x {unlike[4096][1]} y z"), (4, f"x {unlike[4096][0]} y z")]
+    benchmark = spark.createDataFrame(items, "item_id LONG, text STRING")
+    got = decontamination.find_contamination(documents(spark, rows), benchmark).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items, r.item_ids) for r in got) == [(1, 4, 1, []), (2, 0, 0, []), (3, 0, 0, []), (4, 4, 1, ["2"])]
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id LONG, text STRING")
     assert [r.n_hit for r in decontamination.find_contamination(documents(spark, [(1, "a b c")]), none).collect()] == [0]
