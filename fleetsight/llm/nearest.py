@@ -236,6 +236,16 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """At most ``SAMPLE`` rows, those with the smallest hash of their id. A threshold on the hash goes first, so
+    that hardly more rows than are wanted reach the final cut, however many partitions there are."""
+    key = F.md5(F.col("vec_id").cast("string"))
+    if n > SAMPLE:
+        share = min(1.0, (SAMPLE + 6 * SAMPLE**0.5) / n)  # short of SAMPLE once in a billion draws, by a few rows
+        rows = rows.where(F.conv(F.left(key, F.lit(8)), 16, 10).cast("long") < int(share * (1 << 32)))
+    return rows.orderBy(key, "vec_id").limit(SAMPLE)
+
+
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector of ``queries`` the k nearest ones of ``vectors``
     found, but for those with its own id."""
@@ -248,7 +258,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, id_co
     rows = rows.where(F.size("v") == common.d)
     queries = usable(queries, id_col, vector_col).where(F.size("v") == common.d)
     norm = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first().m ** 0.5
-    sample = rows.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(SAMPLE).toArrow().column("v").combine_chunks()
+    sample = _sample(rows, common.n).toArrow().column("v").combine_chunks()
     n_lists = min(MAX_LISTS, max(1, round(common.n**0.5)), len(sample))
     centroids = fit_centroids(_padded(_matrix(sample), norm), n_lists)
     index = {"norm": norm, "centroids": centroids}
