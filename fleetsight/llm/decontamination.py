@@ -8,13 +8,15 @@ Method: both sides keep, of every ``window`` words, the smallest hash of ``k`` c
 (winnowing), so each shared span of ``window`` words has a fingerprint that both sides kept. Document
 fingerprints are joined with those of the benchmark; each hit is extended over all windows around it,
 which are then looked up. Items shorter than a window have no such guarantee; their exact word runs
-are looked up at every position.
+are looked up at every position. Windows are held against each other by two independent hashes of
+their words, 128 bits in all.
 
-The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, so what a task holds is bounded.
-One block is the usual case and needs no shuffle; with several, the hits of each block are merged by
-document.
+Tasks make the benchmark's fingerprints and windows, as rows of a table. Up to ``BROADCAST_ROWS`` of them,
+counted, are broadcast and looked up where the documents are. Beyond that both look-ups are shuffled
+joins, and what was found comes back to the documents.
 
-Defined cases: a null or empty text has no words and is not contaminated; null items are ignored;
+Defined cases: a null or empty text has no words and is not contaminated; an item without an id hits
+like any other and counts as one item, but has no name to be listed; items without words are ignored;
 equal items all count; repeated documents each get their row; ``item_ids`` are sorted as strings.
 """
 
@@ -23,20 +25,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetsight.llm.text import ALNUM, Words, gram_hashes, sliding_min, text_slices
+from fleetsight.llm.store import stored
+from fleetsight.llm.text import ALNUM, Words, distinct, gram_hashes, sliding_min, text_slices, word_hashes
 
 WINDOW = 10
 K = 5
-# Text of one benchmark block: its index takes some 8 times as much in every Python worker.
-BLOCK_BYTES = 8_000_000
+# Fingerprints and windows of the benchmark that are sent to every task: some 30 bytes each.
+BROADCAST_ROWS = 1_000_000
 
-_FOUND = "n_words LONG, n_hit LONG, hit BINARY, items ARRAY<STRING>"
+_FOUND = "n_words LONG, n_hit LONG, n_items LONG, items ARRAY<STRING>"
+# A kept fingerprint of the benchmark (length 0), or a window of an item.
+_INDEX = "length INT, hash LONG, check LONG, item STRING"
 
 
 def winnow(grams: np.ndarray, firsts: np.ndarray, k: int, window: int) -> np.ndarray:
@@ -54,30 +58,51 @@ def winnow(grams: np.ndarray, firsts: np.ndarray, k: int, window: int) -> np.nda
     return np.unique(at[inside])
 
 
-def build_index(items: list[tuple[str, str]], window: int, k: int) -> dict:
-    """What tasks look up: the kept fingerprints, and for each length of window its hashes (sorted)
-    with the items ``owners[begin[i]:begin[i + 1]]`` that have them."""
-    column = pa.array([text for _, text in items], pa.large_string())
-    kept: list[np.ndarray] = []
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for first, data, offsets in text_slices(column):
-        words = Words(data, offsets, ALNUM)
-        grams = words.grams(k)
-        kept.append(grams[winnow(grams, words.firsts, k, window)])
-        for i, (a, b) in enumerate(zip(words.firsts[:-1], words.firsts[1:])):
-            length = min(window, b - a)
-            if length:
-                hashes = np.unique(gram_hashes(words.hashes[a:b], int(length)))
-                found.setdefault(int(length), []).append((hashes, np.full(len(hashes), first + i)))
+def _batch(names: str, *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=names.split())
+
+
+def _signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(hashes).view(np.int64))
+
+
+def _indexer(window: int, k: int):
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(item, text) -> fingerprints and windows."""
+        for batch in batches:
+            for first, data, offsets in text_slices(batch.column(1)):
+                words = Words(data, offsets, ALNUM)
+                second = word_hashes(words.folded, words.starts, words.ends, second=True)
+                grams = words.grams(k)
+                parts = [(0, h := distinct(grams[winnow(grams, words.firsts, k, window)]), np.zeros(len(h), dtype=np.uint64), None)]
+                for i, (a, b) in enumerate(zip(words.firsts[:-1].tolist(), words.firsts[1:].tolist())):
+                    n = min(window, b - a)
+                    if n:
+                        item = batch.column(0)[first + i].as_py()
+                        parts.append((n, gram_hashes(words.hashes[a:b], n), gram_hashes(second[a:b], n), item))
+                sizes = [len(h) for _, h, *_ in parts]
+                lengths = pa.array(np.repeat([n for n, *_ in parts], sizes), pa.int32())
+                items = pa.array([p[3] for p in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
+                hashes, checks = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+                yield _batch("length hash check item", lengths, _signed(hashes), _signed(checks), items)
+
+    return index
+
+
+def _arranged(table: pa.Table, window: int, k: int) -> dict:
+    """The index as sorted arrays: the fingerprints, and for each length of window its hashes with the
+    entries ``begin[i]:begin[i + 1]`` of their second hashes and items."""
+    length, hashes, checks = (table.column(c).to_numpy() for c in ("length", "hash", "check"))
+    hashes, checks = hashes.view(np.uint64), checks.view(np.uint64)
+    items = table.column("item").combine_chunks().dictionary_encode(null_encoding="encode")
+    owners = items.indices.to_numpy()
     windows = {}
-    for length, parts in found.items():
-        hashes = np.concatenate([h for h, _ in parts])
-        owners = np.concatenate([o for _, o in parts])
-        order = np.argsort(hashes, kind="stable")
-        distinct, begin = np.unique(hashes[order], return_index=True)
-        windows[length] = distinct, np.append(begin, len(order)), owners[order]
-    prints = np.unique(np.concatenate(kept)) if kept else np.zeros(0, dtype=np.uint64)
-    return {"window": window, "k": k, "prints": prints, "windows": windows, "ids": [item for item, _ in items]}
+    for n in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == n)
+        own = own[np.lexsort((checks[own], hashes[own]))]
+        keys, begin = np.unique(hashes[own], return_index=True)
+        windows[n] = keys, np.append(begin, len(own)), checks[own], owners[own]
+    return {"window": window, "k": k, "prints": distinct(hashes[length == 0]), "windows": windows, "ids": items.dictionary.to_pylist()}
 
 
 def _lookup(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -98,14 +123,21 @@ def _hits(words: Words, index: dict) -> tuple[np.ndarray, dict[int, set[int]]]:
         text_of = np.searchsorted(words.firsts, starts, side="right") - 1
         inside = starts + length <= words.firsts[text_of + 1]
         starts, text_of = starts[inside], text_of[inside]
-        hashes, begin, owners = index["windows"][length]
+        hashes, begin, checks, owners = index["windows"][length]
         which = _lookup(hashes, gram_hashes_at(words.hashes, starts, length))
-        good = which >= 0
-        np.add.at(delta, starts[good], 1)
-        np.add.at(delta, starts[good] + length, -1)
-        pairs = np.unique(np.stack([text_of[good], which[good]], axis=1), axis=0)
-        for text, i in pairs.tolist():
-            items.setdefault(text, set()).update(owners[begin[i] : begin[i + 1]].tolist())
+        starts, text_of, which = starts[which >= 0], text_of[which >= 0], which[which >= 0]
+        # Every entry of the hash, by its second hash.
+        size = begin[which + 1] - begin[which]
+        row = np.repeat(np.arange(len(which)), size)
+        entry = np.repeat(begin[which] - (np.cumsum(size) - size), size) + np.arange(len(row))
+        same = checks[entry] == second_hashes(words, starts, length)[row]
+        row, entry = row[same], entry[same]
+        good = np.unique(starts[row])
+        np.add.at(delta, good, 1)
+        np.add.at(delta, good + length, -1)
+        pairs = np.unique(np.stack([text_of[row], owners[entry]], axis=1), axis=0)
+        for text, owner in pairs.tolist():
+            items.setdefault(text, set()).add(owner)
 
     for length in index["windows"]:
         if length == index["window"]:
@@ -127,67 +159,111 @@ def gram_hashes_at(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray
     return gram_hashes(hashes[starts[:, None] + np.arange(k)[None, :]].ravel(), k)[::k]
 
 
-def _scan(source: DataFrame, index: dict, only_hit: bool = False) -> DataFrame:
-    """The columns of ``source`` but its last, the text; n_words, n_hit, hit bits and items."""
-    spark = source.sparkSession
-    sent = spark.sparkContext.broadcast(index)
+def second_hashes(words: Words, starts: np.ndarray, k: int) -> np.ndarray:
+    """Second hashes of the windows of ``k`` words that begin at ``starts``."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    at = (starts[:, None] + np.arange(k)[None, :]).ravel()
+    return gram_hashes(word_hashes(words.folded, words.starts[at], words.ends[at], second=True), k)[::k]
+
+
+def _scanner(sent):
+    """Looks up everything in the index that was sent."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            counts, hits, bits, names = [], [], [], []
-            for _, data, offsets in text_slices(texts):
+            counts, hits, n_items, names = [], [], [], []
+            for _, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
                 words = Words(data, offsets, ALNUM)
                 flags, items = _hits(words, index)
                 counts.extend(words.counts.tolist())
                 for i in range(words.n):
-                    if i in items:
-                        own = flags[words.firsts[i] : words.firsts[i + 1]]
-                        hits.append(int(own.sum()))
-                        bits.append(np.packbits(own).tobytes())
-                        names.append(sorted({index["ids"][x] for x in items[i]}))
-                    else:
-                        hits.append(0)
-                        bits.append(b"")
-                        names.append([])
-            out = [
-                *batch.columns[:-1],
-                pa.array(counts, pa.int64()),
-                pa.array(hits, pa.int64()),
-                pa.array(bits, pa.binary()),
-                pa.array(names, pa.list_(pa.string())),
-            ]
-            result = pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "n_words", "n_hit", "hit", "items"])
-            yield result.filter(pa.array([len(x) > 0 for x in names], pa.bool_())) if only_hit else result
-
-    kept = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL(_FOUND).fields])
-    return source.mapInArrow(scan, kept)
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items, streamed partition by partition, in blocks of bounded text."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    for row in rows.where("i IS NOT NULL AND t <> ''").toLocalIterator():
-        if block and size + len(row.t) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += len(row.t)
-    yield block
-
-
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    """The hits of one text over all blocks."""
-    hit = np.zeros(max(len(b) for b in frame["hit"]), dtype=np.uint8)
-    for b in frame["hit"]:
-        hit |= np.frombuffer(b, dtype=np.uint8)
-    out = frame.iloc[:1].copy()
-    out["hit"] = [hit.tobytes()]
-    out["n_hit"] = int(np.unpackbits(hit).sum())
-    out["items"] = [sorted({x for items in frame["items"] for x in items})]
-    return out
+                    found = [index["ids"][x] for x in items.get(i, ())]
+                    hits.append(int(flags[words.firsts[i] : words.firsts[i + 1]].sum()) if found else 0)
+                    n_items.append(len(found))
+                    names.append(sorted(x for x in found if x is not None))
+            numbers = [pa.array(c, pa.int64()) for c in (counts, hits, n_items)]
+            columns = [*batch.columns[:-1], *numbers, pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_words", "n_hit", "n_items", "items"])
+
+    return scan
+
+
+def _prints(window: int, k: int):
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(uid, text) -> kept fingerprints (uid, hash, at)."""
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for first, data, offsets in text_slices(batch.column(1)):
+                words = Words(data, offsets, ALNUM)
+                grams = words.grams(k)
+                at = winnow(grams, words.firsts, k, window)
+                text = np.searchsorted(words.firsts, at, side="right") - 1
+                yield _batch("uid hash at", pa.array(uid[first + text]), _signed(grams[at]), pa.array(at - words.firsts[text]))
+
+    return prints
+
+
+def _windows(window: int, k: int, short: list[int]):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(uid, text, hits) -> the windows around hits and the runs of the short lengths at every place:
+        (uid, at, length, hash, check)."""
+        for batch in batches:
+            uid, hits = batch.column(0).to_numpy(), batch.column(2)
+            for first, data, offsets in text_slices(batch.column(1)):
+                words = Words(data, offsets, ALNUM)
+                for i, (a, b) in enumerate(zip(words.firsts[:-1].tolist(), words.firsts[1:].tolist())):
+                    found = hits[first + i].as_py() or []
+                    around = np.unique(np.array(found, dtype=np.int64)[:, None] - np.arange(window - k + 1)[None, :])
+                    starts = {window: around[(around >= 0) & (around <= b - a - window)]}
+                    starts |= {n: np.arange(max(0, b - a - n + 1)) for n in short}
+                    for n, own in starts.items():
+                        if len(own):
+                            hashes, checks = gram_hashes_at(words.hashes, own + a, n), second_hashes(words, own + a, n)
+                            same = pa.array(np.full(len(own), uid[first + i]))
+                            yield _batch("uid at length hash check", same, pa.array(own), pa.array(np.full(len(own), n, dtype=np.int32)), _signed(hashes), _signed(checks))
+
+    return windows
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., hit windows, text) -> (..., n_words, n_hit)."""
+    for batch in batches:
+        spans, counts, hits = batch.column(batch.num_columns - 2), [], []
+        for first, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
+            words = Words(data, offsets, ALNUM)
+            for i, n in enumerate(words.counts.tolist()):
+                hit = np.zeros(n, dtype=bool)
+                for s in spans[first + i].as_py() or ():
+                    hit[s["at"] : s["at"] + s["length"]] = True
+                counts.append(n)
+                hits.append(int(hit.sum()))
+        columns = [*batch.columns[:-2], pa.array(counts, pa.int64()), pa.array(hits, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "n_words", "n_hit"])
+
+
+def _joined(source: DataFrame, index: DataFrame, window: int, k: int) -> DataFrame:
+    """The look-ups as shuffled joins. ``source``: the columns to keep, then the text."""
+    docs = stored(source.withColumn("__uid", F.monotonically_increasing_id()), "documents")
+    texts = docs.select("__uid", "__text")
+    kept = index.where("length = 0").select("hash").distinct()
+    hits = texts.mapInArrow(_prints(window, k), "uid LONG, hash LONG, at LONG").join(kept, "hash")
+    hits = hits.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("at").alias("hits"))
+    windows = index.where("length > 0").distinct()
+    short = [r.length for r in windows.where(F.col("length") < window).select("length").distinct().collect()]
+    asked = texts.join(hits, "__uid", "left" if short else "inner").select("__uid", "__text", "hits")
+    asked = asked.mapInArrow(_windows(window, k, short), "uid LONG, at LONG, length INT, hash LONG, check LONG")
+    found = stored(asked.join(windows, ["length", "hash", "check"]).select("uid", "at", "length", "item").distinct(), "found")
+    spans = found.groupBy(F.col("uid").alias("__uid")).agg(
+        F.collect_set(F.struct("at", "length")).alias("__spans"), F.collect_set(F.struct("item")).alias("__items")
+    )
+    keep = source.columns[:-1]
+    both = docs.join(spans, "__uid", "left").select(*[F.col(f"`{c}`") for c in keep], "__items", "__spans", "__text")
+    schema = T.StructType([*both.schema.fields[:-2], *T.StructType.fromDDL("n_words LONG, n_hit LONG").fields])
+    names = F.sort_array(F.filter(F.transform("__items", lambda x: x["item"]), lambda x: x.isNotNull()))
+    counted = both.mapInArrow(_covered, schema)
+    return counted.withColumn("n_items", F.coalesce(F.size("__items"), F.lit(0)).cast("long")).withColumn("items", names)
 
 
 def find_contamination(
@@ -200,30 +276,20 @@ def find_contamination(
     k: int = K,
     keep_text: bool = False,
 ) -> DataFrame:
-    """``docs`` without its text (unless ``keep_text``), plus ``n_words``, ``n_hit`` and ``item_ids``
-    (of the items found). Columns of ``docs`` named like the added ones are replaced.
+    """``docs`` without its text (unless ``keep_text``), plus ``n_words``, ``n_hit``, ``n_items`` and
+    ``item_ids`` (of the items found). Columns of ``docs`` named like the added ones are replaced.
     """
     if not 0 < k <= window:
         raise ValueError("k must lie between 1 and window")
-    gone = {"n_words", "n_hit", "item_ids", "hit", "items", *(() if keep_text else (text_col,))}
+    gone = {"n_words", "n_hit", "item_ids", "n_items", "items", *(() if keep_text else (text_col,))}
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in gone]
-    text = F.col(f"`{text_col}`").alias("__text")
-    parts = [build_index(b, window, k) for b in _blocks(benchmark, item_id_col, item_text_col)]
-    if len(parts) == 1:
-        found = _scan(docs.select(*keep, text), parts[0])
+    source = docs.select(*keep, F.col(f"`{text_col}`").alias("__text"))
+    items = benchmark.select(F.col(f"`{item_id_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
+    index = stored(items.mapInArrow(_indexer(window, k), _INDEX), "benchmark")
+    if index.count() <= BROADCAST_ROWS:
+        sent = docs.sparkSession.sparkContext.broadcast(_arranged(index.toArrow(), window, k))
+        schema = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL(_FOUND).fields])
+        found = source.mapInArrow(_scanner(sent), schema)
     else:
-        key = [F.xxhash64(text).alias("__a"), F.md5(text).alias("__b")]
-        hits = None
-        for i, part in enumerate(parts):
-            some = _scan(docs.select(*key, text), part, only_hit=True)
-            some = some.groupBy("__a", "__b").agg(*(F.first(c).alias(c) for c in ("n_words", "n_hit", "hit", "items")))
-            hits = some if hits is None else hits.unionByName(some)
-        merged = hits.groupBy("__a", "__b").applyInPandas(_merge, hits.schema).drop("n_words")
-        counted = _scan(docs.select(*keep, *key, text), build_index([], window, k)).drop("n_hit", "hit", "items")
-        found = counted.join(merged, ["__a", "__b"], "left")
-    return found.select(
-        *keep,
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("item_ids"),
-    )
+        found = _joined(source, index, window, k)
+    return found.select(*keep, "n_words", "n_hit", "n_items", F.coalesce("items", F.array().cast("array<string>")).alias("item_ids"))

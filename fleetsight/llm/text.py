@@ -93,10 +93,10 @@ def text_slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) ->
 LONG_WORD = 64
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of every word, eight bytes at a time."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hash of every word, eight bytes at a time; or another one, independent of it."""
     sizes = ends - starts
-    out = mix(sizes.astype(np.uint64) * _GOLDEN)
+    out = mix((sizes.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D if second else 0)) * _GOLDEN)
     if not len(sizes):
         return out
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
@@ -107,8 +107,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         value = eights[starts[at] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
         out[at] = mix((out[at] ^ value) * np.uint64(_BASE))
     for i in np.flatnonzero(sizes > LONG_WORD).tolist():
-        whole = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
-        out[i] = int.from_bytes(whole, "little")
+        whole = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        out[i] = int.from_bytes(whole[8:] if second else whole[:8], "little")
     return out
 
 
@@ -137,6 +137,7 @@ class Words:
         after[offsets[1:][full] - 1] = False
         starts = np.flatnonzero(mask & ~before)
         ends = np.flatnonzero(mask & ~after) + 1
+        self.folded, self.starts, self.ends = folded, starts, ends
         self.hashes = word_hashes(folded, starts, ends)
         self.firsts = np.searchsorted(starts, offsets)
         self.counts = np.diff(self.firsts)
