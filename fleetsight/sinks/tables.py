@@ -1,7 +1,9 @@
-"""Table sinks: append, replace, partitioned dataset, versioned snapshot, report, actions."""
+"""Table sinks: append, replace, partitioned dataset, state log, report, actions."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ KEEP_VERSIONS = 3
 
 # Quotes inside a cell are doubled, as common CSV readers and writers do.
 CSV_OPTIONS = {"header": "true", "escape": '"'}
+# The default cuts times to milliseconds.
+_WHOLE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def _csv_ready(df: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 
 def _save(df: DataFrame, path: str, fmt: str, mode: str) -> None:
     if fmt == "csv":
-        _csv_ready(df).write.mode(mode).options(**CSV_OPTIONS).csv(path)
+        _csv_ready(df).write.mode(mode).options(**CSV_OPTIONS, timestampFormat=_WHOLE_TIME).csv(path)
     else:
         df.write.mode(mode).format(fmt).save(path)
 
@@ -56,7 +60,15 @@ def save_params(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-# ------------------------------------------------------------------ versioned snapshot
+# -------------------------------------------------------------- current state as a log
+#
+# A state folder has deltas ``d<version>`` (the nodes of one batch), bases ``b<version>`` (all nodes) and
+# manifests ``m<version>``: JSON that names one base and the deltas after it, oldest first, with their
+# rows. A manifest appears by a rename once its tables are complete, so a writer that dies leaves the
+# state before it as it was.
+
+# A base is written anew when the deltas hold as many rows, and at least so many.
+COMPACTED_ROWS = 10_000
 
 
 def _folder(spark: SparkSession, path: str):
@@ -64,54 +76,91 @@ def _folder(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions only: a folder counts once its job has committed."""
+def _listed(spark: SparkSession, path: str) -> list[str]:
     fs, root = _folder(spark, path)
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit():
-            _, marker = _folder(spark, f"{path}/{name}/_SUCCESS")
-            if fs.exists(marker):
-                found.append(int(name[1:]))
-    return sorted(found)
-
-
-def version_before(spark: SparkSession, path: str, version: int) -> str | None:
-    """Folder of the newest complete version below ``version``."""
-    earlier = [v for v in _versions(spark, path) if v < version]
-    return f"{path}/v{earlier[-1]}" if earlier else None
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def _manifest(spark: SparkSession, path: str, below: int | None = None) -> dict | None:
+    """The newest manifest (below a version)."""
+    versions = [int(n[1:]) for n in _listed(spark, path) if n[0] == "m" and n[1:].isdigit()]
+    versions = [v for v in versions if below is None or v < below]
+    if not versions:
+        return None
+    fs, file = _folder(spark, f"{path}/m{max(versions)}")
+    stream = fs.open(file)
+    try:
+        text = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def _write_manifest(spark: SparkSession, path: str, version: int, parts: list[dict]) -> None:
+    fs, draft = _folder(spark, f"{path}/_m{version}-{uuid.uuid4().hex}")
+    _, final = _folder(spark, f"{path}/m{version}")
+    stream = fs.create(draft, True)
+    stream.write(bytearray(json.dumps({"version": version, "parts": parts}).encode()))
+    stream.close()
+    if fs.exists(final):  # a replayed batch
+        fs.delete(final, False)
+    if not fs.rename(draft, final):
+        raise OSError(f"could not publish version {version} in {path}")
+
+
+def _merged(spark: SparkSession, path: str, parts: list[dict]) -> DataFrame:
+    """The newest row of each node over a base and the deltas after it."""
+    names = T._parse_datatype_string(schemas.NODE_STATE).names
+    rows = None
+    for i, part in enumerate(parts):
+        some = spark.read.schema(schemas.NODE_STATE).parquet(f"{path}/{part['name']}").withColumn("_v", F.lit(i))
+        rows = some if rows is None else rows.unionByName(some)
+    if len(parts) == 1:
+        return rows.drop("_v")
+    newest = F.max_by(F.struct(*[n for n in names if n != "node"]), F.struct("_v", "last_seen"))
+    return rows.groupBy("node").agg(newest.alias("s")).select("node", "s.*")
 
 
-def latest_version_path(spark: SparkSession, path: str) -> str | None:
-    versions = _versions(spark, path)
-    return f"{path}/v{versions[-1]}" if versions else None
+def state_before(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The newest published state (below ``version``), or None."""
+    found = _manifest(spark, path, version)
+    return _merged(spark, path, found["parts"]) if found else None
 
 
 def publish_state(updates: DataFrame, version: int, path: str) -> None:
-    """Merge updates into the newest earlier snapshot and publish it as ``version``.
+    """Publish ``updates`` on top of the newest earlier state as ``version``.
 
-    Readers take the newest complete version, so they never see a half-written state. A replayed
-    version starts from the same predecessor and overwrites itself: retries change nothing.
+    What is written follows the nodes touched, but for a new base now and then. A replayed version starts
+    from the same predecessor and replaces itself: retries change nothing.
     """
     spark = updates.sparkSession
-    earlier = [v for v in _versions(spark, path) if v < version]
     names = T._parse_datatype_string(schemas.NODE_STATE).names
-    merged = updates.select(*names).withColumn("_v", F.lit(1))
-    if earlier:
-        prior = spark.read.schema(schemas.NODE_STATE).parquet(f"{path}/v{earlier[-1]}")
-        merged = merged.unionByName(prior.withColumn("_v", F.lit(0)))
-    newest = merged.groupBy("node").agg(
-        F.max_by(F.struct(*[n for n in names if n != "node"]), F.struct("_v", "last_seen")).alias(
-            "s"
-        )
-    )
-    newest.select("node", "s.*").write.mode("overwrite").parquet(f"{path}/v{version}")
-    for old in earlier[: -(KEEP_VERSIONS - 1)]:
-        fs, folder = _folder(spark, f"{path}/v{old}")
-        fs.delete(folder, True)
+    newest = F.max_by(F.struct(*[n for n in names if n != "node"]), F.col("last_seen"))
+    delta = updates.select(*names).groupBy("node").agg(newest.alias("s")).select("node", "s.*")
+
+    def part(name: str) -> dict:
+        return {"name": name, "rows": spark.read.schema(schemas.NODE_STATE).parquet(f"{path}/{name}").count()}
+
+    earlier = _manifest(spark, path, version)
+    delta.write.mode("overwrite").parquet(f"{path}/d{version}")
+    parts = [*(earlier["parts"] if earlier else []), part(f"d{version}")]
+    if len(parts) > 1 and sum(p["rows"] for p in parts[1:]) >= max(parts[0]["rows"], COMPACTED_ROWS):
+        _merged(spark, path, parts).write.mode("overwrite").parquet(f"{path}/b{version}")
+        parts = [part(f"b{version}")]
+    _write_manifest(spark, path, version, parts)
+    _forget(spark, path, version)
+
+
+def _forget(spark: SparkSession, path: str, version: int) -> None:
+    """Drop manifests older than the last ``KEEP_VERSIONS``, and tables that no manifest names."""
+    listed = _listed(spark, path)
+    versions = sorted(int(n[1:]) for n in listed if n[0] == "m" and n[1:].isdigit() and int(n[1:]) <= version)
+    gone = [f"m{v}" for v in versions[:-KEEP_VERSIONS]]
+    used = {p["name"] for v in versions[-KEEP_VERSIONS:] for p in _manifest(spark, path, v + 1)["parts"]}
+    gone += [n for n in listed if n[0] in "bd" and n[1:].isdigit() and int(n[1:]) <= version and n not in used]
+    for name in gone:
+        fs, old = _folder(spark, f"{path}/{name}")
+        fs.delete(old, True)
 
 
 # ------------------------------------------------------------------------- text report

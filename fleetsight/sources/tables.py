@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight import schemas
-from fleetsight.sinks.tables import CSV_OPTIONS, latest_version_path
+from fleetsight.sinks.tables import CSV_OPTIONS, state_before
 
 DEFAULT_THRESHOLD = 0.5
 
@@ -86,7 +86,6 @@ def load_threshold(spark: SparkSession, path: str, default: float = DEFAULT_THRE
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Current-state snapshot; empty where there is none yet."""
-    current = latest_version_path(spark, path)
-    found = _read_or_none(spark, current, "parquet", schemas.NODE_STATE) if current else None
+    """Current state; empty where there is none yet."""
+    found = state_before(spark, path)
     return found if found is not None else spark.createDataFrame([], schemas.NODE_STATE)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetsight import schemas
 from fleetsight.jobs.detect import LIVE_THRESHOLD, Scorer, verify_and_score
 from fleetsight.operators.trust import (
     V1,
@@ -23,7 +22,7 @@ from fleetsight.operators.trust import (
     trust_scores,
 )
 from fleetsight.plans.kept import kept
-from fleetsight.sinks.tables import publish_state, version_before
+from fleetsight.sinks.tables import publish_state, state_before
 
 
 def trust_batch(
@@ -69,8 +68,7 @@ def stream_trust(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = prepare(batch) if prepare else batch
-        earlier = version_before(spark, f"{root}/state", batch_id)
-        prior = spark.read.schema(schemas.NODE_STATE).parquet(earlier) if earlier else None
+        prior = state_before(spark, f"{root}/state", batch_id)
         target = f"{root}/trace/batch={batch_id}"
         # Several actions work on the batch; without this each would check and score it again.
         with kept(rows) as once:

@@ -205,3 +205,37 @@ def test_report_file(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
     lines = text.splitlines()
     assert lines[0].startswith("Node") and lines[-1] == "Anomalies Detected: 0" and len(lines) == 55
+
+
+def test_state_log_writes_what_changed(spark, tmp_path, monkeypatch):
+    from fleetsight.sinks import tables
+
+    monkeypatch.setattr(tables, "COMPACTED_ROWS", 50)
+    path = str(tmp_path / "log")
+
+    def rows(first, count, score):
+        nodes = spark.range(first, first + count)
+        return nodes.selectExpr(
+            "concat('n', id) AS node", "CAST(id AS DOUBLE) AS last_seen", "1.0D AS cpu", f"{score}D AS score", "'Healthy' AS status", "'Normal' AS raw_status"
+        )
+
+    publish_state(rows(0, 200, 100.0), 0, path)
+    publish_state(rows(5, 3, 85.0), 1, path)
+    assert spark.read.parquet(f"{path}/d1").count() == 3
+    publish_state(rows(5, 3, 85.0), 1, path)  # replayed
+    want = {f"n{i}": 85.0 if 5 <= i < 8 else 100.0 for i in range(200)}
+    assert {r.node: r.score for r in read_state(spark, path).collect()} == want
+    # A writer that dies before its manifest leaves the state as it was.
+    monkeypatch.setattr(tables, "_write_manifest", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        publish_state(rows(0, 200, 1.0), 2, path)
+    monkeypatch.undo()
+    monkeypatch.setattr(tables, "COMPACTED_ROWS", 50)
+    assert {r.node: r.score for r in read_state(spark, path).collect()} == want
+    for version in range(2, 8):  # deltas grow into a new base
+        publish_state(rows(version * 50 - 100, 60, float(version)), version, path)
+        want |= {f"n{i}": float(version) for i in range(version * 50 - 100, version * 50 - 40)}
+        assert {r.node: r.score for r in read_state(spark, path).collect()} == want
+    names = {p.name for p in (tmp_path / "log").iterdir()}
+    assert any(n.startswith("b") for n in names) and "d0" not in names
+    assert sorted(n for n in names if n.startswith("m")) == ["m5", "m6", "m7"]
