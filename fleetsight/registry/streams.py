@@ -13,6 +13,7 @@ from fleetsight.operators import reconstruct as rec
 from fleetsight.registry.base import CLAMPED, COUNT_NAMES, KERNEL, TRANSITIONS, E, features_sql, query
 from fleetsight.registry.models import _with_rocksdb, _workspace
 from fleetsight.sources.lines import parse_kernel_events
+from fleetsight.streaming.chain import stream_aligned, stream_rates
 from fleetsight.streaming.chain import stream_detect_v2 as detect_v2_of_stream
 from fleetsight.streaming.late import dropped_rows, latest_revisions, stream_revisions
 from fleetsight.streaming.run import run_bounded, stream_to_table
@@ -51,7 +52,7 @@ def arrivals(
 _SCALES = {"cpu": 100.0, "mem": 100.0, "net_in": 1.0, "net_out": 1.0}
 _KEPT, _LIMIT, _RANGE_S, _DAY_S = 16, 0.2305, 172_800, 86_400
 
-_CHAIN_SQL = f"""WITH {E}, r AS (
+_ALIGNED_SQL = f"""WITH {E}, r AS (
   SELECT *, us // {_DAY_S * 1_000_000} AS day, lag(us) OVER w AS pus, lag(event_id) OVER w AS pe FROM e
   WINDOW w AS (PARTITION BY node ORDER BY us)),
 s AS (
@@ -66,7 +67,9 @@ l AS (
   GROUP BY ALL),
 ticks AS (
   SELECT node, day, metric FROM (SELECT DISTINCT node, day, max(day) OVER (PARTITION BY node) AS last_day FROM r),
-    (VALUES ('cpu'), ('mem'), ('net_in'), ('net_out')) AS m(metric) WHERE day < last_day),
+    (VALUES ('cpu'), ('mem'), ('net_in'), ('net_out')) AS m(metric) WHERE day < last_day)"""
+
+_CHAIN_SQL = f"""{_ALIGNED_SQL},
 a AS (
   SELECT t.node, t.day, sum(list_sum(list_transform(l.xs[5:10], lambda x: abs(x - 0.5)))) / 40 AS loss
   FROM ticks t ASOF JOIN l ON t.node = l.node AND t.metric = l.metric AND t.day >= l.day
@@ -84,6 +87,37 @@ SELECT node, (day + 1) * {_DAY_S * 1_000_000} AS tick, round(loss, 6) AS loss, s
 FROM p"""
 
 
+_RATES_SQL = f"""WITH {E}, r AS (
+  SELECT *, lag(us) OVER w AS pus, lag(event_id) OVER w AS pe FROM e WINDOW w AS (PARTITION BY node ORDER BY us))
+SELECT node, metric, us, round(x, 6) AS value FROM (
+  SELECT node, 'cpu' AS metric, us, value AS x FROM r UNION ALL SELECT node, 'mem', us, k::DOUBLE FROM r
+  UNION ALL SELECT node, m, us, (event_id - pe) * f / ((us - pus) / 1000000.0::DOUBLE)
+    FROM r, (VALUES ('net_in', 7.0::DOUBLE), ('net_out', 3.0::DOUBLE)) AS c(m, f) WHERE us - pus <= {_RANGE_S * 1_000_000})"""
+
+
+@query(_RATES_SQL)
+def stream_instant_rate(spark, sf_dir):
+    """Counters as rates while samples arrive; gauges as they are."""
+    found = arrivals(spark, sf_dir, lambda ev: stream_rates(ad.chain_samples(ev), _RANGE_S))
+    return found.withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""{_ALIGNED_SQL}, m AS (SELECT t.node, t.day, t.metric, l.xs FROM ticks t ASOF JOIN l
+  ON t.node = l.node AND t.metric = l.metric AND t.day >= l.day WHERE len(l.xs) = 10),
+w AS (SELECT node, day, max(CASE WHEN metric = 'cpu' THEN xs END) AS c, max(CASE WHEN metric = 'mem' THEN xs END) AS k,
+  max(CASE WHEN metric = 'net_in' THEN xs END) AS i, max(CASE WHEN metric = 'net_out' THEN xs END) AS o FROM m GROUP BY ALL HAVING count(*) = 4)
+SELECT node, (day + 1) * {_DAY_S * 1_000_000} AS tick, step::INTEGER AS step, round(c[step + 1] * 100, 6) AS cpu, round(k[step + 1] * 100, 6) AS mem,
+  round(i[step + 1], 6) AS net_in, round(o[step + 1], 6) AS net_out FROM w, (SELECT unnest(range(10)) AS step)"""
+)
+def stream_align_last_n(spark, sf_dir):
+    """The last ten points of four metrics side by side at each day's end, while samples arrive."""
+    found = arrivals(spark, sf_dir, lambda ev: stream_aligned(stream_rates(ad.chain_samples(ev), _RANGE_S), step_s=_DAY_S))
+    step = found.select("node", "tick", "flat", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("step"))
+    cells = [F.round(F.col("flat")[F.col("step") * 4 + i], 6).alias(m) for i, m in enumerate(_SCALES)]
+    return step.select("node", "tick", "step", *cells)
+
+
 @query(_CHAIN_SQL)
 def stream_detect_v2(spark, sf_dir):
     """Rates, alignment, losses, trust and cordon flags as one stream, with a given bottleneck."""

@@ -65,43 +65,52 @@ class _RateProcessor(StatefulProcessor):
 
 
 class _AlignProcessor(StatefulProcessor):
-    """The last points of every metric of a node; their reconstruction loss at each closed tick."""
+    """The last points of every metric of a node, side by side at each closed tick."""
 
-    def __init__(self, model: Reconstruction, metrics: Sequence[str], length: int, step_us: int):
-        self.model, self.metrics, self.length, self.step_us = model, list(metrics), length, step_us
+    def __init__(self, metrics: Sequence[str], length: int, step_us: int, max_age_us: int | None):
+        self.metrics, self.length, self.step_us, self.max_age_us = list(metrics), length, step_us, max_age_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tick = handle.getValueState("tick", "tick LONG")
-        self.rings = [handle.getListState(f"ring_{m}", "value DOUBLE") for m in self.metrics]
+        self.rings = [handle.getListState(f"ring_{m}", "us LONG, value DOUBLE") for m in self.metrics]
+
+    def _aligned(self, rings: list[list[tuple]], end: int) -> list[float] | None:
+        """All points, step by step; None where a metric has too few that are recent enough."""
+        if any(len(r) < self.length for r in rings):
+            return None
+        if self.max_age_us is not None and any(r[0][0] < end - self.max_age_us for r in rings):
+            return None
+        return [ring[i][1] for i in range(self.length) for ring in rings]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         pdf = pd.concat(list(rows)).sort_values(["us", "metric", "value"], kind="stable")
         now = self.tick.get()[0] if self.tick.exists() else None
-        rings = [[r[0] for r in ring.get()] for ring in self.rings]
-        place = {m: i for i, m in enumerate(self.metrics)}
+        rings = [[tuple(r) for r in ring.get()] for ring in self.rings]
         ticks, sequences = [], []
-        buckets = pdf["us"].to_numpy() // self.step_us
+        us, metric, value = (pdf[c].to_numpy() for c in ("us", "metric", "value"))
+        buckets = us // self.step_us
         if now is not None:
             buckets = np.maximum(buckets, now)  # a late sample counts in the open tick
-        metric, value = pdf["metric"].to_numpy(), pdf["value"].to_numpy()
         cuts = np.append(np.flatnonzero(np.diff(buckets)) + 1, len(buckets))
         begin = 0
         for end in cuts.tolist():
             bucket = int(buckets[begin])
-            if now is not None and bucket > now and all(len(r) == self.length for r in rings):
-                ticks.append(now)
-                sequences.append(np.array(rings).T.ravel())
+            if now is not None and bucket > now:
+                closed = (now + 1) * self.step_us
+                sequence = self._aligned(rings, closed)
+                if sequence is not None:
+                    ticks.append(closed)
+                    sequences.append(sequence)
             now = bucket
-            for m, i in place.items():
-                new = value[begin:end][metric[begin:end] == m]
-                rings[i] = (rings[i] + new[-self.length :].tolist())[-self.length :]
+            for i, m in enumerate(self.metrics):
+                at = np.flatnonzero(metric[begin:end] == m)[-self.length :] + begin
+                rings[i] = (rings[i] + [(int(us[j]), float(value[j])) for j in at])[-self.length :]
             begin = end
         self.tick.update((now,))
         for ring, points in zip(self.rings, rings):
-            ring.put([(float(x),) for x in points])
+            ring.put(points)
         if ticks:
-            ends = (np.array(ticks) + 1) * self.step_us
-            yield pd.DataFrame({"node": key[0], "tick": ends, "loss": self.model.loss(np.stack(sequences))})
+            yield pd.DataFrame({"node": key[0], "tick": ticks, "flat": sequences})
 
     def close(self) -> None:
         pass
@@ -150,13 +159,20 @@ def stream_rates(samples: DataFrame, range_s: float, counters: Sequence[str] = C
     )
 
 
-def stream_aligned_losses(
-    points: DataFrame, model: Reconstruction, metrics: Sequence[str] = FEATURES_V2, length: int = 10, step_s: int = 10
+def stream_aligned(
+    points: DataFrame,
+    metrics: Sequence[str] = FEATURES_V2,
+    length: int = 10,
+    step_s: int = 10,
+    max_age_s: float | None = None,
 ) -> DataFrame:
-    """Points (node, metric, us, value) -> (node, tick, loss) at the end of each tick of ``step_s``."""
+    """Points (node, metric, us, value) -> (node, tick, flat) at the end of each tick of ``step_s``: the last
+    ``length`` points of all metrics, step by step. Ticks at which a metric has fewer, or its oldest one
+    lies more than ``max_age_s`` back, are left out."""
+    age = None if max_age_s is None else int(max_age_s * _MICROS)
     return points.groupBy("node").transformWithStateInPandas(
-        statefulProcessor=_AlignProcessor(model, metrics, length, step_s * _MICROS),
-        outputStructType="node STRING, tick LONG, loss DOUBLE",
+        statefulProcessor=_AlignProcessor(metrics, length, step_s * _MICROS, age),
+        outputStructType="node STRING, tick LONG, flat ARRAY<DOUBLE>",
         outputMode="append",
         timeMode="none",
     )
@@ -194,5 +210,6 @@ def stream_detect_v2(
     ``<metric>_min`` and ``<metric>_max``."""
     wanted = exclude_nodes(samples, node="node").where(F.col("metric").isin(*metrics))
     rates = stream_rates(wanted, range_s, counters)
-    losses = stream_aligned_losses(scaled_samples(rates, scaler, metrics), model, metrics, length, step_s)
+    aligned = stream_aligned(scaled_samples(rates, scaler, metrics), metrics, length, step_s)
+    losses = aligned.select("node", "tick", model.loss_column(F.col("flat")).alias("loss"))
     return stream_cordon(classify(losses, "loss", threshold, "high"), **cordon)
