@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetsight.operators.reconstruct import Reconstruction
 from fleetsight.operators.trust import V1, TrustPolicy, status_transitions
+from fleetsight.plans.grids import BLOCK
 from fleetsight.plans.ordered import compose_prefixes
 from fleetsight.schemas import EVENT_COUNTS
 
@@ -99,6 +100,12 @@ class _DensifyProcessor(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "start_ms LONG")
 
+    def _blocks(self, first: int, end: int) -> Iterator[tuple[int, int]]:
+        """Stretches of bounded length: one stray time, years away, makes no frame of unbounded size."""
+        step = self.window_ms * BLOCK
+        for a in range(first, end, step):
+            yield a, min(a + step, end)
+
     def _zero_rows(self, node: str, first: int, end: int) -> pd.DataFrame:
         starts = np.arange(first, end, self.window_ms)
         out = pd.DataFrame({"node": node, "window_start": pd.to_datetime(starts, unit="ms")})
@@ -125,13 +132,16 @@ class _DensifyProcessor(StatefulProcessor):
             yield late
         if fresh.any():
             end = int(starts.max())
-            out = self._zero_rows(key[0], last + self.window_ms, end + self.window_ms)
-            place = (starts[fresh] - last) // self.window_ms - 1
-            for c in self.counts:
-                values = out[c].to_numpy(copy=True)
-                values[place] = pdf[c].to_numpy()[fresh]
-                out[c] = values
-            yield out
+            known, given = starts[fresh], pdf[self.counts].to_numpy()[fresh]
+            for a, b in self._blocks(last + self.window_ms, end + self.window_ms):
+                out = self._zero_rows(key[0], a, b)
+                inside = (known >= a) & (known < b)
+                place = (known[inside] - a) // self.window_ms
+                for i, c in enumerate(self.counts):
+                    values = out[c].to_numpy(copy=True)
+                    values[place] = given[inside, i]
+                    out[c] = values
+                yield out
             last = end
             self.last.update((last,))
         self._rearm(last)
@@ -141,7 +151,8 @@ class _DensifyProcessor(StatefulProcessor):
         last = self.last.get()[0]
         done = last + max(0, (now - last) // self.window_ms - 1) * self.window_ms
         if done > last:
-            yield self._zero_rows(key[0], last + self.window_ms, done + self.window_ms)
+            for a, b in self._blocks(last + self.window_ms, done + self.window_ms):
+                yield self._zero_rows(key[0], a, b)
             self.last.update((done,))
         self._rearm(done)
 
