@@ -51,7 +51,7 @@ COUNTED, REPORTED = 3_000_000, 2
 HOT, HOT_LIMIT = 8, 250_000
 BLOCK = 2_000
 # Shingles that a block of a cluster holds at once.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -389,49 +389,97 @@ def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield _batch("a b", pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()))
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of all sets with at least two bits per shingle of the largest."""
-    size = max(128, 1 << (2 * max(map(len, sets)) - 1).bit_length())
-    out = np.zeros((len(sets), size), dtype=np.uint8)
+def _bits(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """Bitmaps of ``size`` bits as rows of 64-bit words."""
+    out = np.zeros((len(sets), size // 64), dtype=np.uint64)
     for row, s in zip(out, sets):
-        row[(s >> np.uint64(20)) % np.uint64(size)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+        at = (s >> np.uint64(20)) % np.uint64(size)
+        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+class _Block:
+    """The members of one block of a cluster, and the classes that their components are joined into.
+    Visitors come one by one and are not held."""
+
+    def __init__(self):
+        self.node: list[int] = []
+        self.component: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.size: np.ndarray | None = None
+
+    def add(self, node: int, component: int, shingles: bytes) -> None:
+        self.node.append(node)
+        self.component.append(component)
+        self.sets.append(np.frombuffer(shingles, dtype=np.uint64))
+
+    def close(self) -> None:
+        order = sorted(range(len(self.sets)), key=lambda i: len(self.sets[i]))
+        self.node, self.component, self.sets = ([x[i] for i in order] for x in (self.node, self.component, self.sets))
+        self.size = np.array([len(s) for s in self.sets], dtype=np.int64)
+        self.bits = max(128, 1 << (2 * int(self.size[-1]) - 1).bit_length()) if len(self.size) else 128
+        self.matrix = _bits(self.sets, self.bits)
+        self.ones = np.bitwise_count(self.matrix).sum(axis=1, dtype=np.int64)
+        self.name: dict[int, int] = {}
+        self.above: list[int] = []
+        self.of = np.array([self._class(c) for c in self.component], dtype=np.int64)
+
+    def _class(self, component: int) -> int:
+        at = self.name.setdefault(component, len(self.above))
+        if at == len(self.above):
+            self.above.append(at)
+        while self.above[at] != at:
+            at = self.above[at]
+        return at
+
+    def visit(self, component: int, shingles: bytes) -> list[int]:
+        """Nodes of members that a visitor links with, one of each class it is joined with."""
+        if self.size is None:
+            self.close()
+        s = np.frombuffer(shingles, dtype=np.uint64)
+        n, own = len(s), self._class(component)
+        fit = _near(self.size, n)
+        near = np.flatnonzero(self.of[fit] != own) + fit.start
+        if not len(near):
+            return []
+        bits = _bits([s], self.bits)[0]
+        both = np.bitwise_count(self.matrix[near] & bits).sum(axis=1, dtype=np.int64)
+        ones = int(np.bitwise_count(bits).sum(dtype=np.int64))
+        bound = np.minimum(n - (ones - both), self.size[near] - (self.ones[near] - both))
+        near = near[bound >= _needed(n, self.size[near])]
+        if not len(near):
+            return []
+        # All candidates' sorted arrays against that of the visitor.
+        others = np.concatenate([self.sets[q] for q in near.tolist()])
+        at = np.minimum(np.searchsorted(s, others), n - 1)
+        begin = np.cumsum(self.size[near]) - self.size[near]
+        common = np.add.reduceat(s[at] == others, begin, dtype=np.int64)
+        near = near[common >= _needed(n, self.size[near])]
+        classes, first = np.unique(self.of[near], return_index=True)
+        for c in classes.tolist():
+            self.above[c] = own
+        self.of[np.isin(self.of, classes)] = own
+        return [self.node[q] for q in near[first].tolist()]
 
 
 def _verify_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cluster, block) -> links (a, b), exact, as few as connect the components."""
-    for table, cuts in _runs(batches):
-        node, component = (table.column(c).to_numpy() for c in ("node", "component"))
-        probe = table.column("probe").to_numpy(zero_copy_only=False)
-        held = table.column("shingles")
+    """Rows sorted by (cluster, block, probe) -> links (a, b), exact, as few as connect the components. A
+    block's members are held, its visitors stream past them."""
+    key, block = None, _Block()
+    for batch in batches:
         out_a: list[int] = []
         out_b: list[int] = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own = component[a:b]
-            if (own == own[0]).all():
-                continue
-            sets = [np.frombuffer(held[i].as_buffer(), dtype=np.uint64) for i in range(a, b)]
-            classes, size = Classes(own), np.array([len(s) for s in sets])
-            members = np.flatnonzero(~probe[a:b])
-            members = members[np.argsort(size[members], kind="stable")]
-            sizes = size[members]
-            matrix = _bitmaps(sets)
-            ones = np.bitwise_count(matrix).sum(axis=1, dtype=np.int64)
-            for p in np.flatnonzero(probe[a:b]).tolist():
-                near = classes.others(p, members[_near(sizes, int(size[p]))])
-                near = _room(matrix, ones, size, p, near) if len(near) else near
-                if not len(near):
-                    continue
-                # All candidates' sorted arrays against that of the probe.
-                others = np.concatenate([sets[q] for q in near.tolist()])
-                at = np.minimum(np.searchsorted(sets[p], others), size[p] - 1)
-                begin = np.cumsum(size[near]) - size[near]
-                common = np.add.reduceat(sets[p][at] == others, begin, dtype=np.int64)
-                near = near[common >= _needed(int(size[p]), size[near])]
-                if len(near):
-                    for q in classes.join(p, near).tolist():
-                        out_a.append(int(node[a + p]))
-                        out_b.append(int(node[a + q]))
+        columns = [batch.column(c).to_pylist() for c in ("cluster", "block", "node", "component", "probe")]
+        held = batch.column(batch.schema.get_field_index("shingles"))
+        for i, (cluster, number, node, component, probe) in enumerate(zip(*columns)):
+            if (cluster, number) != key:
+                key, block = (cluster, number), _Block()
+            if not probe:
+                block.add(node, component, held[i].as_py())
+            else:
+                found = block.visit(component, held[i].as_buffer())
+                out_a += [node] * len(found)
+                out_b += found
         if out_a:
             yield _batch("a b", pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()))
 
@@ -442,7 +490,7 @@ def _dealt(members: DataFrame, group: str, blocks: Column, columns: list[str]) -
     build = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
     probes = members.where("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = build.select(*columns).unionByName(probes.withColumn("probe", F.lit(True)).select(*columns))
-    return rows.repartition(group, "block").sortWithinPartitions(group, "block")
+    return rows.repartition(group, "block").sortWithinPartitions(group, "block", "probe")
 
 
 def _open_groups(named: DataFrame, group: str, *more: Column) -> DataFrame:

@@ -113,8 +113,8 @@ def test_verification_reports_what_connects():
         "shingles": [s.tobytes() for _, s in rows], "probe": [True] * 60,
     }
     table = pa.table({**columns, "shingles": pa.array(columns["shingles"], pa.binary())})
-    # Probes are members as well.
-    table = pa.concat_tables([table, table.set_column(5, "probe", pa.array([False] * 60))])
+    # Visitors are members as well, which come first.
+    table = pa.concat_tables([table.set_column(5, "probe", pa.array([False] * 60)), table])
     links = [x for b in jaccard_join._verify_groups(iter(table.to_batches())) for x in zip(*(c.to_pylist() for c in b.columns))]
     assert len(links) == 60 - len(set(want.values()))
     got = {i: i for i, _ in rows}
