@@ -15,9 +15,11 @@ from fleetsight.registry.models import _with_rocksdb, _workspace
 from fleetsight.sources.lines import parse_kernel_events
 from fleetsight.streaming.chain import stream_aligned, stream_rates
 from fleetsight.streaming.chain import stream_detect_v2 as detect_v2_of_stream
+from fleetsight.streaming.labels import labeled_rows, stream_labels
 from fleetsight.streaming.late import dropped_rows, latest_revisions, stream_revisions
 from fleetsight.streaming.run import run_bounded, stream_to_table
 from fleetsight.streaming.sliced import stream_trust_sliced as trust_in_slices
+from fleetsight.streaming.ticks import stream_at_ticks
 
 PARTS = 3
 
@@ -173,3 +175,65 @@ def stream_trust_sliced(spark, sf_dir):
         return trust_in_slices(records, order=("ts", "event_id"), slice_s=_DAY_S)
 
     return arrivals(spark, sf_dir, build).select("node", "event_id", "score", "status", "action")
+
+
+_STEP_S, _WRAP = 21_600, 5_000
+
+
+def _wrapping(ev: DataFrame) -> DataFrame:
+    """Samples whose counters start again every now and then."""
+    reset = F.when(F.col("metric").isin("net_in", "net_out"), F.pmod("value", F.lit(float(_WRAP)))).otherwise(F.col("value"))
+    return ad.chain_samples(ev).withColumn("value", reset)
+
+
+_TICKS_SQL = f"""WITH {E}, v AS (
+  SELECT node, us, metric, x FROM (
+    SELECT node, us, 'cpu' AS metric, value AS x FROM e UNION ALL SELECT node, us, 'mem', k::DOUBLE FROM e
+    UNION ALL SELECT node, us, m, (event_id * f % {_WRAP})::DOUBLE FROM e, (VALUES ('net_in', 7), ('net_out', 3)) AS c(m, f))),
+s AS (SELECT *, lag(x) OVER (PARTITION BY node, metric ORDER BY us, x) AS before FROM v),
+g AS (SELECT *, sum(CASE WHEN before IS NULL THEN 0 WHEN x < before THEN x ELSE x - before END)
+  OVER (PARTITION BY node, metric ORDER BY us, x ROWS UNBOUNDED PRECEDING) AS grown FROM s),
+h AS (SELECT *, unnest(range((us + {_STEP_S}000000 - 1) // {_STEP_S}000000, (us + {_DAY_S}000000) // {_STEP_S}000000 + 1)) * {_STEP_S}000000 AS tick FROM g),
+b AS (SELECT node, metric, tick, min(us) AS us0, max(us) AS us1, min_by(grown, (us, x)) AS g0, max_by(grown, (us, x)) AS g1,
+    max_by(x, (us, x)) AS x1 FROM h
+  WHERE tick // 1000 <= (SELECT max(us) // 1000 - 10000 FROM e) GROUP BY ALL)
+SELECT node, metric, tick, CASE WHEN tick - us1 <= 43200000000 THEN us1 END AS sample_us,
+  CASE WHEN tick - us1 <= 43200000000 THEN round(x1, 6) END AS value,
+  CASE WHEN metric LIKE 'net%' AND us1 > us0 THEN round((g1 - g0) / ((us1 - us0) / 1000000), 6) END AS rate FROM b"""
+
+
+@query(_TICKS_SQL)
+def stream_ticks(spark, sf_dir):
+    """Counter rates over a trailing day and the latest values, every six hours, while samples arrive."""
+    found = arrivals(spark, sf_dir, lambda ev: stream_at_ticks(_wrapping(ev), _STEP_S, _DAY_S, _DAY_S / 2))
+    cells = [F.round(c, 6).alias(c) for c in ("value", "rate")]
+    return found.select("node", "metric", "tick", "sample_us", *cells)
+
+
+_LABEL_LAG_S, _LABEL_DELAY_S, _CELL_S = 2 * _DAY_S, 3 * _DAY_S, 3600
+
+
+def _announced(ev: DataFrame) -> DataFrame:
+    """Scenario windows that become known two days after they began."""
+    back = {c: F.col(c) - _LABEL_LAG_S for c in ("start_time", "end_time")}
+    return ad.scenario_windows(ev).withColumns(back)
+
+
+_STREAM_LABELS_SQL = f"""WITH {E},
+w AS (SELECT event_id AS pos, us // 1000000 - {_LABEL_LAG_S} + 10 AS s, us // 1000000 - {_LABEL_LAG_S} + 3600 + 15 AS t,
+  'scenario_' || (event_id % 7) AS label FROM e WHERE event_type = 'signup'),
+closed AS (SELECT * FROM e WHERE (us // 1000000 // {_CELL_S} + 1) * {_CELL_S}
+  <= (SELECT max(us) // 1000000 - {_LABEL_DELAY_S} FROM e))
+SELECT c.event_id, c.node, coalesce(min_by(w.label, w.pos), 'normal') AS label
+FROM closed c LEFT JOIN w ON c.us // 1000000 BETWEEN w.s AND w.t GROUP BY c.event_id, c.node"""
+
+
+@query(_STREAM_LABELS_SQL)
+def stream_window_labels(spark, sf_dir):
+    """Labels by scenario windows that arrive days after the rows they label."""
+
+    def build(ev):
+        rows = ev.select("event_id", "node", F.unix_timestamp("ts").alias("epoch"))
+        return stream_labels(rows, _announced(ev), f"{_LABEL_DELAY_S} seconds", _CELL_S)
+
+    return labeled_rows(arrivals(spark, sf_dir, build)).select("event_id", "node", "label")
