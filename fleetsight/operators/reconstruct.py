@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetsight.operators.forest import constant_array
 from fleetsight.operators.predicates import classify
 from fleetsight.operators.scaling import sigma_threshold
 
@@ -82,6 +83,27 @@ class Reconstruction:
 
         return loss(flat)
 
+    def loss_expression(self, flat: Column) -> Column:
+        """The same loss as a column of built-in functions, without Python workers. Null where the
+        sequence or one of its elements is; its length must be the model's."""
+        mean, zero = constant_array(self.mean), F.lit(0.0)
+        rows = constant_array(self.components, "array<double>")  # per element of the sequence
+        columns = constant_array(self.components.T, "array<double>")
+
+        def dot(a: Column, b: Column) -> Column:
+            return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, lambda s, x: s + x)
+
+        def loss(centered: Column) -> Column:
+            def rest(codes: Column) -> Column:
+                missed = F.zip_with(centered, rows, lambda x, weights: F.abs(x - dot(codes, weights)))
+                return F.aggregate(missed, zero, lambda s, x: s + x) / float(len(self.mean))
+
+            codes = F.transform(columns, lambda weights: dot(centered, weights))
+            return F.get(F.transform(F.array(codes), rest), F.lit(0))  # binds the codes once
+
+        centered = F.zip_with(flat, mean, lambda x, m: x - m)
+        return F.get(F.transform(F.array(centered), loss), F.lit(0))
+
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(count, sums, sums of products) of a task's vectors, in one row."""
@@ -137,9 +159,12 @@ def score_reconstruction(
     threshold: float | Column,
     col: str = "seq",
     out: str = "loss",
+    native: bool = False,
 ) -> DataFrame:
-    """Adds the reconstruction error and the verdict (anomaly only above the threshold)."""
-    scored = seqs.withColumn(out, model.loss_column(F.flatten(col)))
+    """Adds the reconstruction error and the verdict (anomaly only above the threshold). ``native``: by
+    built-in functions instead of Arrow batches."""
+    loss = model.loss_expression if native else model.loss_column
+    scored = seqs.withColumn(out, loss(F.flatten(col)))
     return classify(scored, out, threshold, direction="high")
 
 

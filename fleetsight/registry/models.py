@@ -136,6 +136,13 @@ def iforest_given_scores(spark, sf_dir):
     return scored.select(*ad.FOREST_ID, r6("score"))
 
 
+@query(f"""WITH {_GIVEN_FOREST} SELECT * REPLACE (round(score, 6) AS score) FROM given""")
+def iforest_native_scores(spark, sf_dir):
+    """The same scores without Python workers."""
+    scored = score_iforest(ad.forest_items(spark, sf_dir), _given_forest(), native=True)
+    return scored.select(*ad.FOREST_ID, r6("score"))
+
+
 @query(
     f"""WITH {_GIVEN_FOREST} SELECT count(*) AS total_rows,
   count(*) FILTER (score <= -0.01) AS anomalies FROM given"""
@@ -168,8 +175,7 @@ def reconstruction_scores(spark, sf_dir):
 _KEPT = 8
 
 
-@query(
-    f"""WITH {E}, r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY node) AS n,
+_GIVEN_LOSS = f"""WITH {E}, r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY node) AS n,
     list(value) OVER ten AS v, list(k::DOUBLE) OVER ten AS ks, first_value(us) OVER ten AS first_us FROM e
   WINDOW w AS (PARTITION BY node ORDER BY us),
     ten AS (PARTITION BY node ORDER BY us ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
@@ -178,7 +184,9 @@ q AS (SELECT node, first_us, list_transform(range(20), lambda j:
 SELECT node, first_us AS ts, round(list_sum(list_transform(range({_KEPT}, 20), lambda j: abs(x[j + 1] - 0.5))) / 20, 6) AS loss,
   CASE WHEN list_sum(list_transform(range({_KEPT}, 20), lambda j: abs(x[j + 1] - 0.5))) / 20 > 40
     THEN 'Anomaly' ELSE 'Normal' END AS status FROM q"""
-)
+
+
+@query(_GIVEN_LOSS)
 def reconstruction_given_scores(spark, sf_dir):
     """Scoring with a given bottleneck is plain arithmetic."""
     model = rec.Reconstruction(np.full(20, 0.5), np.eye(20)[:, :_KEPT])
@@ -186,6 +194,14 @@ def reconstruction_given_scores(spark, sf_dir):
     return scored.select("node", F.unix_micros("ts").alias("ts"), r6("loss"), "status")
 
 
+@query(_GIVEN_LOSS)
+def reconstruction_native_scores(spark, sf_dir):
+    """The same losses without Python workers."""
+    model = rec.Reconstruction(np.full(20, 0.5), np.eye(20)[:, :_KEPT])
+    scored = rec.score_reconstruction(_sequences(spark, sf_dir), model, 40.0, native=True)
+    return scored.select("node", F.unix_micros("ts").alias("ts"), r6("loss"), "status")
+
+
 @query()
 def augment_noise(spark, sf_dir):
     noisy = rec.augment_noise(_sequences(spark, sf_dir), ["node", "ts"])
