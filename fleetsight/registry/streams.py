@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetsight import adapters as ad
 from fleetsight.operators import reconstruct as rec
@@ -16,10 +17,11 @@ from fleetsight.sources.lines import parse_kernel_events
 from fleetsight.streaming.chain import stream_aligned, stream_rates
 from fleetsight.streaming.chain import stream_detect_v2 as detect_v2_of_stream
 from fleetsight.streaming.labels import labeled_rows, stream_labels
-from fleetsight.streaming.late import dropped_rows, latest_revisions, stream_revisions
+from fleetsight.streaming.late import REVISION_TABLES, dropped_rows, latest_revisions, revision_step
 from fleetsight.streaming.run import run_bounded, stream_to_table
 from fleetsight.streaming.sliced import stream_trust_sliced as trust_in_slices
-from fleetsight.streaming.ticks import stream_at_ticks
+from fleetsight.streaming.steps import Step, stream_steps
+from fleetsight.streaming.ticks import TICK_TABLES, tick_step
 
 PARTS = 3
 
@@ -29,24 +31,51 @@ def arrivals(
 ) -> DataFrame:
     """What ``build`` makes of the events as they arrive: in event order, in parts, but ``late`` ones with the
     last part. Each part is a run of its own that takes up the checkpoint of the one before."""
+    schemas: list = []
+
+    def start(raw: DataFrame, work: str) -> StreamingQuery:
+        stream = build(ad.shape_events(raw))
+        schemas.append(stream.schema)
+        return stream_to_table(stream, f"{work}/out", f"{work}/checkpoint")
+
+    work = _with_rocksdb(spark, lambda: _in_parts(spark, sf_dir, start, parts, late))
+    return spark.read.schema(schemas[-1]).parquet(f"{work}/out")
+
+
+def arrivals_in_steps(
+    spark,
+    sf_dir: str,
+    build: Callable[[DataFrame], DataFrame],
+    step: Step,
+    tables: Sequence[str],
+    parts: int = PARTS,
+    late: Column | None = None,
+) -> DataFrame:
+    """The same arrivals, each micro-batch of what ``build`` makes of them worked on by ``step``."""
+
+    def start(raw: DataFrame, work: str) -> StreamingQuery:
+        return stream_steps(build(ad.shape_events(raw)), step, tables, work, f"{work}/checkpoint")
+
+    work = _in_parts(spark, sf_dir, start, parts, late)
+    return spark.read.parquet(f"{work}/out").drop("batch")
+
+
+def _in_parts(
+    spark, sf_dir: str, start: Callable[[DataFrame, str], StreamingQuery], parts: int, late: Column | None
+) -> str:
     table = ad.load(spark, sf_dir, "events")
     low, high = table.agg(F.min("event_id"), F.max("event_id")).first()
     part = F.floor((F.col("event_id") - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
     if late is not None:
         part = F.when(late, parts - 1).otherwise(part)
     work = _workspace(spark)
-
-    def run() -> None:
-        for i in range(parts):
-            table.where(part == i).write.parquet(f"{work}/in/p{i}")
-            raw = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").parquet(f"{work}/in")
-            stream = build(ad.shape_events(raw))
-            run_bounded(stream_to_table(stream, f"{work}/out", f"{work}/checkpoint"))
-            schemas.append(stream.schema)
-
-    schemas: list = []
-    _with_rocksdb(spark, run)
-    return spark.read.schema(schemas[-1]).parquet(f"{work}/out")
+    cores = spark.sparkContext.defaultParallelism
+    for i in range(parts):
+        # a part lies in few splits of the table; as many files as cores, so that reading them is spread
+        table.where(part == i).repartition(cores, "event_id").write.parquet(f"{work}/in/p{i}")
+        raw = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").parquet(f"{work}/in")
+        run_bounded(start(raw, work))
+    return work
 
 
 # Scales of the given detector; its bottleneck keeps the first sixteen of forty numbers and replaces the
@@ -155,9 +184,10 @@ def stream_late_windows(spark, sf_dir):
     """Window features with corrections; rows that come days late are counted, not lost."""
 
     def build(ev):
-        return stream_revisions(parse_kernel_events(ad.kernel_lines(ev)), "1 day", keep="5 days")
+        return parse_kernel_events(ad.kernel_lines(ev))
 
-    revisions = arrivals(spark, sf_dir, build, late=F.col("event_id") % 37 == 5)
+    step = revision_step("1 day", keep="5 days")
+    revisions = arrivals_in_steps(spark, sf_dir, build, step, REVISION_TABLES, late=F.col("event_id") % 37 == 5)
     both = latest_revisions(revisions, extra=("counted",)).join(dropped_rows(revisions), ["node", "window_start"], "full")
     numbers = [c for c in both.columns if c not in ("node", "window_start")]
     return both.select("node", F.unix_micros("window_start").alias("window_start"), *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
@@ -205,7 +235,7 @@ SELECT node, metric, tick, CASE WHEN tick - us1 <= 43200000000 THEN us1 END AS s
 @query(_TICKS_SQL)
 def stream_ticks(spark, sf_dir):
     """Counter rates over a trailing day and the latest values, every six hours, while samples arrive."""
-    found = arrivals(spark, sf_dir, lambda ev: stream_at_ticks(_wrapping(ev), _STEP_S, _DAY_S, _DAY_S / 2))
+    found = arrivals_in_steps(spark, sf_dir, _wrapping, tick_step(_STEP_S, _DAY_S, _DAY_S / 2), TICK_TABLES)
     cells = [F.round(c, 6).alias(c) for c in ("value", "rate")]
     return found.select("node", "metric", "tick", "sample_us", *cells)
 

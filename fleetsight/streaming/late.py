@@ -21,7 +21,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fleetsight.functions.scalars import is_mining_port, is_tmp_exec
 from fleetsight.operators.events import WINDOW
 from fleetsight.plans.grids import width_micros
+from fleetsight.plans.kept import settled
 from fleetsight.schemas import EVENT_COUNTS
+from fleetsight.streaming.steps import State, Step, watermarks
 
 # What a row adds to the counts of its window; the distinct count comes from ``binary``.
 _ADDED = [c for c in EVENT_COUNTS if c != "unique_process_count"]
@@ -77,13 +79,8 @@ class _RevisionProcessor(StatefulProcessor):
         pass
 
 
-def stream_revisions(
-    events: DataFrame, window: str = WINDOW, delay: str = "10 seconds", keep: str = "1 hour", ts: str = "ts"
-) -> DataFrame:
-    """Parsed events -> (node, window_start, counts, counted, revision, closed, dropped). ``counted``: rows
-    in the counts. A row with ``dropped`` > 0 has no counts, but tells how many rows came too late."""
-    spark = events.sparkSession
-    width, kept = spark.range(1).select(width_micros(window), width_micros(keep)).first()
+def _window_rows(events: DataFrame, window: str, ts: str) -> DataFrame:
+    """What each event adds to its window."""
     is_exec, is_connect = F.col("event_class") == "exec", F.col("event_class") == "connect"
     added = {
         "exec_count": is_exec,
@@ -91,14 +88,67 @@ def stream_revisions(
         "outbound_connect_count": is_connect,
         "mining_port_count": F.when(is_connect, F.size(F.filter("dports", is_mining_port))),
     }
-    # Only the stream's watermark is used, not its filter: that looks at columns of event time.
     start = F.unix_micros(F.window(ts, window)["start"])
-    rows = events.withWatermark(ts, delay).select(
+    return events.select(
         "node",
         start.alias("start_us"),
         F.when(is_exec, F.col("binary")).alias("binary"),
         *[F.coalesce(added[c].cast("long"), F.lit(0).cast("long")).alias(c) for c in _ADDED],
     )
+
+
+REVISION_TABLES = ("windows", "binaries", "clock")
+
+
+def revision_step(window: str = WINDOW, delay: str = "10 seconds", keep: str = "1 hour", ts: str = "ts") -> Step:
+    """As ``stream_revisions``, for ``stream_steps``: windows and their binaries are state tables, added to
+    by one aggregation of each micro-batch."""
+
+    def step(events: DataFrame, before: State) -> tuple[DataFrame, State]:
+        width, kept = events.sparkSession.range(1).select(width_micros(window), width_micros(keep)).first()
+        old, new, clock = watermarks(events.select(F.unix_micros(ts).alias("us")), before, delay)
+        key = ["node", "start_us"]
+        end_ms = F.floor((F.col("start_us") + width) / 1000)
+        rows = _window_rows(events.where(F.col(ts).isNotNull()), window, ts)
+        gone = end_ms + kept // 1000 <= old
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        # once per (window, binary), so that a busy window is combined in many tasks
+        live = rows.where(~gone).groupBy(*key, "binary").agg(*[F.sum(c).alias(c) for c in _ADDED], F.count(one).alias("counted"))
+        live = settled(live)
+        windows = live.select(*key, *_ADDED, "counted", none.alias("revision"), one.alias("touched"), none.alias("unique"))
+        named = live.where("binary IS NOT NULL").select(*key, "binary")
+        if before:
+            windows = windows.unionByName(before["windows"].select("*", none.alias("touched"), none.alias("unique")))
+            named = settled(named.union(before["binaries"]).distinct())
+        zeros = [none.alias(c) for c in (*_ADDED, "counted", "revision", "touched")]
+        unique = named.groupBy(*key).agg(F.count(one).alias("unique")).select(*key, *zeros, "unique")
+        sums = [F.sum(c).alias(c) for c in (*_ADDED, "counted")]
+        revised = windows.unionByName(unique).groupBy(*key).agg(
+            *sums, F.sum("unique").alias("unique_process_count"), (F.max("revision") + F.max("touched")).alias("revision"),
+            F.max("touched").alias("touched"),
+        )
+        revised = settled(revised)
+        start = F.timestamp_micros("start_us").alias("window_start")
+        cells = [*EVENT_COUNTS, "counted", "revision"]
+        out = revised.where("touched = 1").select("node", *cells, (end_ms <= old).alias("closed"), none.alias("dropped"), start)
+        lost = rows.where(gone).groupBy(*key).agg(F.count(one).alias("dropped"))
+        lost = lost.select("node", *[none.alias(c) for c in cells], F.lit(True).alias("closed"), "dropped", start)
+        held = end_ms + kept // 1000 > new
+        after = {"windows": revised.where(held).select(*key, *_ADDED, "counted", "revision"), "binaries": named.where(held), "clock": clock}
+        return out.unionByName(lost), after
+
+    return step
+
+
+def stream_revisions(
+    events: DataFrame, window: str = WINDOW, delay: str = "10 seconds", keep: str = "1 hour", ts: str = "ts"
+) -> DataFrame:
+    """Parsed events -> (node, window_start, counts, counted, revision, closed, dropped). ``counted``: rows
+    in the counts. A row with ``dropped`` > 0 has no counts, but tells how many rows came too late."""
+    spark = events.sparkSession
+    width, kept = spark.range(1).select(width_micros(window), width_micros(keep)).first()
+    # Only the stream's watermark is used, not its filter: that looks at columns of event time.
+    rows = _window_rows(events.withWatermark(ts, delay), window, ts)
     counts = ", ".join(f"{c} LONG" for c in (*EVENT_COUNTS, "counted", "revision"))
     revised = rows.groupBy("node", "start_us").transformWithStateInPandas(
         statefulProcessor=_RevisionProcessor(width, kept // 1000),

@@ -20,12 +20,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetsight.plans.grids import BLOCK
+from fleetsight.plans.kept import settled
 from fleetsight.streaming.chain import COUNTERS
+from fleetsight.streaming.steps import State, Step, watermarks
 
 _MICROS = 1_000_000
 
@@ -136,6 +138,90 @@ class _TickProcessor(StatefulProcessor):
         pass
 
 
+TICK_TABLES = ("cells", "series", "clock")
+
+
+def tick_step(
+    step_s: int,
+    range_s: float,
+    lookback_s: float | None = None,
+    counters: Sequence[str] = COUNTERS,
+    delay: str = "10 seconds",
+    ts: str = "ts",
+) -> Step:
+    """As ``stream_at_ticks``, for ``stream_steps``: the samples of the range and the next tick of each
+    series are state tables. A series' rows are laid out and ordered once; each sample is written to the
+    ticks whose range holds it, about range / step, and these are combined where they are."""
+    if step_s <= 0 or range_s <= 0:
+        raise ValueError("step and range must be positive")
+    step_us, range_us = int(step_s) * _MICROS, int(range_s * _MICROS)
+    lookback_us = int((range_s if lookback_s is None else lookback_s) * _MICROS)
+    keep_us = max(range_us, lookback_us)
+    key = ["node", "metric"]
+
+    def step(samples: DataFrame, before: State) -> tuple[DataFrame, State]:
+        known = samples.dropna(subset=["node", "metric", ts, "value"])
+        points = known.select(*key, F.unix_micros(ts).alias("us"), F.col("value").cast("double").alias("value"))
+        _, mark, clock = watermarks(points.select("us"), before, delay)
+        passed = mark * 1000 // step_us
+        up = F.col("us") + F.pmod(-F.col("us"), F.lit(step_us))
+        rows = points.withColumns({"cell": F.floor(up / step_us).cast("long"), "new": F.lit(True)})
+        if before:
+            rows = rows.unionByName(before["cells"].withColumn("new", F.lit(False)))
+            rows = rows.unionByName(before["series"], allowMissingColumns=True)
+        else:
+            rows = rows.withColumns({"next": F.lit(None).cast("long"), "late": F.lit(0).cast("long")})
+        whole, ordered = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("us", "value")
+        fresh = F.coalesce("new", F.lit(False))
+        rows = rows.withColumn("_next", F.max("next").over(whole))
+        behind = F.when(fresh & (F.col("cell") < F.col("_next")), 1).otherwise(0) + F.coalesce("late", F.lit(0))
+        grown = F.col("value") - F.col("_before")
+        grown = F.when(F.col("_before").isNull(), 0.0).when(grown < 0, F.col("value")).otherwise(grown)  # a reset counts from zero
+        rows = rows.withColumns(
+            {
+                "_late": F.sum(behind).over(whole),
+                "_next": F.coalesce("_next", F.min(F.when(fresh, F.col("cell"))).over(whole)),
+                "_least": F.min("cell").over(whole),
+                "_before": F.lag("value").over(ordered),
+            }
+        ).withColumn("_grown", F.sum(grown).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        due = F.when(F.col("_late") > 0, F.col("_next")).otherwise(F.greatest("_next", "_least"))
+        rows = rows.withColumn("_fires", F.coalesce(due <= passed, F.lit(False)))
+        rows = settled(rows.select(*key, "us", "value", "cell", "_next", "_late", "_grown", "_fires"))
+
+        is_sample = F.col("us").isNotNull()
+        first = F.greatest("cell", "_next")
+        last = F.least(F.floor((F.col("us") + keep_us) / step_us), F.lit(passed))
+        sampled = rows.where(is_sample & F.col("_fires")).where(first <= last)
+        sampled = sampled.withColumns({"_first": first, "_steps": last - first})
+        blocks = sampled.withColumn("_block", F.explode(F.expr(f"sequence(0L, _steps, {BLOCK}L)")))
+        steps = blocks.withColumn("_i", F.explode(F.expr(f"sequence(_block, least(_block + {BLOCK - 1}, _steps))")))
+        tick = ((F.col("_first") + F.col("_i")) * step_us).alias("tick")
+        seen = steps.select(*key, tick, "us", "value", "_grown", F.lit(0).cast("long").alias("late"))
+        told = rows.where(F.col("_fires") & (F.col("_late") > 0)).groupBy(*key, (F.col("_next") * step_us).alias("tick"))
+        told = told.agg(F.max("_late").alias("late"))
+        point = F.struct("us", "_grown")
+        ticks = seen.unionByName(told, allowMissingColumns=True).groupBy(*key, "tick").agg(
+            F.min(F.when(F.col("us") >= F.col("tick") - range_us, point)).alias("_a"),
+            F.max(F.when(F.col("us").isNotNull(), F.struct("us", "value", "_grown"))).alias("_b"),
+            F.max("late").alias("late"),
+        )
+        known_value = F.col("_b.us") >= F.col("tick") - lookback_us
+        span = F.col("_b.us") - F.col("_a.us")
+        rate = F.when(F.col("metric").isin(*counters) & (span > 0), (F.col("_b._grown") - F.col("_a._grown")) / (span / _MICROS))
+        out = ticks.select(
+            *key, "tick", F.when(known_value, F.col("_b.us")).alias("sample_us"), F.when(known_value, F.col("_b.value")).alias("value"),
+            rate.alias("rate"), "late",
+        )
+
+        after = F.when(F.col("_fires"), F.greatest("_next", F.lit(passed + 1))).otherwise(F.col("_next"))
+        held = rows.where(is_sample & (~F.col("_fires") | (F.col("cell") * step_us >= after * step_us - keep_us)))
+        series = rows.groupBy(*key).agg(F.max(after).alias("next"), F.max(F.when(~F.col("_fires"), F.col("_late")).otherwise(0)).alias("late"))
+        return out, {"cells": held.select(*key, "us", "value", "cell"), "series": series, "clock": clock}
+
+    return step
+
+
 def stream_at_ticks(
     samples: DataFrame,
     step_s: int,
