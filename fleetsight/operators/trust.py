@@ -149,10 +149,13 @@ def hysteresis_rows(
     low: float = CORDON_BELOW,
     high: float = UNCORDON_ABOVE,
     auto_remediate: bool | str = True,
+    prior: str | None = None,
 ) -> OrderedRows:
+    """``prior`` names a column with the flag of each key before its first row (null: not set)."""
     score = F.col("score")
     lo, hi = hold_unless(score < low, _auto(auto_remediate) & (score > high))
-    scanned = rows.scan(Clamp("_cordon", F.lit(0.0), lo, hi, 0.0))
+    init = 0.0 if prior is None else F.coalesce(F.col(prior).cast("double"), F.lit(0.0))
+    scanned = rows.scan(Clamp("_cordon", F.lit(0.0), lo, hi, init))
     flag, before = F.col("_cordon") == 1.0, F.col("prev__cordon") == 1.0
     return scanned.with_columns(
         cordoned=flag,

@@ -14,8 +14,7 @@ from fleetsight.operators import reconstruct as rec
 from fleetsight.registry.base import CLAMPED, COUNT_NAMES, KERNEL, TRANSITIONS, E, features_sql, query
 from fleetsight.registry.models import _with_rocksdb, _workspace
 from fleetsight.sources.lines import parse_kernel_events
-from fleetsight.streaming.chain import stream_aligned, stream_rates
-from fleetsight.streaming.chain import stream_detect_v2 as detect_v2_of_stream
+from fleetsight.streaming.chain import ALIGN_TABLES, RATE_TABLES, TRUST_TABLES, align_step, detect_v2_step, rate_step
 from fleetsight.streaming.labels import labeled_rows, stream_labels
 from fleetsight.streaming.late import REVISION_TABLES, dropped_rows, latest_revisions, revision_step
 from fleetsight.streaming.run import run_bounded, stream_to_table
@@ -129,7 +128,7 @@ SELECT node, metric, us, round(x, 6) AS value FROM (
 @query(_RATES_SQL)
 def stream_instant_rate(spark, sf_dir):
     """Counters as rates while samples arrive; gauges as they are."""
-    found = arrivals(spark, sf_dir, lambda ev: stream_rates(ad.chain_samples(ev), _RANGE_S))
+    found = arrivals_in_steps(spark, sf_dir, ad.chain_samples, rate_step(_RANGE_S), RATE_TABLES)
     return found.withColumn("value", F.round("value", 6))
 
 
@@ -143,7 +142,7 @@ SELECT node, (day + 1) * {_DAY_S * 1_000_000} AS tick, step::INTEGER AS step, ro
 )
 def stream_align_last_n(spark, sf_dir):
     """The last ten points of four metrics side by side at each day's end, while samples arrive."""
-    found = arrivals(spark, sf_dir, lambda ev: stream_aligned(stream_rates(ad.chain_samples(ev), _RANGE_S), step_s=_DAY_S))
+    found = arrivals_in_steps(spark, sf_dir, ad.chain_samples, align_step(_RANGE_S, step_s=_DAY_S), RATE_TABLES + ALIGN_TABLES)
     step = found.select("node", "tick", "flat", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("step"))
     cells = [F.round(F.col("flat")[F.col("step") * 4 + i], 6).alias(m) for i, m in enumerate(_SCALES)]
     return step.select("node", "tick", "step", *cells)
@@ -156,10 +155,9 @@ def stream_detect_v2(spark, sf_dir):
     scales = [F.lit(x).alias(f"{m}_{end}") for m, top in _SCALES.items() for end, x in (("min", 0.0), ("max", top))]
     scaler = spark.range(1).select(*scales)
 
-    def build(ev):
-        return detect_v2_of_stream(ad.chain_samples(ev), scaler, model, _LIMIT, _RANGE_S, _DAY_S)
-
-    return arrivals(spark, sf_dir, build).withColumn("loss", F.round("loss", 6))
+    step = detect_v2_step(scaler, model, _LIMIT, _RANGE_S, _DAY_S)
+    found = arrivals_in_steps(spark, sf_dir, ad.chain_samples, step, RATE_TABLES + ALIGN_TABLES + TRUST_TABLES)
+    return found.withColumn("loss", F.round("loss", 6))
 
 
 _LATE_KEPT = "kept AS (SELECT p.* FROM parsed p JOIN arrived a USING (event_id) WHERE NOT too_late)"

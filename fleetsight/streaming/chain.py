@@ -19,15 +19,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetsight.jobs.detect import scaled_samples
 from fleetsight.operators.predicates import classify, exclude_nodes
 from fleetsight.operators.reconstruct import Reconstruction
-from fleetsight.operators.trust import CORDON_BELOW, UNCORDON_ABOVE, V2, TrustPolicy
+from fleetsight.operators.timeseries import instant_rate
+from fleetsight.operators.trust import CORDON_BELOW, UNCORDON_ABOVE, V2, TrustPolicy, hysteresis_rows, latest_state, trust_rows
+from fleetsight.plans.kept import settled
 from fleetsight.schemas import FEATURES_V2
+from fleetsight.streaming.steps import State, Step
 
 _MICROS = 1_000_000
 COUNTERS = ("net_in", "net_out")
@@ -213,3 +216,134 @@ def stream_detect_v2(
     aligned = stream_aligned(scaled_samples(rates, scaler, metrics), metrics, length, step_s)
     losses = aligned.select("node", "tick", model.loss_column(F.col("flat")).alias("loss"))
     return stream_cordon(classify(losses, "loss", threshold, "high"), **cordon)
+
+
+# The same chain for ``stream_steps``: each operator's state is a table, its work one batch plan.
+
+RATE_TABLES = ("last",)
+ALIGN_TABLES = ("rings", "open")
+TRUST_TABLES = ("trust",)
+
+
+def _rates(points: DataFrame, before: State, range_s: float, counters: Sequence[str]) -> tuple[DataFrame, State]:
+    """Points (node, metric, us, value), counters as rates to the sample before, and the last sample of each
+    counter. A sample behind the last one does not take its place."""
+    key = ["node", "metric"]
+    of_counters = points.where(F.col("metric").isin(*counters)).withColumn("new", F.lit(True))
+    if before:
+        of_counters = of_counters.unionByName(before["last"].withColumn("new", F.lit(False)))
+    timed = of_counters.withColumn("ts", F.timestamp_micros("us"))
+    rates = instant_rate(timed, range_s, key).where("new AND rate IS NOT NULL").select(*key, "us", F.col("rate").alias("value"))
+    gauges = points.where(~F.col("metric").isin(*counters))
+    return gauges.unionByName(rates), {"last": latest_state(of_counters.drop("new"), key, ("us", "value"))}
+
+
+def _aligned(
+    points: DataFrame, before: State, metrics: Sequence[str], length: int, step_us: int, max_age_us: int | None
+) -> tuple[DataFrame, State]:
+    """(node, tick, flat) of the ticks closed by these points. State: the last points of each series and
+    each node's open tick. Samples of one tick are cut to the last ``length`` before they are gathered."""
+    points = points.select("node", "metric", "us", "value", F.floor(F.col("us") / step_us).cast("long").alias("bucket"))
+    if before:
+        # a late sample counts in the open tick
+        points = points.join(before["open"], "node", "left").withColumn("bucket", F.greatest("bucket", "now")).drop("now")
+        points = points.unionByName(before["rings"])
+    series = Window.partitionBy("node", "metric")
+    place = F.row_number().over(Window.partitionBy("node", "metric", "bucket").orderBy(F.desc("us"), F.desc("value")))
+    last = points.withColumn("_place", place).where(F.col("_place") <= length)
+    cells = last.groupBy("node", "metric", "bucket").agg(F.collect_list(F.struct("us", "value")).alias("cell"))
+    # every cell has a point, and those of later cells are later, so ``length`` cells are enough
+    near = F.collect_list("cell").over(series.orderBy("bucket").rowsBetween(1 - length, 0))
+    ring = F.sort_array(F.flatten(near), asc=False)
+    cells = cells.select("node", "metric", "bucket", F.reverse(F.slice(ring, 1, length)).alias("ring"))
+    by_metric = [F.max(F.when(F.col("metric") == m, F.struct("ring")))["ring"].alias(m) for m in metrics]
+    ticks = cells.groupBy("node", "bucket").agg(*by_metric)
+    along = Window.partitionBy("node").orderBy("bucket")
+    so_far = [F.last(m, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias(m) for m in metrics]
+    ticks = settled(ticks.select("node", "bucket", *so_far, F.lead("bucket").over(along).isNull().alias("open")))
+    end = (F.col("bucket") + 1) * step_us
+    full = F.lit(True)
+    for m in metrics:
+        full = full & (F.coalesce(F.size(m), F.lit(0)) == length)
+        if max_age_us is not None:
+            full = full & (F.get(m, F.lit(0))["us"] >= end - max_age_us)
+    flat = F.array(*[F.get(m, F.lit(i))["value"] for i in range(length) for m in metrics])
+    closed = ticks.where(~F.col("open")).where(full).select("node", end.alias("tick"), flat.alias("flat"))
+    now = ticks.where("open")
+    named = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("ring")) for m in metrics])
+    rings = now.select("node", "bucket", F.inline(named)).select("node", "metric", "bucket", F.explode("ring").alias("p"))
+    rings = rings.select("node", "metric", "p.us", "p.value", "bucket")
+    return closed, {"rings": rings, "open": now.select("node", F.col("bucket").alias("now"))}
+
+
+def _cordoned(
+    verdicts: DataFrame, before: State, policy: TrustPolicy = V2, low: float = CORDON_BELOW, high: float = UNCORDON_ABOVE,
+    auto_remediate: bool = True,
+) -> tuple[DataFrame, State]:
+    """Trust and cordon flag of each node along its ticks, going on from its last ones."""
+    rows = verdicts.select("node", "tick", "loss", "status", (F.col("status") == "Anomaly").alias("is_anomaly"))
+    rows = rows.withColumns({"_score": F.lit(None).cast("double"), "_flag": F.lit(None).cast("boolean")})
+    if before:
+        prior = before["trust"].select("node", F.col("score").alias("_score"), F.col("cordoned").alias("_flag"))
+        rows = rows.drop("_score", "_flag").join(prior, "node", "left")
+    traced = trust_rows(rows, policy, order=("tick",), prior_score="_score")
+    out = hysteresis_rows(traced, low, high, auto_remediate, prior="_flag").result()
+    out = settled(out.select("node", "tick", "loss", "status", "score", "cordoned", "action"))
+    state = out.select("node", "tick", "score", "cordoned")
+    if before:
+        state = state.unionByName(before["trust"])
+    return out, {"trust": latest_state(state, order=("tick",))}
+
+
+def _points(samples: DataFrame) -> DataFrame:
+    known = samples.dropna(subset=["node", "metric", "ts", "value"])
+    return known.select("node", "metric", F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
+
+
+def rate_step(range_s: float, counters: Sequence[str] = COUNTERS) -> Step:
+    """As ``stream_rates``, of samples (node, metric, ts, value)."""
+    return lambda samples, before: _rates(_points(samples), before, range_s, counters)
+
+
+def align_step(
+    range_s: float,
+    metrics: Sequence[str] = FEATURES_V2,
+    length: int = 10,
+    step_s: int = 10,
+    max_age_s: float | None = None,
+    counters: Sequence[str] = COUNTERS,
+) -> Step:
+    """As ``stream_aligned`` over ``stream_rates``. Late samples take their place by time among the last ones."""
+    age = None if max_age_s is None else int(max_age_s * _MICROS)
+
+    def step(samples: DataFrame, before: State) -> tuple[DataFrame, State]:
+        rates, last = _rates(_points(samples.where(F.col("metric").isin(*metrics))), before, range_s, counters)
+        aligned, rings = _aligned(rates, before, metrics, length, step_s * _MICROS, age)
+        return aligned, last | rings
+
+    return step
+
+
+def detect_v2_step(
+    scaler: DataFrame,
+    model: Reconstruction,
+    threshold: float,
+    range_s: float = 60.0,
+    step_s: int = 10,
+    length: int = 10,
+    metrics: Sequence[str] = FEATURES_V2,
+    counters: Sequence[str] = COUNTERS,
+    **cordon,
+) -> Step:
+    """As ``stream_detect_v2``."""
+
+    def step(samples: DataFrame, before: State) -> tuple[DataFrame, State]:
+        wanted = exclude_nodes(samples, node="node").where(F.col("metric").isin(*metrics))
+        rates, last = _rates(_points(wanted), before, range_s, counters)
+        scaled = scaled_samples(rates, scaler, metrics)
+        aligned, rings = _aligned(scaled, before, metrics, length, step_s * _MICROS, None)
+        losses = aligned.select("node", "tick", model.loss_column(F.col("flat")).alias("loss"))
+        out, trust = _cordoned(classify(losses, "loss", threshold, "high"), before, **cordon)
+        return out, last | rings | trust
+
+    return step

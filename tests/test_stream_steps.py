@@ -1,11 +1,14 @@
 """Streams worked on by batch operators over state tables give what the keyed processors give."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fleetsight import adapters as ad
+from fleetsight.operators.reconstruct import Reconstruction
 from fleetsight.registry import streams
 from fleetsight.sources.lines import parse_kernel_events
+from fleetsight.streaming.chain import ALIGN_TABLES, RATE_TABLES, TRUST_TABLES, detect_v2_step, stream_detect_v2
 from fleetsight.streaming.late import REVISION_TABLES, revision_step, stream_revisions
 from fleetsight.streaming.ticks import TICK_TABLES, stream_at_ticks, tick_step
 
@@ -38,3 +41,14 @@ def test_ticks_by_steps(spark, lookback):
     rounded = [F.round(c, 6).alias(c) for c in ("value", "rate")]
     _same(keyed, steps, ["node", "metric", "tick", "sample_us", *rounded, "late"])
     assert steps.agg(F.sum("late")).first()[0] > 0
+
+
+def test_chain_by_steps(spark):
+    """Rates, alignment, losses, trust and cordon flags over three runs of one checkpoint."""
+    model = Reconstruction(np.full(40, 0.5), np.eye(40)[:, :16])
+    scales = [F.lit(x).alias(f"{m}_{end}") for m, top in streams._SCALES.items() for end, x in (("min", 0.0), ("max", top))]
+    args = (spark.range(1).select(*scales), model, streams._LIMIT, streams._RANGE_S, DAY)
+    keyed = streams.arrivals(spark, SF, lambda ev: stream_detect_v2(ad.chain_samples(ev), *args))
+    tables = RATE_TABLES + ALIGN_TABLES + TRUST_TABLES
+    steps = streams.arrivals_in_steps(spark, SF, ad.chain_samples, detect_v2_step(*args), tables)
+    _same(keyed, steps, [F.round("loss", 6), *[c for c in keyed.columns if c != "loss"]])
