@@ -29,8 +29,8 @@ from fleetsight.streaming.features import complete_dense, in_open_windows
 from fleetsight.streaming.features import stream_event_features as features_of_stream
 from fleetsight.streaming.features import stream_kind_counts as kinds_of_stream
 from fleetsight.streaming.run import run_bounded, stream_to_table
-from fleetsight.streaming.stateful import ROCKSDB, STATE_STORE_CONF, stream_sequence_scores
-from fleetsight.streaming.stateful import stream_densify as densify_stream
+from fleetsight.streaming.stateful import DENSE_TABLES, ROCKSDB, STATE_STORE_CONF, dense_step, stream_sequence_scores
+from fleetsight.streaming.steps import stream_steps
 from fleetsight.streaming.trust import stream_detect_v1
 from fleetsight.streaming.trust import stream_trust as trust_of_stream
 
@@ -330,8 +330,11 @@ SELECT node, epoch_us(w) AS window_start, {COUNT_NAMES} FROM dense"""
 )
 def stream_densify(spark, sf_dir):
     kernel = parse_kernel_events(ad.kernel_lines(_event_stream(spark, sf_dir)))
-    dense = densify_stream(features_of_stream(kernel, "1 day"), 86_400)
-    closed = _with_rocksdb(spark, lambda: _run_to_frame(spark, dense))
+    work = _workspace(spark)
+    features = features_of_stream(kernel, "1 day")
+    run = lambda: run_bounded(stream_steps(features, dense_step(86_400), DENSE_TABLES, work, f"{work}/checkpoint"))
+    _with_rocksdb(spark, run)
+    closed = spark.read.parquet(f"{work}/out").drop("batch")
     stored = parse_kernel_events(ad.kernel_lines(ad.events(spark, sf_dir)))
     still_open = features_of_stream(in_open_windows(stored, "1 day"), "1 day")
     out = complete_dense(closed, still_open, "1 day")

@@ -15,12 +15,13 @@ from fleetsight.registry.base import CLAMPED, COUNT_NAMES, KERNEL, TRANSITIONS,
 from fleetsight.registry.models import _with_rocksdb, _workspace
 from fleetsight.sources.lines import parse_kernel_events
 from fleetsight.streaming.chain import ALIGN_TABLES, RATE_TABLES, TRUST_TABLES, align_step, detect_v2_step, rate_step
-from fleetsight.streaming.labels import labeled_rows, stream_labels
+from fleetsight.streaming.labels import LABEL_TABLES, label_input, label_step, labeled_rows
 from fleetsight.streaming.late import REVISION_TABLES, dropped_rows, latest_revisions, revision_step
 from fleetsight.streaming.run import run_bounded, stream_to_table
-from fleetsight.streaming.sliced import stream_trust_sliced as trust_in_slices
 from fleetsight.streaming.steps import Step, stream_steps
 from fleetsight.streaming.ticks import TICK_TABLES, tick_step
+from fleetsight.streaming.trust import TRUST_TABLES as TRUST_STATE
+from fleetsight.streaming.trust import trust_step
 
 PARTS = 3
 
@@ -191,6 +192,7 @@ def stream_late_windows(spark, sf_dir):
     return both.select("node", F.unix_micros("window_start").alias("window_start"), *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
 
 
+_BUSY_ROWS = 200_000  # rows of a node from which it is cut
 _BUSY = "CASE WHEN event_id % 10 <> 0 THEN 'node-busy' ELSE 'node-' || user_id END AS node"
 
 
@@ -199,10 +201,10 @@ def stream_trust_sliced(spark, sf_dir):
     """Trust where one node has nine tenths of the rows."""
 
     def build(ev):
-        records = ad.records(ad.busy_node(ev)).select("node", "ts", "event_id", "is_anomaly", "tampered")
-        return trust_in_slices(records, order=("ts", "event_id"), slice_s=_DAY_S)
+        return ad.records(ad.busy_node(ev)).select("node", "ts", "event_id", "is_anomaly", "tampered")
 
-    return arrivals(spark, sf_dir, build).select("node", "event_id", "score", "status", "action")
+    step = trust_step(order=("ts", "event_id"), rows_per_chunk=_BUSY_ROWS)
+    return arrivals_in_steps(spark, sf_dir, build, step, TRUST_STATE).select("node", "event_id", "score", "status", "action")
 
 
 _STEP_S, _WRAP = 21_600, 5_000
@@ -262,6 +264,7 @@ def stream_window_labels(spark, sf_dir):
 
     def build(ev):
         rows = ev.select("event_id", "node", F.unix_timestamp("ts").alias("epoch"))
-        return stream_labels(rows, _announced(ev), f"{_LABEL_DELAY_S} seconds", _CELL_S)
+        return label_input(rows, _announced(ev))
 
-    return labeled_rows(arrivals(spark, sf_dir, build)).select("event_id", "node", "label")
+    step = label_step(f"{_LABEL_DELAY_S} seconds", _CELL_S)
+    return labeled_rows(arrivals_in_steps(spark, sf_dir, build, step, LABEL_TABLES)).select("event_id", "node", "label")

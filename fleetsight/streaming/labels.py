@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fleetsight.operators.labeling import DEFAULT_LABEL, END_PAD, START_PAD
+from fleetsight.operators.labeling import DEFAULT_LABEL, END_PAD, START_PAD, label_by_windows
 from fleetsight.plans.grids import BLOCK
+from fleetsight.streaming.steps import State, Step, watermarks
 
 # Held rows are JSON text, whatever their columns.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -163,6 +164,64 @@ def stream_labels(
     return closed.unionByName(untimed).withColumn("row", F.from_json("row", schema, _JSON))
 
 
+LABEL_TABLES = ("rows", "windows", "clock")
+
+
+def label_input(
+    rows: DataFrame, windows: DataFrame, start_pad: int = START_PAD, end_pad: int = END_PAD, epoch: str | Column = "epoch"
+) -> DataFrame:
+    """The two streams as one (row, epoch, window), as ``label_step`` takes them."""
+    moment = (F.col(epoch) if isinstance(epoch, str) else epoch).cast("bigint")
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), moment.alias("epoch"))
+    s, e = ((F.col(c) + pad).cast("long") for c, pad in (("start_time", start_pad), ("end_time", end_pad)))
+    padded = windows.select(
+        F.struct(s.alias("start_time"), e.alias("end_time"), F.col("label").cast("string").alias("label"), F.col("pos").cast("long").alias("pos")).alias("window")
+    ).where("window.start_time <= window.end_time AND window.pos IS NOT NULL")
+    none = F.lit(None)
+    held = held.withColumn("window", none.cast(padded.schema["window"].dataType))
+    return held.unionByName(padded.select(none.cast(held.schema["row"].dataType).alias("row"), none.cast("long").alias("epoch"), "window"))
+
+
+def label_step(delay: str, cell_s: int = 3600, default: str = DEFAULT_LABEL) -> Step:
+    """As ``stream_labels``, for ``stream_steps`` over ``label_input``: rows of open cells and the windows that
+    may still hold some are state tables, and closed cells are labeled by ``label_by_windows``."""
+    if cell_s <= 0:
+        raise ValueError("cell_s must be positive")
+
+    def step(batch: DataFrame, before: State) -> tuple[DataFrame, State]:
+        moment = F.coalesce("epoch", "window.start_time") * 1_000_000
+        old, new, clock = watermarks(batch.select(moment.alias("us")), before, delay)
+        no, none = F.lit(False), F.lit(None)
+
+        def cell(time: Column) -> Column:
+            return F.floor(time / cell_s).cast("long")
+
+        def out(rows: DataFrame, label: Column, late: Column, pos: Column = none, at: Column = none) -> DataFrame:
+            return rows.select(
+                "row", label.cast("string").alias("label"), late.alias("late"), pos.cast("long").alias("window_pos"),
+                at.cast("long").alias("window_cell"),
+            )
+
+        end_ms = (cell(F.col("epoch")) + 1) * (cell_s * 1000)
+        rows = batch.where("row IS NOT NULL").select("row", "epoch")
+        spans = batch.where("window IS NOT NULL")
+        untimed = out(rows.where("epoch IS NULL"), F.lit(default), no)
+        behind = out(rows.where(end_ms <= old), none, F.lit(True))
+        first, last = cell(F.col("window.start_time")), F.least(cell(F.col("window.end_time")), F.lit(old // (cell_s * 1000) - 1))
+        missed = spans.where(first <= last).withColumn("cell", F.explode(F.sequence(first, last)))
+        told = out(missed, F.col("window.label"), F.lit(True), F.col("window.pos"), F.col("cell"))
+
+        live, windows = rows.where(end_ms > old), spans.select("window.*")
+        if before:
+            live, windows = live.unionByName(before["rows"]), windows.unionByName(before["windows"])
+        closed = label_by_windows(live.where(end_ms <= new), windows, 0, 0, default=default)
+        found = out(closed, F.col("label"), no).unionByName(behind).unionByName(told).unionByName(untimed)
+        needed = windows.where((cell(F.col("end_time")) + 1) * (cell_s * 1000) > new)
+        return found, {"rows": live.where(end_ms > new), "windows": needed, "clock": clock}
+
+    return step
+
+
 def labeled_rows(found: DataFrame) -> DataFrame:
     """The rows with their labels; those that came behind their closed cell have none."""
     return found.where(F.col("window_pos").isNull()).select("row.*", "label", "late")

@@ -17,9 +17,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetsight.operators.reconstruct import Reconstruction
 from fleetsight.operators.trust import V1, TrustPolicy, status_transitions
-from fleetsight.plans.grids import BLOCK
+from fleetsight.plans.grids import BLOCK, explode_steps
+from fleetsight.plans.kept import settled
 from fleetsight.plans.ordered import compose_prefixes
 from fleetsight.schemas import EVENT_COUNTS
+from fleetsight.streaming.steps import State, Step, watermarks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
@@ -183,6 +185,42 @@ def stream_densify(
     )
 
 
+DENSE_TABLES = ("last", "clock")
+
+
+def dense_step(window_seconds: int, counts: Sequence[str] = EVENT_COUNTS) -> Step:
+    """As ``stream_densify``, for ``stream_steps``. What closed windows tell of the watermark counts: a node's
+    zero rows go up to the end of the latest window that any node closed."""
+    width = window_seconds * 1_000_000
+
+    def step(features: DataFrame, before: State) -> tuple[DataFrame, State]:
+        rows = features.select("node", F.unix_micros("window_start").alias("us"), *counts)
+        _, mark, clock = watermarks(rows.select((F.col("us") + width).alias("us")), before, "0 seconds")
+        rows = rows.withColumn("last", F.lit(None).cast("long"))
+        last = rows.select("node", "us").where("false")
+        if before:
+            last = before["last"]
+            rows = rows.drop("last").join(last.select("node", F.col("us").alias("last")), "node", "left")
+        known = F.col("last").isNotNull() & (F.col("us") <= F.col("last"))
+        late, fresh = rows.where(known), rows.where(~known)
+        # the first window of each node that is not out yet, and the last one that is closed
+        begins = last.select("node", (F.col("us") + width).alias("begin"), F.lit(0).alias("_n"))
+        begins = begins.unionByName(fresh.select("node", F.col("us").alias("begin"), F.lit(1).alias("_n")))
+        nodes = begins.groupBy("node").agg(F.min_by("begin", F.struct("_n", "begin")).alias("begin"))
+        count = F.greatest(F.floor((F.lit(mark * 1000) - F.col("begin")) / width), F.lit(0)).cast("long")
+        nodes = settled(nodes.withColumn("end", F.col("begin") + (count - 1) * width))
+        grid = nodes.select("node", F.timestamp_micros("begin").alias("begin"), F.timestamp_micros("end").alias("end"))
+        grid = explode_steps(grid, "begin", "end", F.lit(width), "window_start")
+        zeros = grid.select("node", F.unix_micros("window_start").alias("us"), *[F.lit(0).cast("long").alias(c) for c in counts])
+        dense = fresh.select("node", "us", *counts).unionByName(zeros).groupBy("node", "us").agg(*[F.sum(c).alias(c) for c in counts])
+        start = F.timestamp_micros("us").alias("window_start")
+        both = dense.select("node", start, *counts, F.lit(False).alias("late"))
+        both = both.unionByName(late.select("node", start, *counts, F.lit(True).alias("late")))
+        return both, {"last": nodes.select("node", F.col("end").alias("us")), "clock": clock}
+
+    return step
+
+
 class _SequenceProcessor(StatefulProcessor):
     """Ring of the last n feature rows per node; one score per new row once the ring is full."""
 

@@ -21,8 +21,9 @@ from fleetsight.operators.trust import (
     status_transitions,
     trust_scores,
 )
-from fleetsight.plans.kept import kept
+from fleetsight.plans.kept import kept, settled
 from fleetsight.sinks.tables import publish_state, state_before
+from fleetsight.streaming.steps import State, Step
 
 
 def trust_batch(
@@ -48,6 +49,24 @@ def trust_batch(
     return status_transitions(traced.drop("_prior_score", "_prior_compromised"), "tampered")
 
 
+TRUST_TABLES = ("trust",)
+
+
+def trust_step(policy: TrustPolicy = V1, order: Sequence[str] = ("ts",), rows_per_chunk: int | None = None) -> Step:
+    """Trust trace for ``stream_steps``; the state is the last row of each node. Nodes with more than
+    ``rows_per_chunk`` rows in a micro-batch are cut in time and worked on by many tasks."""
+
+    def step(records: DataFrame, before: State) -> tuple[DataFrame, State]:
+        traced = settled(trust_batch(records, before.get("trust"), policy, order, rows_per_chunk))
+        last = latest_state(traced, order=order, cols=[*order, "score", "status"])
+        if before:
+            unheard = before["trust"].join(last.select("node"), "node", "left_anti")
+            last = last.unionByName(unheard)
+        return traced, {"trust": last}
+
+    return step
+
+
 def stream_trust(
     records: DataFrame,
     root: str,
