@@ -29,9 +29,7 @@ from __future__ import annotations
 import base64
 import json
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +44,9 @@ from fleetsight.llm.text import text_slices
 WINDOW, END_ID = 1024, 0
 SHARD_TAILS = 1_024
 K1, B = 1.2, 0.75
-# Text handled at once, and what a task remembers of encoded segments.
-SLICE_BYTES = 4_000_000
-CACHE, CACHED_BYTES = 400_000, 100
+# Text handled at once.
+SLICE_BYTES = 8_000_000
 
-_LATIN = re.compile(rb"(?:[\x00-\x7F]|[\xC2\xC3][\x80-\xBF])*")
 _WHITE_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
 
@@ -67,6 +63,16 @@ def segment_starts(data: np.ndarray) -> np.ndarray:
     return at[good & ~(beyond & near)]
 
 
+def _inner(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Segments that begin and end as those between two of ``segment_starts`` do."""
+    padded = np.concatenate([np.zeros(3, dtype=np.uint8), data, np.zeros(2, dtype=np.uint8)])
+    head, tail = bounds[:-1] + 3, bounds[1:] + 2
+    after, before = padded[head + 1], padded[tail]
+    near = (padded[tail - 1] == 0xC2) | _WHITE_LEADS[padded[tail - 2]]
+    good = (padded[head] == 0x20) & (after > 0x20) & ~_WHITE_LEADS[after] & (before > 0x20)
+    return good & (tail > head) & ~((before >= 0x80) & near)
+
+
 class ByteBPE:
     """A byte-level vocabulary file of ``tokenizers``, and perhaps the same vocabulary as a file of ranks
     with its pattern. Loaded where it is used; only paths travel."""
@@ -90,7 +96,6 @@ class ByteBPE:
             and not any(" " in t for t in special)
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in made.get("added_tokens", []))
         )
-        self.cache: dict[bytes, bytes] = {}
         self.special = [t.encode() for t in special]
         self.ranked = None
         if ranks is not None and self.separable:
@@ -99,21 +104,46 @@ class ByteBPE:
             with open(ranks[0], "rb") as f:
                 merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.ranked = tiktoken.Encoding("ranks", pat_str=ranks[1], mergeable_ranks=merges, special_tokens={})
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
+            self.lengths = np.zeros(max(merges.values()) + 1, dtype=np.int64)
+            self.lengths[list(merges.values())] = [len(token) for token in merges]
+
+    def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some segments, and where each one's begin and how many they are. Segments that begin
+        and end as those inside a text do stand side by side in one call, and are told apart by the bytes
+        that each id stands for."""
+        n = len(bounds) - 1
+        begin, size = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        parts: list[np.ndarray] = []
+        done, held = np.zeros(n, dtype=bool), 0
         if self.ranked is not None:
-            encode = self.ranked.encode_ordinary
-            whole = b" ".join(texts)
-            special = [x for x in self.special if x in whole]
-            for i, t in enumerate(texts):
-                if (t.isascii() or _LATIN.fullmatch(t)) and not (special and any(x in t for x in special)):
-                    out[i] = array("I", encode(t.decode())).tobytes()
-        rest = [i for i, x in enumerate(out) if x is None]
-        found = self.model.encode_batch([texts[i].decode() for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, found):
-            out[i] = array("I", e.ids).tobytes()
-        return out
+            latin = np.add.reduceat(data >= 0xC4, bounds[:-1], dtype=np.int64) == 0
+            whole = data.tobytes()
+            if any(x in whole for x in self.special):
+                cells = zip(bounds[:-1].tolist(), bounds[1:].tolist())
+                latin &= [not any(x in whole[a:b] for x in self.special) for a, b in cells]
+            side = latin & _inner(data, bounds)
+            ids = self._ranked(data[np.repeat(side, np.diff(bounds))].tobytes())
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.diff(bounds)[side])) + 1
+            size[side] = np.diff(ends, prepend=0)
+            begin[side] = ends - size[side]
+            parts.append(ids)
+            held, done = len(ids), side
+            for i in np.flatnonzero(latin & ~side).tolist():
+                ids = self._ranked(whole[bounds[i] : bounds[i + 1]])
+                begin[i], size[i] = held, len(ids)
+                parts.append(ids)
+                held += len(ids)
+            done = latin
+        rest = np.flatnonzero(~done).tolist()
+        texts = [data[bounds[i] : bounds[i + 1]].tobytes().decode() for i in rest]
+        for i, e in zip(rest, self.model.encode_batch(texts, add_special_tokens=False)):
+            begin[i], size[i] = held, len(e.ids)
+            parts.append(np.array(e.ids, dtype=np.uint32))
+            held += len(e.ids)
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), begin, size
+
+    def _ranked(self, text: bytes) -> np.ndarray:
+        return self.ranked.encode_to_numpy(text.decode(), disallowed_special=())
 
     def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has)."""
@@ -128,18 +158,10 @@ class ByteBPE:
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         encoded = column.dictionary_encode()
         which = encoded.indices.to_numpy(zero_copy_only=False)
-        distinct = encoded.dictionary.to_pylist()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        ids = [self.cache.get(s) for s in distinct]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(missing, self._encode([distinct[i] for i in missing])):
-            ids[i] = x
-            if len(distinct[i]) <= CACHED_BYTES:
-                self.cache[distinct[i]] = x
-        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
-        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        begin = np.cumsum(sizes) - sizes
+        distinct = encoded.dictionary
+        _, places, held = distinct.buffers()
+        limits = np.frombuffer(places, dtype=np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        flat, begin, sizes = self._encode(np.frombuffer(held, dtype=np.uint8)[limits[0] : limits[-1]], limits - limits[0])
         counts = sizes[which]
         before = np.cumsum(counts) - counts
         out = flat[np.repeat(begin[which] - before, counts) + np.arange(int(counts.sum()))]
@@ -187,7 +209,7 @@ def _cutter(path: str, ranks: tuple[str, str] | None, schema: pa.Schema):
         model = ByteBPE(path, ranks)
         width = _width(model.size)
         counts = np.zeros(model.size, dtype=np.int64)
-        seen = np.zeros(model.size, dtype=bool)
+        place, order = np.zeros(model.size, dtype=np.int64), np.arange(WINDOW)
         for batch in batches:
             for first, data, offsets in text_slices(batch.column(2), SLICE_BYTES):
                 ids, sizes = model.encode(data, offsets)
@@ -199,10 +221,8 @@ def _cutter(path: str, ranks: tuple[str, str] | None, schema: pa.Schema):
                     tokens.append(len(whole))
                     crcs.append([crc(whole[i : i + WINDOW]) for i in range(0, full, WINDOW)])
                     tail = whole[full:]
-                    seen[tail] = True
-                    own = np.flatnonzero(seen)
-                    counts[own] += 1
-                    seen[own] = False
+                    place[tail] = order[: len(tail)]  # each distinct id keeps one place
+                    counts[tail[place[tail] == order[: len(tail)]]] += 1
                     tails.append(tail.astype(width).tobytes())
                 n = len(tokens)
                 rows = batch.slice(first, n)

@@ -139,3 +139,19 @@ def test_neighbours_are_the_best_unused():
         for tail, start, length in pieces:
             covered.update((tail, k) for k in range(start, start + length))
     assert covered == Counter((i, k) for i, t in enumerate(tails) for k in range(len(t)))
+
+
+def test_segments_share_calls(library, monkeypatch):
+    """Segments cost no call of the encoder each, and their ids are still the library's."""
+    some = [t or "" for t in texts(4)] + odd_texts()
+    model = packing.ByteBPE(PATH, RANKS)
+    calls = Counter()
+    for name in ("encode_ordinary", "encode_to_numpy"):
+        whole = getattr(model.ranked, name)
+        monkeypatch.setattr(model.ranked, name, lambda *a, _whole=whole, **kw: calls.update(n=1) or _whole(*a, **kw))
+    data = np.frombuffer("".join(some).encode(), dtype=np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in some])
+    ids, _ = model.encode(data, offsets)
+    assert ids.tolist() == [x for t in some for x in ids_of(library, t)[:-1]]
+    # heads and ends of texts may stand alone; what lies inside them does not
+    assert calls["n"] <= 2 * len(some) + 1 < len(np.unique("".join(some).split(" ")))
