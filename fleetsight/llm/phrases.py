@@ -45,10 +45,11 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2_000
 BROADCAST = 2_000_000
 # Bytes of text in a block.
 BLOCK_BYTES = 500_000
-# Pairs or words that a task combines before it sends counts.
-COMBINED = 300_000
-# A task reads the blocks of one row group at a time.
-ROW_GROUP_BYTES = 8_000_000
+# Words, and occurrences of pairs, that a task combines before it sends counts.
+COMBINED, COMBINED_PAIRS = 300_000, 1_000_000
+# A task decodes the blocks of one row group at a time. Their bytes alone would not end one: the writer
+# looks at them after a hundred rows at the earliest.
+ROW_GROUP_BLOCKS = 8
 
 # Products of counts may pass 64 bits.
 SCORE = (
@@ -193,34 +194,34 @@ def _pruned(places: np.ndarray, words: np.ndarray, at: np.ndarray, k: int) -> tu
 
 def _count_pairs(k: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def combined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            prefix, word, n = (np.concatenate(c) for c in zip(*waiting))
-            order = np.lexsort((word, prefix))
-            prefix, word = prefix[order], word[order]
-            new = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])))
-            return prefix[new], word[new], np.add.reduceat(n[order], new)
-
-        def sent(prefix: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def combined() -> pa.RecordBatch:
+            prefix, word = (np.concatenate(c) for c in zip(*waiting))
+            waiting.clear()
+            if max(prefix.max(), word.max()) < 1 << 31:
+                key, n = np.unique(prefix << 32 | word, return_counts=True)
+                prefix, word = key >> 32, key & 0xFFFFFFFF
+            else:
+                order = np.lexsort((word, prefix))
+                prefix, word = prefix[order], word[order]
+                new = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])))
+                n = np.diff(np.append(new, len(prefix)))
+                prefix, word = prefix[new], word[new]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (prefix, word, n)], names=["prefix", "word", "n"])
 
         held = 0
         for batch in batches:
             for block in _read(batch, 0):
                 _, prefix, word = adjacent(*block, k)
-                if not len(prefix):
-                    continue
-                waiting.append((prefix, word, np.ones(len(prefix), dtype=np.int64)))
-                held += len(prefix)
-                if held > COMBINED:
-                    waiting[:] = [combined()]
-                    held = len(waiting[0][0])
-                    if held > COMBINED // 2:
-                        yield sent(*waiting.pop())
-                        held = 0
+                if len(prefix):
+                    waiting.append((prefix, word))
+                    held += len(prefix)
+                if held > COMBINED_PAIRS:
+                    yield combined()
+                    held = 0
         if waiting:
-            yield sent(*combined())
+            yield combined()
 
     return count
 
@@ -335,7 +336,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """A relation table, written once. Its numbers pack well."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP_BLOCKS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -411,6 +412,8 @@ def frequent_phrases(
         if relation is None:
             break
         pairs = relation.select("places", "words", "at", "items").mapInArrow(_count_pairs(k), "prefix LONG, word LONG, n LONG")
+        # Tasks have combined what they can: a second map of their pairs in the JVM would hold most of them again.
+        pairs = pairs.repartition("prefix", "word")
         pairs = pairs.groupBy("prefix", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
         frequent, count = _numbered(pairs, f"frequent-{k}")
         if not count:

@@ -1,11 +1,13 @@
 """Collocations against counting every phrase."""
 
+import pathlib
 import random
 import re
 import string
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from fleetsight.llm import phrases
@@ -97,3 +99,30 @@ def test_exact_products(spark):
     a, n, left, right = 3_000_000_007, 9_000_000_000_011, 4_000_000_009, 5_000_000_029
     frame = spark.createDataFrame([(a, n, left, right)], "a LONG, n LONG, l LONG, r LONG")
     assert frame.selectExpr(f"{phrases.SCORE} AS s").first().s == 1000 * a * n // (left * right)
+
+
+def test_relations_lie_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """A task decodes one row group at a time, so it must not hold all blocks of the task before it."""
+    paths = []
+    monkeypatch.setattr(phrases, "fresh_path", lambda _, name: paths.append(str(tmp_path / name)) or paths[-1])
+    rows = [("a b c d e f g h i j k, " * 12, f"l{i}") for i in range(61)]  # a block each
+    phrases.mine_phrases(frame(spark, rows).coalesce(1), min_count=2)
+    files = [f for p in paths if "setm" in p for f in pathlib.Path(p).glob("*.parquet")]
+    groups = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) > 60 and max(groups) <= phrases.ROW_GROUP_BLOCKS
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 33])
+def test_pairs_are_combined(monkeypatch, shift):
+    """Numbers that fit 32 bits and larger ones give the same counts, whatever is combined at once."""
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 9, 400) + shift for _ in range(3)]
+    block = [("en", phrases._gaps(np.arange(400)), phrases._ids(w), None, None) for w in words]
+    want = Counter((int(a), int(b)) for w in words for a, b in zip(w[:-1], w[1:]))
+    for most in (50, 10_000):
+        monkeypatch.setattr(phrases, "COMBINED_PAIRS", most)
+        got = Counter()
+        for batch in phrases._count_pairs(2)(iter([phrases._relation(block).select(phrases._NAMES[1:])])):
+            for r in batch.to_pylist():
+                got[r["prefix"], r["word"]] += r["n"]
+        assert got == want
