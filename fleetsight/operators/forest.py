@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetsight.operators.scaling import CONTAMINATION, contamination_offset
-from fleetsight.plans.kept import kept
+from fleetsight.plans.kept import settled
 from fleetsight.plans.quantiles import BUFFER_ROWS
 
 TREES = 100
@@ -213,16 +213,30 @@ def fit_iforest(
 ) -> Forest:
     """Fit on standard-scaled columns; the offset makes ``contamination`` of the training rows
     score below zero."""
+    forest, _ = fit_and_score_iforest(df, feats, id_cols, (), trees, sample, contamination, seed)
+    return forest
+
+
+def fit_and_score_iforest(
+    df: DataFrame,
+    feats: Sequence[str],
+    id_cols: Sequence[str],
+    keep: Sequence[str],
+    trees: int = TREES,
+    sample: int = SAMPLE,
+    contamination: float = CONTAMINATION,
+    seed: int = SEED,
+) -> tuple[Forest, DataFrame]:
+    """The fitted forest, and the training rows (columns ``keep``) with the ``score`` it gives them.
+
+    The offset is found on the raw scores, so each row walks the trees once: what is stored is
+    shifted, not scored again."""
     nodes, size, n_rows = fit_forest_nodes(df, feats, id_cols, trees, sample, seed)
     forest = Forest(_collect_nodes(nodes), feats, size)
-    scores = score_iforest(df, forest).select("score")
-    if n_rows <= BUFFER_ROWS:  # one pass does
-        found = contamination_offset(scores, contamination, at_most=n_rows).first()
-    else:  # several passes over one kept column, instead of scoring again in each
-        with kept(scores) as saved:
-            found = contamination_offset(saved, contamination).first()
-    forest.offset = found["offset"]
-    return forest
+    raw = settled(score_iforest(df, forest).select(*keep, "score"))
+    found = contamination_offset(raw, contamination, at_most=n_rows if n_rows <= BUFFER_ROWS else None)
+    forest.offset = found.first()["offset"]
+    return forest, raw.withColumn("score", F.col("score") - forest.offset)
 
 
 def score_iforest(df: DataFrame, forest: Forest, out: str = "score", native: bool = False) -> DataFrame:

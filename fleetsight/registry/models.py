@@ -14,7 +14,7 @@ from fleetsight.functions.signing import verify_signature
 from fleetsight.jobs.detect import detect_v1, detect_v2, score_sequences
 from fleetsight.jobs.training import train_v1, train_v2
 from fleetsight.operators import reconstruct as rec
-from fleetsight.operators.forest import Forest, average_path, fit_iforest, score_iforest
+from fleetsight.operators.forest import Forest, average_path, fit_and_score_iforest, score_iforest
 from fleetsight.operators.predicates import classify
 from fleetsight.operators.scaling import detection_totals, standard_scale
 from fleetsight.operators.timeseries import make_sequences
@@ -95,8 +95,8 @@ def detect_trust_v2(spark, sf_dir):
 @query()
 def iforest_scores(spark, sf_dir):
     scaled = standard_scale(ad.forest_items(spark, sf_dir), ad.FOREST_FEATURES)
-    forest = fit_iforest(scaled, ad.FOREST_FEATURES, ad.FOREST_ID)
-    return score_iforest(scaled, forest).select(*ad.FOREST_ID, r6("score"))
+    _, scored = fit_and_score_iforest(scaled, ad.FOREST_FEATURES, ad.FOREST_ID, ad.FOREST_ID)
+    return scored.select(*ad.FOREST_ID, r6("score"))
 
 
 @query()

@@ -174,3 +174,18 @@ def test_newest_points_of_every_metric(spark, rates):
     want = {r.instance: r.loss for r in newest}
     for r in got:
         assert r.loss == pytest.approx(want[r.node])
+
+
+def test_training_rows_walk_the_trees_once(spark, monkeypatch):
+    """Scores come with the fit, from one scoring, and equal those of a second one."""
+    from fleetsight.operators import forest as forests
+
+    rows = spark.range(3_000, numPartitions=3).select("id", *[(F.xxhash64("id", F.lit(f)) % 1000 / 7).alias(f) for f in FEATS])
+    asked = []
+    monkeypatch.setattr(forests, "score_iforest", lambda *a, **kw: asked.append(1) or score_iforest(*a, **kw))
+    fitted, scored = forests.fit_and_score_iforest(rows, FEATS, ["id"], ["id"], trees=5)
+    got = {r.id: r.score for r in scored.collect()}
+    assert len(asked) == 1
+    assert "pythonUDF" not in scored._jdf.queryExecution().executedPlan().toString()  # stored, not asked again
+    assert got == {r.id: r.score for r in score_iforest(rows, fitted).collect()}
+    assert 0 < sum(s < 0 for s in got.values()) <= 30  # the contamination's share
