@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetsight.operators.forest import (
     Forest,
-    fit_iforest,
+    fit_and_score_iforest,
     forest_from_tables,
     forest_tables,
-    score_iforest,
 )
 from fleetsight.operators.predicates import select_features
 from fleetsight.operators.reconstruct import (
@@ -63,8 +62,8 @@ def train_v1(
         save_params(scaler, f"{path}/scaler")
         scaler = load_params(spark, f"{path}/scaler")
     scaled = standard_scale(data, feats, scaler)
-    forest = fit_iforest(scaled, feats, id_cols, **kw)
-    summary = score_summary(score_iforest(scaled, forest))
+    forest, scored = fit_and_score_iforest(scaled, feats, id_cols, (), **kw)
+    summary = score_summary(scored)
     if path:
         nodes, meta = forest_tables(spark, forest)
         save_params(nodes, f"{path}/forest_nodes")
