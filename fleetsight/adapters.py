@@ -121,31 +121,9 @@ def kernel_lines(ev: DataFrame) -> DataFrame:
     return _as_lines(ev, line, "ts", "event_id")
 
 
-def _canonical_text(ev_cpu: Column) -> tuple[Column, dict[str, Column]]:
-    micros = F.unix_micros("ts")
-    fraction = F.regexp_replace(F.lpad((micros % 1_000_000).cast("string"), 6, "0"), "0+$", "")
-    stamp = F.concat(
-        F.floor(micros / 1_000_000).cast("string"),
-        F.lit("."),
-        F.when(fraction == "", "0").otherwise(fraction),
-    )
-    parts = {
-        "node": F.concat(F.lit('"node": "'), F.col("node"), F.lit('"')),
-        "timestamp": F.concat(F.lit('"timestamp": '), stamp),
-        "cpu": F.concat(F.lit('"cpu": '), ev_cpu.cast("string")),
-        "mem": F.concat(F.lit('"mem": '), F.col("k").cast("string"), F.lit(".5")),
-        "net_out": F.concat(F.lit('"net_out": '), (F.col("event_id") * 3).cast("string")),
-        "net_in": F.concat(
-            F.lit('"net_in": '),
-            (F.col("event_id") * 7).cast("string"),
-            F.when(_every(43, 6), ".5").otherwise(""),
-        ),
-        "latency": F.concat(F.lit('"latency": '), F.col("k").cast("string"), F.lit(".25")),
-    }
-    names = sorted(parts)
-    has = {"latency": ~_every(41, 5)}
-    cells = [F.when(has[n], parts[n]) if n in has else parts[n] for n in names]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}")), parts
+def _object(*cells: str | Column) -> Column:
+    """JSON text of an object; null cells are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}"))
 
 
 def metric_lines(ev: DataFrame, secret: str) -> DataFrame:
@@ -153,26 +131,50 @@ def metric_lines(ev: DataFrame, secret: str) -> DataFrame:
 
     Every 50th line was altered after signing, every 41st lacks the latency, every 23rd the
     signature, every 31st is blank, cut off or no object; every 13th arrives 6 seconds late. Every
-    43rd has a byte counter that is no whole number.
+    43rd has a byte counter that is no whole number. Cells and lines are columns of their own: the
+    text written out in one expression is code too large for the JVM to compile.
     """
-    text, parts = _canonical_text(F.col("value"))
-    altered, _ = _canonical_text(F.col("value") + 1)
-    signature = keyed_sha256(F.when(_every(50, 0), altered).otherwise(text), secret)
-    cells = [
-        F.when(~_every(41, 5), parts["latency"]) if n == "latency" else parts[n]
-        for n in ("node", "timestamp", "cpu", "mem", "net_out", "net_in", "latency")
-    ]
-    cells.append(F.when(~_every(23, 4), F.concat(F.lit('"signature": "'), signature, F.lit('"'))))
-    line = F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}"))
+    micros, value, k = F.unix_micros("ts"), F.col("value"), F.col("k").cast("string")
+    fraction = F.rtrim(F.lpad((micros % 1_000_000).cast("string"), 6, "0"), F.lit("0"))
+    stamp = F.concat(
+        F.floor(micros / 1_000_000).cast("string"),
+        F.lit("."),
+        F.when(micros % 1_000_000 == 0, "0").otherwise(fraction),
+    )
+    net_in = F.concat(
+        (F.col("event_id") * 7).cast("string"), F.when(_every(43, 6), ".5").otherwise("")
+    )
+    texts = {
+        "node": F.concat(F.lit('"'), F.col("node"), F.lit('"')),
+        "timestamp": stamp,
+        "cpu": value.cast("string"),
+        "mem": F.concat(k, F.lit(".5")),
+        "net_out": (F.col("event_id") * 3).cast("string"),
+        "net_in": net_in,
+        "latency": F.when(~_every(41, 5), F.concat(k, F.lit(".25"))),
+        "signed_cpu": F.when(_every(50, 0), value + 1).otherwise(value).cast("string"),
+    }
+    late = F.when(_every(13, 1), 6.0).otherwise(1.0)
+    cells = spread(ev, "event_id").select(
+        "event_id",
+        (micros / 1_000_000 + late).alias("arrival"),
+        *[
+            F.concat(F.lit(f'"{n.removeprefix("signed_")}": '), text).alias(n)
+            for n, text in texts.items()
+        ],
+    )
+    payload = ("signed_cpu", "latency", "mem", "net_in", "net_out", "node", "timestamp")
+    signature = keyed_sha256(_object(*payload), secret)
+    claimed = F.when(~_every(23, 4), F.concat(F.lit('"signature": "'), signature, F.lit('"')))
+    written = ("node", "timestamp", "cpu", "mem", "net_out", "net_in", "latency")
+    lines = cells.select("event_id", "arrival", _object(*written, claimed).alias("line"))
     raw = (
         F.when(_every(93, 2), "   ")
-        .when(_every(93, 33), F.substring(line, 1, 40))
+        .when(_every(93, 33), F.substring("line", 1, 40))
         .when(_every(93, 64), "5")
-        .otherwise(F.concat(F.lit(" "), line))
+        .otherwise(F.concat(F.lit(" "), "line"))
     )
-    late = F.when(_every(13, 1), 6.0).otherwise(1.0)
-    arrival = (F.unix_micros("ts") / 1_000_000 + late).alias("arrival")
-    return _as_lines(ev, raw, "event_id", arrival)
+    return lines.select("event_id", "arrival", F.explode(F.array(raw)).alias("raw"))
 
 
 def metric_samples(ev: DataFrame, window: str) -> DataFrame:

@@ -27,6 +27,7 @@ from fleetsight.operators.trust import (
     status_transitions,
     trust_scores,
 )
+from fleetsight.plans.kept import settled
 from fleetsight.schemas import FEATURES_V1, FEATURES_V2
 from fleetsight.sinks.tables import detection_report
 from fleetsight.sources.lines import parse_metric_lines
@@ -65,7 +66,9 @@ def verify_and_score(
     needed go before the Python UDFs, not after.
     """
     fresh = fresh_records(lines, max_age_s, now)
-    checked = fresh.withColumn("tampered", ~verify_signature(F.col("raw"), secret))
+    # As the element of an array: the filter below would otherwise run the Python part once more.
+    tampered = F.explode(F.array(~verify_signature(F.col("raw"), secret)))
+    checked = fresh.withColumn("tampered", tampered)
     complete = F.lit(True)
     for f in feats:
         complete = complete & F.col(f).isNotNull()
@@ -116,12 +119,11 @@ def detect_v1(
 ) -> DataFrame:
     """Signed metric lines -> per-record trust trace with actions.
 
-    The cuts of busy nodes are planned from the parsed records alone. Where nodes are split, the
-    carry over their chunks checks and scores those nodes' records a second time.
+    Lines are parsed, checked and scored once: the records are stored (``spark.checkpoint.dir``), and
+    the cuts of busy nodes, the carry over their chunks and the trace read the columns they need.
     """
-    scored = verify_and_score(lines, secret, scorer, threshold, **kw)
-    recent = fresh_records(lines, kw.get("max_age_s", 5.0), kw.get("now"))
-    return trust_trace_v1(scored, order=order, plan_from=recent)
+    scored = settled(verify_and_score(lines, secret, scorer, threshold, **kw))
+    return trust_trace_v1(scored, order=order)
 
 
 def score_sequences(

@@ -35,9 +35,14 @@ def parse_metric_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     Other columns of ``df`` (arrival time, offsets) pass through.
     """
     schema = T._parse_datatype_string(schemas.SIGNED_RECORD)
-    parsed = _objects(df, raw).withColumn("_r", F.from_json(raw, schema))
-    return parsed.select(
-        *[c for c in df.columns if c != raw], raw, *[F.col(f"_r.{n}") for n in schema.names]
+    others = [c for c in df.columns if c != raw]
+    # As elements of arrays the stripped text and the record are made once per row, and not again in
+    # each filter above.
+    stripped = F.explode(F.array(F.trim(F.col(raw), F.lit(_BLANKS)))).alias(raw)
+    objects = df.select(*others, stripped).where(is_json_object(F.col(raw)))
+    record = F.explode(F.array(F.from_json(raw, schema))).alias("_r")
+    return objects.select(*others, raw, record).select(
+        *others, raw, *[F.col(f"_r.{n}") for n in schema.names]
     )
 
 
